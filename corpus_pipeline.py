@@ -1,12 +1,69 @@
-"""Corpus preparation: quality, toxicity, near-duplicates, mixing and packing over documents."""
+"""Corpus preparation: quality, toxicity, near-duplicates, mixing and packing over documents.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and is written as Parquet
+before the next reads it. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ballotlake.llm import mixing, packing, quality, simhash, toxicity
+from ballotlake.llm.common import materialize, table
+
+
+def _without(docs: DataFrame, scored: DataFrame, ids: str = "doc_id") -> DataFrame:
+    """docs less those whose id scored holds; rows without an id stay."""
+    return docs.join(scored, ids, "left_anti").select(*docs.columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; equal ids share a verdict."""
+    rejected = quality.score(docs, quality.fit(docs)).filter("predicted = 0").select("doc_id").distinct()
+    return _without(docs, materialize(rejected, "rejected"))
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    rejected = toxicity.score(docs, model).filter("predicted = 1").select("doc_id").distinct()
+    return _without(docs, materialize(rejected, "toxic"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id."""
+    groups = simhash.near_duplicates(docs)
+    copies = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return _without(docs, materialize(copies, "copies"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix holds them."""
+    passes = mixing.mix(docs).filter("passes > 0").groupBy("doc_id").agg(F.max("passes").cast("int").alias("passes"))
+    columns = docs.columns
+    return docs.join(materialize(passes, "passes"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "passes"))).select(*columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the mixed documents and their places in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("toxicity", keep_clean),
+    ("SimHash near-dedup", keep_one_of_each),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
-STAGES: list = []
+#: The stages have no equal in SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
