@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep_rows
+
 SAMPLE = 6_000  # documents that the scorer learns from, at most
 FEATURES = 2048
 THRESHOLD = 0.5
@@ -176,32 +178,37 @@ def fit(docs: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     return posterior, np.r_[w, b]
 
 
+def verdict(text: bytes | None, model: tuple[dict[str, float], np.ndarray]) -> tuple[float, float, int]:
+    """Posterior of the text's pattern, score, and 1 if it is good. Where every labeller abstains, as on empty and
+    very short texts, nothing speaks against a text: it scores the posterior of its pattern."""
+    posterior, weights = model
+    n, stats, cls = statistics(text or b"")
+    pattern = votes(n, stats)
+    post = s = posterior.get(pattern, 0.5)
+    if pattern.strip("-"):
+        at, x = vector(n, stats, cls)
+        s = float(1 / (1 + np.exp(-np.clip(float(weights[at] @ x) + weights[-1], -500, 500))))
+    return post, s, int(s >= THRESHOLD)
+
+
 _ROW = "doc_id long, posterior double, score double, predicted int"
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray]) -> DataFrame:
-    """doc_id, posterior (weak label), score and predicted (1: good) of each whole text; null counts as empty.
-
-    Where every labeller abstains, as on empty and very short texts, nothing speaks against a text: it scores
-    the posterior of its pattern.
-    """
+    """doc_id, posterior (weak label), score and predicted (1: good) of each whole text; null counts as empty."""
     send = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        posterior, weights = send.value
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                n, stats, cls = statistics(t or b"")
-                pattern = votes(n, stats)
-                post = posterior.get(pattern, 0.5)
-                s = post
-                if pattern.strip("-"):
-                    at, x = vector(n, stats, cls)
-                    s = float(1 / (1 + np.exp(-np.clip(float(weights[at] @ x) + weights[-1], -500, 500))))
-                out.append((post, s, int(s >= THRESHOLD)))
+            out = [verdict(t, send.value) for t in batch.column(1).to_pylist()]
             if out:
                 types = [pa.float64(), pa.float64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), types))], [x.split()[0] for x in _ROW.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, _ROW)
+
+
+def keep(docs: DataFrame, model: tuple[dict[str, float], np.ndarray]) -> DataFrame:
+    """The rows of docs that are good, with all their columns."""
+    send = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, lambda t: verdict(t, send.value)[2] == 1)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import keep_rows, materialize
 
 LABELLED = 60_000  # labelled rows that are learned from, at most: a bounded sample by hash of doc_id
 VOCABULARY = 20_000  # significant tokens that a model holds, at most: the most significant ones
@@ -199,3 +199,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(map(len, found), pa.int32()), pa.array(spans, kind)], [x.split()[0] for x in ("doc_id", "score", "predicted", "n_passages", "passages")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, _ROW)
+
+
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns."""
+    send = docs.sparkSession.sparkContext.broadcast(model)
+
+    def clean(text: bytes | None) -> bool:
+        m = send.value
+        return m.score(m.evidence(m.passages(words(text or b"")))) < THRESHOLD
+
+    return keep_rows(docs, clean)

@@ -13,36 +13,28 @@ from ballotlake.llm import mixing, packing, quality, simhash, toxicity
 from ballotlake.llm.common import materialize, table
 
 
-def _without(docs: DataFrame, scored: DataFrame, ids: str = "doc_id") -> DataFrame:
-    """docs less those whose id scored holds; rows without an id stay."""
-    return docs.join(scored, ids, "left_anti").select(*docs.columns)
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; equal ids share a verdict."""
-    rejected = quality.score(docs, quality.fit(docs)).filter("predicted = 0").select("doc_id").distinct()
-    return _without(docs, materialize(rejected, "rejected"))
+    """Documents that the quality classifier does not reject."""
+    return quality.keep(docs, quality.fit(docs))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    rejected = toxicity.score(docs, model).filter("predicted = 1").select("doc_id").distinct()
-    return _without(docs, materialize(rejected, "toxic"))
+    return toxicity.keep(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id."""
     groups = simhash.near_duplicates(docs)
     copies = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return _without(docs, materialize(copies, "copies"))
+    return docs.join(materialize(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix holds them."""
+    """Documents as often as the mix holds them. Texts meet their number by one shuffle at every size: the numbers grow with the documents."""
     passes = mixing.mix(docs).filter("passes > 0").groupBy("doc_id").agg(F.max("passes").cast("int").alias("passes"))
     columns = docs.columns
-    return docs.join(materialize(passes, "passes"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "passes"))).select(*columns)
+    return docs.join(materialize(passes, "passes").hint("merge"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "passes"))).select(*columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
