@@ -2,5 +2,235 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.geo import geofence, haversine
+from ..operators import anomaly, rollups
+from ..operators.consensus import VERIFIED, consensus
+from ..sources import fixture
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+FIXTURE_SQL = """
+WITH units AS (
+  SELECT c_custkey::BIGINT pu, n_regionkey::BIGINT state, c_nationkey::BIGINT lga, concat(c_nationkey, '-', c_mktsegment) ward,
+    (CASE WHEN c_custkey % 41 = 0 THEN 0 WHEN c_custkey % 37 = 0 THEN 50 ELSE 4600 + c_custkey % 400 END)::BIGINT registered
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+raw AS (
+  SELECT o_orderkey id, o_custkey pu, o_orderdate t, CASE WHEN year(o_orderdate) >= 1998 THEN 'cur' ELSE 'base' END election, o_orderkey % 10 >= 7 official,
+    CASE WHEN o_orderkey % 10 <= 4 THEN 'party:P' || (o_orderkey % 4) WHEN o_orderkey % 10 <= 6 THEN 'observer:' || o_orderkey ELSE 'inec_irev' END source,
+    (CASE WHEN year(o_orderdate) >= 1998 THEN 1 ELSE 3 END) * (o_custkey % 50) + 10
+      + CASE WHEN o_custkey % 5 = 0 THEN o_orderkey % 7 WHEN o_custkey % 5 = 1 AND o_orderkey % 10 >= 7 THEN 9 ELSE 0 END a,
+    o_custkey * 7 % 120 + 5 b, CASE WHEN o_custkey % 97 = 0 THEN 4000 ELSE o_custkey * 13 % 90 END c
+  FROM orders WHERE o_orderkey % 20 <> 19),
+grouped AS (
+  SELECT election, pu, count(*) submission_count, count(DISTINCT source) source_count, count(DISTINCT source) FILTER (NOT official) independent,
+    count(*) FILTER (official) officials, max(a) FILTER (NOT official) - min(a) FILTER (NOT official) gap,
+    list_sort(list(a) FILTER (NOT official)) own, arg_min(a, (t, id)) FILTER (official) official_a, arg_min(a, (t, id)) first_a, min(b) b, min(c) c
+  FROM raw GROUP BY election, pu),
+agreed AS (
+  SELECT *, own[len(own) // 2 + 1] median_a,
+    CASE WHEN independent = 0 THEN 'inec_published' WHEN independent < 2 AND officials = 0 THEN 'single_source' WHEN gap > 0 THEN 'discrepancy'
+      WHEN officials > 0 AND own[len(own) // 2 + 1] <> official_a THEN 'inec_conflict' WHEN officials > 0 THEN 'inec_confirmed' ELSE 'consensus' END status
+  FROM grouped),
+results AS (
+  SELECT election, pu, status, submission_count::BIGINT submission_count, source_count::BIGINT source_count, b::BIGINT b, c::BIGINT c,
+    (CASE status WHEN 'inec_published' THEN official_a WHEN 'single_source' THEN first_a WHEN 'discrepancy' THEN NULL ELSE median_a END)::BIGINT a
+  FROM agreed),
+every AS (
+  SELECT e.election, u.*, coalesce(r.status, 'no_data') status, r.submission_count, r.source_count, r.a, r.b, r.c, r.a + r.b + r.c valid, r.a + r.b + r.c + 12 "cast"
+  FROM units u CROSS JOIN (SELECT unnest(['cur', 'base']) election) e LEFT JOIN results r ON r.pu = u.pu AND r.election = e.election),
+live AS (SELECT * FROM every WHERE election = 'cur'),
+votes AS (
+  SELECT pu, state, lga, ward, status, p.party, p.n FROM live, LATERAL (SELECT unnest(['A', 'B', 'C']) party, unnest([a, b, c]) n) p WHERE a IS NOT NULL),
+turned AS (
+  SELECT election, pu, state, lga, ward, status, "cast"::DOUBLE / registered turnout, CASE WHEN a >= b AND a >= c THEN 'A' WHEN b >= c THEN 'B' ELSE 'C' END leader,
+    greatest(a, b, c)::DOUBLE / valid leader_share
+  FROM every WHERE registered > 0 AND a IS NOT NULL)
+"""
+
+
+def query(name: str, sql: str | None = None, fixture_sql: bool = True):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = (FIXTURE_SQL if fixture_sql else "") + sql
+        return f
+
+    return add
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus(fixture.submissions(spark, sf_dir))
+
+
+def _live(spark: SparkSession, sf_dir: str, election: str = "cur") -> DataFrame:
+    return rollups.live_status(fixture.units(spark, sf_dir), _results(spark, sf_dir), election)
+
+
+@query("F7_consensus_status", "SELECT election, pu, status, submission_count, source_count FROM results")
+def _(spark, sf_dir):
+    return _results(spark, sf_dir).select("election", "pu", "status", "submission_count", "source_count")
+
+
+@query("F6_consensus_votes", "SELECT election, pu, p.party, p.n FROM results, LATERAL (SELECT unnest(['A', 'B', 'C']) party, unnest([a, b, c]) n) p WHERE a IS NOT NULL")
+def _(spark, sf_dir):
+    return _results(spark, sf_dir).select("election", "pu", F.explode("votes").alias("party", "n"))
+
+
+@query("F12_discrepancies", "SELECT election, pu, CASE WHEN status = 'inec_conflict' THEN 5 ELSE 3 END::BIGINT severity, 'valid,cast,candidate_votes.A' fields FROM results WHERE status IN ('discrepancy', 'inec_conflict')")
+def _(spark, sf_dir):
+    rows = _results(spark, sf_dir).filter(F.size("fields") > 0)
+    return rows.select("election", "pu", F.when(F.col("status") == "inec_conflict", 5).otherwise(3).cast("long").alias("severity"), F.concat_ws(",", "fields").alias("fields"))
+
+
+@query("D2_live_status", "SELECT pu, state, lga, ward, status, coalesce(submission_count, 0)::BIGINT submission_count FROM live")
+def _(spark, sf_dir):
+    return _live(spark, sf_dir).select("pu", "state", "lga", "ward", "status", F.coalesce("submission_count", F.lit(0)).alias("submission_count"))
+
+
+@query("C9_status_codes", "SELECT pu, (list_position(['no_data', 'single_source', 'inec_published', 'consensus', 'discrepancy', 'inec_confirmed', 'inec_conflict'], status) - 1)::BIGINT code FROM live")
+def _(spark, sf_dir):
+    return _live(spark, sf_dir).select("pu", rollups.status_code().alias("code"))
+
+
+def _region_sql(level: str) -> str:
+    counts = ", ".join(f"count(*) FILTER (status = '{s}')::BIGINT {s}" for s in rollups.STATUSES[1:])
+    return f""", t AS (SELECT {level}::VARCHAR code, party, sum(n)::BIGINT n FROM votes WHERE status IN ('consensus', 'inec_confirmed', 'inec_published') GROUP BY 1, 2),
+    top AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY n DESC, party) k, sum(n) OVER (PARTITION BY code) total FROM t),
+    bucket AS (SELECT {level}::VARCHAR code, count(*)::BIGINT total_pus, {counts} FROM live GROUP BY 1)
+    SELECT b.*, coalesce(total, 0)::BIGINT total_votes, leader, coalesce(leader_votes, 0)::BIGINT leader_votes, round(leader_votes::DOUBLE / total, 4) leader_share, '{level}' "level"
+    FROM bucket b LEFT JOIN (SELECT code, party leader, n leader_votes, total FROM top WHERE k = 1) USING (code)"""
+
+
+def _regions(level: str, name: str) -> None:
+    @query(name, _region_sql(level))
+    def _(spark, sf_dir):
+        return rollups.region_aggregates(_live(spark, sf_dir), level)
+
+
+_regions("state", "E3_state_aggregates")
+_regions("lga", "E3_lga_aggregates")
+_regions("ward", "E3_ward_aggregates")
+
+
+@query("E4_state_rollup", "SELECT state::VARCHAR code, party, sum(n)::BIGINT n FROM votes WHERE status IN ('consensus', 'inec_confirmed') GROUP BY 1, 2")
+def _(spark, sf_dir):
+    return rollups.party_totals(_live(spark, sf_dir), "state", ("consensus", "inec_confirmed"))
+
+
+@query("E5_national_rollup", "SELECT election, count(*)::BIGINT pus, count(*) FILTER (status IN ('consensus', 'inec_confirmed'))::BIGINT verified, count(*) FILTER (status = 'discrepancy')::BIGINT discrepancies FROM results GROUP BY 1")
+def _(spark, sf_dir):
+    s = F.col("status")
+    return _results(spark, sf_dir).groupBy("election").agg(F.count("*").alias("pus"), F.count_if(s.isin("consensus", "inec_confirmed")).alias("verified"), F.count_if(s == "discrepancy").alias("discrepancies"))
+
+
+def _distribution(name: str, level: str, least: int) -> None:
+    @query(name, f"SELECT {level}::VARCHAR code, count(*)::BIGINT n, round(avg(turnout), 6) mean, round(stddev_samp(turnout), 6) sd FROM turned WHERE election = 'cur' GROUP BY 1 HAVING count(*) >= {least}")
+    def _(spark, sf_dir):
+        rows = rollups.distribution(rollups.turnout(_live(spark, sf_dir)), level, least)
+        return rows.select(F.col(level).cast("string").alias("code"), "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+_distribution("E6_ward_turnout", "ward", 5)
+_distribution("E7_lga_turnout", "lga", 10)
+
+
+@query("E25_bottom_up_totals", "SELECT coalesce(state, -1) state, coalesce(lga, -1) lga, coalesce(ward, '') ward, party, sum(n)::BIGINT n FROM votes WHERE status IN ('consensus', 'single_source', 'inec_confirmed') GROUP BY GROUPING SETS ((party, state, lga, ward), (party, state, lga), (party, state), (party))")
+def _(spark, sf_dir):
+    return rollups.bottom_up(_live(spark, sf_dir)).select(F.coalesce("state", F.lit(-1).cast("long")).alias("state"), F.coalesce("lga", F.lit(-1).cast("long")).alias("lga"), F.coalesce("ward", F.lit("")).alias("ward"), "party", "n")
+
+
+@query("E26_coverage", "SELECT *, CASE WHEN coverage_pct >= 100 THEN 'full' WHEN coverage_pct >= 50 THEN 'partial' ELSE 'low' END display FROM (SELECT lga::VARCHAR code, round(100.0::DOUBLE * count(*) FILTER (status <> 'no_data') / count(*), 2) coverage_pct, round(100.0::DOUBLE * count(*) FILTER (status IN ('consensus', 'inec_confirmed')) / count(*), 2) verified_pct FROM live GROUP BY 1)")
+def _(spark, sf_dir):
+    return rollups.coverage(_live(spark, sf_dir), "lga")
+
+
+@query("E27_spread_rule", ", t AS (SELECT state, party, sum(n) n, sum(sum(n)) OVER (PARTITION BY state) w FROM votes WHERE status IN ('consensus', 'inec_confirmed', 'inec_published') GROUP BY 1, 2) SELECT party, count(*) FILTER (w > 0 AND n * 100 >= w * 25)::BIGINT states, sum(n)::BIGINT votes FROM t GROUP BY 1")
+def _(spark, sf_dir):
+    return rollups.spread(_live(spark, sf_dir))
+
+
+@query("D11_results_export", 'SELECT pu, ward, status, party, n votes, round(n::DOUBLE / NULLIF(valid, 0), 4) share FROM votes JOIN (SELECT pu, valid FROM live) USING (pu)')
+def _(spark, sf_dir):
+    rows = _live(spark, sf_dir).select("pu", "ward", "status", "valid", F.explode("votes").alias("party", "votes"))
+    return rows.select("pu", "ward", "status", "party", "votes", F.round(F.col("votes") / F.when(F.col("valid") > 0, F.col("valid")), 4).alias("share"))
+
+
+_SANITY = """SELECT pu, 'votes_exceed_registered' anomaly_type, 5::BIGINT severity FROM live WHERE registered > 0 AND "cast" > registered
+UNION ALL SELECT pu, 'turnout_exceeds_accreditation', 5 FROM live WHERE "cast" > 300 + pu % 50
+UNION ALL SELECT pu, 'rejected_exceeds_cast', 5 FROM live WHERE 12 > "cast" AND "cast" > 0
+UNION ALL SELECT pu, 'zero_registered_voters', 4 FROM live WHERE registered = 0 AND a IS NOT NULL
+UNION ALL SELECT pu, 'leader_extreme_share', 4 FROM live WHERE valid > 30 AND greatest(a, b, c)::DOUBLE / valid >= 0.97"""
+
+
+@query("M20_sanity_anomalies", _SANITY)
+def _(spark, sf_dir):
+    return anomaly.sanity(_live(spark, sf_dir))
+
+
+@query("H1_top_anomalies", f"SELECT * FROM ({_SANITY}) ORDER BY severity DESC, pu, anomaly_type LIMIT 500")
+def _(spark, sf_dir):
+    return anomaly.sanity(_live(spark, sf_dir)).orderBy(F.desc("severity"), "pu", "anomaly_type").limit(500)
+
+
+@query("M27_turnout_outliers", """, t AS (SELECT * FROM turned WHERE election = 'cur'),
+w AS (SELECT ward, avg(turnout) m, stddev_samp(turnout) s FROM t GROUP BY 1 HAVING count(*) >= 5), l AS (SELECT lga, avg(turnout) m, stddev_samp(turnout) s FROM t GROUP BY 1 HAVING count(*) >= 10),
+z AS (SELECT pu, coalesce(w.s > 0, false) usable, abs(turnout - w.m) / w.s zw, abs(turnout - l.m) / l.s zl FROM t LEFT JOIN w USING (ward) LEFT JOIN l USING (lga) WHERE status IN ('consensus', 'inec_confirmed', 'inec_published'))
+SELECT pu, 'turnout_outlier_ward' anomaly_type, (CASE WHEN zw >= 5 THEN 5 WHEN zw >= 4 THEN 4 ELSE 3 END)::BIGINT severity FROM z WHERE usable AND zw >= 3
+UNION ALL SELECT pu, 'turnout_outlier_lga', (CASE WHEN zl >= 4 THEN 4 ELSE 3 END)::BIGINT FROM z WHERE NOT usable AND zl >= 3""")
+def _(spark, sf_dir):
+    rows = rollups.turnout(_live(spark, sf_dir))
+    return anomaly.turnout_outliers(rows, rows.filter(F.col("status").isin(*VERIFIED)))
+
+
+@query("M30_historical_shifts", """, j AS (SELECT n.pu, abs(n.turnout - o.turnout) * 100 t, abs(n.leader_share - o.leader_share) * 100 s, n.leader <> o.leader other
+  FROM turned n JOIN turned o ON n.pu = o.pu AND o.election = 'base' WHERE n.election = 'cur' AND n.status IN ('consensus', 'inec_confirmed'))
+SELECT pu, 'turnout_shift' anomaly_type, (CASE WHEN t >= 70 THEN 5 WHEN t >= 50 THEN 4 ELSE 3 END)::BIGINT severity FROM j WHERE t >= 40
+UNION ALL SELECT pu, 'leader_party_shift', (CASE WHEN s >= 70 THEN 5 ELSE 4 END)::BIGINT FROM j WHERE other AND s >= 50""")
+def _(spark, sf_dir):
+    now = rollups.turnout(_live(spark, sf_dir)).filter(F.col("status").isin("consensus", "inec_confirmed"))
+    return anomaly.historical(now, rollups.turnout(_live(spark, sf_dir, "base")))
+
+
+@query("G7_rate_limit", "SELECT event_id, count(*) OVER w::BIGINT recent, (count(*) OVER w > 3) limited FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)", False)
+def _(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy(F.unix_timestamp(F.col("ts").cast("timestamp"))).rangeBetween(-86400, 0)
+    n = F.count("*").over(w)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", n.alias("recent"), (n > 3).alias("limited"))
+
+
+@query("G6_latest_event", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) k FROM events) WHERE k = 1", False)
+def _(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.row_number().over(w)).filter("k = 1").select("user_id", "event_id", "event_type")
+
+
+@query("E20_floor_percentile", "SELECT event_type, v[least(len(v), len(v) * 95 // 100 + 1)] p95 FROM (SELECT event_type, list_sort(list(value)) v FROM events GROUP BY 1)", False)
+def _(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    w = Window.partitionBy("event_type")
+    ranked = rows.withColumn("at", F.row_number().over(w.orderBy("value", "event_id"))).withColumn("n", F.count("*").over(w))
+    return ranked.filter(F.col("at") == F.least(F.col("n"), F.floor(F.col("n") * 95 / 100) + 1)).select("event_type", F.col("value").alias("p95"))
+
+
+@query("E22_histogram", "SELECT event_type, b.le, count(*) FILTER (value <= b.le)::BIGINT n FROM events, (SELECT unnest([1.0, 10.0, 50.0, 100.0]::DOUBLE[]) le) b GROUP BY 1, 2", False)
+def _(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(*(F.count_if(F.col("value") <= b).alias(f"b{i}") for i, b in enumerate((1.0, 10.0, 50.0, 100.0))))
+    return rows.select("event_type", F.inline(F.array(*(F.struct(F.lit(b).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate((1.0, 10.0, 50.0, 100.0))))))
+
+
+@query("L2_geofence", "SELECT pu, round(m, 3) metres, CASE WHEN m <= 100 THEN 'ok' WHEN m <= 2000 THEN 'warning' ELSE 'violation' END verdict FROM (SELECT pu, 2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin(radians(d) / 2), 2) + cos(radians(y)) * cos(radians(y + d)) * pow(sin(radians(d) / 2), 2))) m FROM (SELECT pu, (4 + pu % 9)::DOUBLE y, (pu % 300)::DOUBLE / 10000 d FROM units))")
+def _(spark, sf_dir):
+    y, d = (4 + F.col("pu") % 9).cast("double"), (F.col("pu") % 300).cast("double") / 10000
+    m = haversine(y, F.lit(3.0), y + d, F.lit(3.0) + d)
+    return fixture.units(spark, sf_dir).select("pu", F.round(m, 3).alias("metres"), geofence(m).alias("verdict"))
+
+
+@query("C19_recovery", "SELECT CASE WHEN h > 4 THEN 'failed' WHEN h * 60 > 30 THEN 'queued' ELSE 'skipped' END outcome, count(*)::BIGINT n FROM (SELECT (event_id % 300)::DOUBLE / 60 h FROM events) GROUP BY 1", False)
+def _(spark, sf_dir):
+    h = (F.col("event_id") % 300).cast("double") / 60
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.when(h > 4, "failed").when(h * 60 > 30, "queued").otherwise("skipped").alias("outcome"))
+    return rows.groupBy("outcome").agg(F.count("*").alias("n"))
