@@ -1,8 +1,9 @@
 """Toxic passages: significant maximum-scoring segments of token log-odds.
 
 Log-odds of tokens by class come from documents that hold them, with a Dirichlet prior in proportion to
-the corpus (its weight a share of the corpus, so that rare tokens stay near zero). Tokens of significant
-log-odds score, all others cost a little. A linear scan finds all maximal segments of a text; their
+the corpus (its weight a share of the corpus, so that rare tokens stay near zero). Words and the starts of
+words are tokens, so that a stem counts in forms that were not learned; a word scores by its best token.
+Tokens of significant log-odds score, all others cost a little. A linear scan finds all maximal segments of a text; their
 scores follow an extreme-value law on clean text, whose parameters give each segment an expected
 number, and the segments together the evidence that a logistic curve turns into a probability.
 """
@@ -24,6 +25,7 @@ VOCABULARY = 20_000  # significant tokens that a model holds, at most: the most
 PRIOR = 0.1  # the prior's weight against the corpus
 Z = 3.0  # standard errors from zero at which a token counts
 DRIFT = 0.5  # what any other token costs
+STARTS = range(4, 9)  # bytes of a word's starts that are tokens
 THRESHOLD = 0.7
 _STRIP = b".,;:!?*%$&#|\"'()[]{}<>-_=+/\\`~@^"
 
@@ -33,6 +35,11 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def starts(word: bytes) -> list[bytes]:
+    """The starts of a word that are tokens, told from whole words by the blank that ends them."""
+    return [word[:k] + b" " for k in STARTS if k < len(word)]
+
+
 def segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of tokens that gain at places at, and lose drift elsewhere.
 
@@ -77,7 +84,8 @@ class Model:
         for i, w in enumerate(tokens):
             g = memo.get(w)
             if g is None:
-                g = memo[w] = gains.get(w.strip(_STRIP), 0.0)
+                word = w.strip(_STRIP)
+                g = memo[w] = max(gains.get(x, 0.0) for x in (word, *starts(word)))
             if g:
                 hits.append(i)
                 gain.append(g)
@@ -129,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         for batch in batches:
             found: dict[bytes, list[int]] = {}
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in {w.strip(_STRIP) for w in words(text)}:
+                own = {w.strip(_STRIP) for w in words(text)}
+                for w in own.union(*map(starts, own)):
                     found.setdefault(w, [0, 0])[k] += 1
             found.pop(b"", None)
             if found:
@@ -137,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
     counts = rows.filter("label in (0, 1)").mapInArrow(count, "token binary, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = materialize(counts, "tokens")
-    n = counts.agg(F.sum("clean"), F.sum("toxic")).first()
+    n = counts.filter("substring(token, -1, 1) != X'20'").agg(F.sum("clean"), F.sum("toxic")).first()
     if not n[0] or not n[1]:
         return Model({}, 1.0, 1.0, -5.0, 0.0)
     everything = n[0] + n[1]
