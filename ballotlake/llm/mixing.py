@@ -1,9 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-A source's target is met by whole passes over it and a remaining budget below its size. Its documents are
-counted by exact length; a proportional share of each length is taken, larger lengths then fill what is
-left, and a bounded knapsack over length counts reaches the rest as nearly as it can. Which documents of
-a length are taken follows a seeded hash.
+A source's documents are counted by exact length, each as often as it may be taken. A proportional share of
+each length is taken, larger lengths then fill what is left, and a bounded knapsack over length counts
+reaches the rest as nearly as it can. The documents of a length share its takes evenly; which of them have
+one more than others follows a seeded hash.
 """
 
 from __future__ import annotations
@@ -41,14 +41,31 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: in
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take, so that their sum comes as near to budget as is found."""
-    take = np.zeros(len(sizes), np.int64)
+    """How many documents of each size to take, so that their sum comes as near to budget as is found.
+
+    A proportional share is taken first; where the rest cannot be reached exactly, documents of every size
+    are given back, more each time, and the program runs again over what is then free.
+    """
     total = int((sizes * counts).sum())
     if budget <= 0 or total <= 0:
-        return take
+        return np.zeros(len(sizes), np.int64)
     if budget >= total:
         return counts.copy()
-    take = (counts * (budget / total)).astype(np.int64)
+    share = (counts * (budget / total)).astype(np.int64)
+    best, miss, back = share, budget - int((share * sizes).sum()), 0
+    while True:
+        take = _fill(sizes, counts, np.maximum(share - back, 0), budget)
+        off = abs(budget - int((take * sizes).sum()))
+        if off < miss or not back:
+            best, miss = take, off
+        if not miss or back >= share.max() or int((np.minimum(share, back) * sizes).sum()) > _REACH:
+            return best
+        back = 4 * back + 1
+
+
+def _fill(sizes: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int) -> np.ndarray:
+    """take, and what a bounded knapsack over the free documents adds."""
+    take = take.copy()
     left = budget - int((take * sizes).sum())
     order = np.argsort(-sizes)
     for i in order[sizes[order] > 0]:  # larger ones fill the rest down to what the program covers
@@ -57,8 +74,7 @@ def fit(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         more = min(int(counts[i] - take[i]), (left - _REACH // 4) // int(sizes[i]))
         take[i] += more
         left -= more * int(sizes[i])
-    over = int(sizes[sizes > 0].min()) if (sizes > 0).any() else 0
-    reach = left + over
+    reach = left + int(sizes[sizes > 0].min())
     mask = (1 << (reach + 1)) - 1
     reached, steps = 1, []
     for i in order[::-1]:
@@ -104,9 +120,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         size, n = pdf["size"].to_numpy(), pdf["n"].to_numpy()
         whole, goal = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
-        full = min(epochs, int(goal // whole)) if whole else 0
-        more = fit(size, n, round(goal - full * whole)) if full < epochs else np.zeros(len(size), np.int64)
-        return pd.DataFrame({"source": pdf["source"], "size": size, "n": n, "source_size": whole, "target": goal, "full": full, "more": more})
+        take = fit(size, n * epochs, round(goal))
+        return pd.DataFrame({"source": pdf["source"], "size": size, "n": n, "source_size": whole, "target": goal, "full": take // n, "more": take % n})
 
     both = counted.join(target.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     chosen = materialize(both.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, full int, more long"), "mix-plan")
