@@ -24,17 +24,23 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    groups = simhash.near_duplicates(docs)
+    """Of each group of near-duplicates the document with the smallest id, once. Rows without an id stay, as nothing names them."""
+    groups = materialize(simhash.near_duplicates(docs), "groups")
     copies = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(materialize(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(materialize(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = materialize(groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix holds them. Texts meet their number by one shuffle at every size: the numbers grow with the documents."""
     passes = mixing.mix(docs).filter("passes > 0").groupBy("doc_id").agg(F.max("passes").cast("int").alias("passes"))
     columns = docs.columns
-    return docs.join(materialize(passes, "passes").hint("merge"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "passes"))).select(*columns)
+    times = materialize(passes, "passes").select(F.col("doc_id").alias("own_id"), "passes").hint("merge")
+    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("own_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), "passes"))).select(*columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
