@@ -14,3 +14,28 @@ def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
 
 def geofence(metres: Column, soft: float = 100, hard: float = 2000) -> Column:
     return F.when(metres <= soft, "ok").when(metres <= hard, "warning").otherwise("violation")
+
+
+def tile(lat: Column, lng: Column, zoom: int) -> tuple[Column, Column]:
+    """The column and row of the web map tile that holds a point."""
+    n = float(2**zoom)
+    phi = F.radians(lat)
+    x = F.floor((lng + 180) / 360 * n)
+    y = F.floor((1 - F.log(F.tan(phi) + 1 / F.cos(phi)) / F.pi()) / 2 * n)
+    return x, y
+
+
+def mercator(lat: Column, lng: Column) -> tuple[Column, Column]:
+    """Metres of a point in the spherical web projection."""
+    return F.radians(lng) * 6378137.0, F.log(F.tan(F.pi() / 4 + F.radians(lat) / 2)) * 6378137.0
+
+
+def in_ring(lat: Column, lng: Column, ring: Column) -> Column:
+    """Whether a closed ring (array of structs lng, lat) holds a point, by the parity of the edges a ray crosses."""
+    edges = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def crossed(e: Column) -> Column:
+        (xa, ya), (xb, yb) = ((e[k]["lng"], e[k]["lat"]) for k in "ab")
+        return ((ya > lat) != (yb > lat)) & (lng < (xb - xa) * (lat - ya) / F.when(yb == ya, 1e-12).otherwise(yb - ya) + xa)
+
+    return F.size(F.filter(edges, crossed)) % 2 == 1

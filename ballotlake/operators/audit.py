@@ -25,9 +25,18 @@ def broken(log: DataFrame, span: int = 1_000_000) -> DataFrame:
     return rows.filter(~good & ((F.col("prev_hash") != F.col("expected")) | (link_hash(F.col("prev_hash")) != F.col("log_hash")))).select("seq")
 
 
-def merkle_root(leaves: DataFrame) -> str:
+def numbered(rows: DataFrame, span: int = 1_000_000) -> DataFrame:
+    """rows with at, their place from 0 in the order of seq. Ranges of seq are numbered apart and moved by what lies below."""
+    ranged = rows.withColumn("part", F.floor(F.col("seq") / span))
+    below = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", below.alias("ahead"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("part").orderBy("seq")) - 1
+    return ranged.withColumn("place", place).join(ahead, "part").withColumn("at", F.col("place") + F.col("ahead")).drop("part", "place", "ahead")
+
+
+def merkle_root(leaves: DataFrame, span: int = 1_000_000) -> str:
     """The root over leaves (seq, hash) in the order of seq: double SHA-256 of pairs, an odd last one with itself."""
-    level = leaves.select((F.row_number().over(Window.orderBy("seq")) - 1).alias("at"), "hash")
+    level = numbered(leaves, span).select("at", "hash")
     n = level.count()
     if n == 0:
         return ZEROS

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import geofence, haversine
-from ..operators import anomaly, rollups
+from ..functions.geo import geofence, haversine, in_ring, mercator, tile
+from ..operators import anomaly, audit, rollups, validation
 from ..operators.consensus import VERIFIED, consensus
 from ..sources import fixture
 
@@ -234,3 +234,161 @@ def _(spark, sf_dir):
     h = (F.col("event_id") % 300).cast("double") / 60
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.when(h > 4, "failed").when(h * 60 > 30, "queued").otherwise("skipped").alias("outcome"))
     return rows.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+_UPLOAD = "o_orderkey * 7919 % 15000000 image_bytes, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 2500 END metres, CASE WHEN o_orderkey % 50 = 0 THEN 'XYZ' ELSE sha256(o_orderkey::VARCHAR) END sha"
+
+
+@query("M1_ingestion", f"""SELECT id, CASE WHEN r IS NULL THEN 'accepted' ELSE 'rejected' END verdict, coalesce(r, CASE WHEN f = '' THEN 'ok' ELSE f END) flags FROM (
+  SELECT id, CASE WHEN NOT regexp_full_match(sha, '[0-9a-f]{{64}}') THEN 'hash_malformed' WHEN image_bytes > 12000000 THEN 'image_too_large' WHEN metres > 2000 THEN 'gps_violation' WHEN party IS NOT NULL AND nth > 1 THEN 'duplicate_party_submission' END r,
+    concat_ws(',', CASE WHEN image_bytes < 60000 THEN 'image_too_small' END, CASE WHEN metres IS NULL THEN 'gps_missing' WHEN metres > 100 THEN 'gps_warning' END) f
+  FROM (SELECT o_orderkey id, {_UPLOAD}, CASE WHEN o_orderkey % 10 <= 4 THEN 'P' || (o_orderkey % 4) END party, row_number() OVER (PARTITION BY o_custkey, CASE WHEN o_orderkey % 10 <= 4 THEN 'P' || (o_orderkey % 4) END ORDER BY o_orderdate, o_orderkey) nth FROM orders))""", False)
+def _(spark, sf_dir):
+    k = F.col("id")
+    rows = fixture.submissions(spark, sf_dir).withColumn("image_bytes", k * 7919 % 15000000).withColumn("metres", F.when(k % 6 != 0, k % 2500))
+    return validation.ingestion(rows.withColumn("sha256", F.when(k % 50 == 0, "XYZ").otherwise(F.sha2(k.cast("string"), 256))))
+
+
+_FORMS = """, f AS (SELECT id, CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END + a + b + c valid, a + b + c votes, a + b + c + 12 "cast", pu % 50 + 300 accredited, registered FROM raw JOIN units USING (pu)),
+g AS (SELECT id, concat_ws(',', CASE WHEN votes <> valid THEN 'candidate_votes_sum_neq_total_valid' END, CASE WHEN valid + 12 <> "cast" THEN 'valid_plus_rejected_neq_cast' END, CASE WHEN "cast" > accredited THEN 'cast_exceeds_accredited' END, CASE WHEN accredited > registered THEN 'accredited_exceeds_registered' END) failures FROM f)"""
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixture.submissions(spark, sf_dir).filter("approved").join(fixture.units(spark, sf_dir), "pu")
+    wrong = rows.withColumn("valid", F.col("valid") + F.when(F.col("id") % 11 == 0, 1).otherwise(0))
+    return wrong.select("id", validation.arithmetic(wrong).alias("failures"))
+
+
+@query("M7_arithmetic", _FORMS + " SELECT id, failures FROM g WHERE failures <> ''")
+def _(spark, sf_dir):
+    return _forms(spark, sf_dir).filter("failures <> ''")
+
+
+@query("M9_auto_approve", _FORMS + " SELECT id, CASE WHEN id % 100 >= 85 AND failures = '' THEN 'auto_approved' ELSE 'pending_review' END status FROM g")
+def _(spark, sf_dir):
+    return _forms(spark, sf_dir).select("id", validation.approval((F.col("id") % 100) / 100, F.col("failures")).alias("status"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+@query("C17_review_guard", "SELECT event_id, CASE WHEN event_id % 2 = 1 AND event_id % 3 = 0 THEN 'error: reject requires a reason' WHEN event_id % 5 = 0 THEN 'error: not pending_review' WHEN event_id % 2 = 0 THEN 'reviewed_accepted' ELSE 'reviewed_rejected' END outcome FROM events", False)
+def _(spark, sf_dir):
+    k = F.col("event_id")
+    action, status, reason = F.when(k % 2 == 0, "approve").otherwise("reject"), F.when(k % 5 == 0, "failed").otherwise("pending_review"), F.when(k % 3 != 0, "because")
+    return _events(spark, sf_dir).select("event_id", validation.review(action, status, reason).alias("outcome"))
+
+
+@query("C21_device_binding", "SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'first_login' WHEN user_id % 7 = event_id % 7 THEN 'same_device' ELSE 'denied' END outcome FROM events", False)
+def _(spark, sf_dir):
+    stored = F.when(F.col("user_id") % 4 != 0, F.col("user_id") % 7)
+    return _events(spark, sf_dir).select("event_id", validation.device(stored, F.col("event_id") % 7).alias("outcome"))
+
+
+@query("C22_one_time_code", "SELECT CASE WHEN event_id % 2 = 0 THEN 'consumed' WHEN event_id % 3 = 0 THEN 'expired' WHEN event_id % 9 >= 5 THEN 'too_many_attempts' WHEN event_id % 7 <> 0 THEN 'mismatch' ELSE 'ok' END outcome, count(*)::BIGINT n FROM events GROUP BY 1", False)
+def _(spark, sf_dir):
+    k = F.col("event_id")
+    return _events(spark, sf_dir).groupBy(validation.one_time_code(k % 2 == 0, k % 3 == 0, k % 9, k % 7 == 0).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("M19_kebab_names", "SELECT c_custkey, regexp_replace(regexp_replace(lower(c_name || ' / ' || c_mktsegment), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') slug FROM customer", False)
+def _(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", validation.kebab(F.concat_ws(" / ", "c_name", "c_mktsegment")).alias("slug"))
+
+
+@query("M10_clean_numbers", "SELECT c_custkey, regexp_replace(c_name, '[^0-9-]', '', 'g') digits, abs(regexp_replace(replace(c_name, '#', ''), '[^0-9]', '', 'g')::BIGINT) n FROM customer", False)
+def _(spark, sf_dir):
+    name = F.replace(F.replace("c_name", F.lit("#")), F.lit("-"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.regexp_replace("c_name", r"[^\d-]", "").alias("digits"), validation.whole_number(name).alias("n"))
+
+
+@query("K9_code_hash", "SELECT o_orderkey, sha256(concat(o_custkey, ':', o_orderkey)) digest FROM orders", False)
+def _(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.sha2(F.concat_ws(":", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")), 256).alias("digest"))
+
+
+_PLACE = "(SELECT pu, 4 + (pu % 900)::DOUBLE / 100 lat, 3 + (pu % 1100)::DOUBLE / 100 lng FROM units)"
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture.units(spark, sf_dir).select("pu", (4 + (F.col("pu") % 900).cast("double") / 100).alias("lat"), (3 + (F.col("pu") % 1100).cast("double") / 100).alias("lng"))
+
+
+@query("L10_tile_of_unit", f"SELECT pu, floor((lng + 180) / 360 * 1024)::BIGINT x, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 1024)::BIGINT y FROM {_PLACE}")
+def _(spark, sf_dir):
+    x, y = tile(F.col("lat"), F.col("lng"), 10)
+    return _places(spark, sf_dir).select("pu", x.alias("x"), y.alias("y"))
+
+
+@query("L9_mercator", f"SELECT pu, round(radians(lng) * 6378137, 2) x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 2) y FROM {_PLACE}")
+def _(spark, sf_dir):
+    x, y = mercator(F.col("lat"), F.col("lng"))
+    return _places(spark, sf_dir).select("pu", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"))
+
+
+@query("L5_point_in_ring", f"SELECT pu, (lat > 5 AND lat < 10 AND lng > 4 AND lng < lat + 1) inside FROM {_PLACE} WHERE pu % 900 NOT IN (100, 600) AND pu % 1100 <> 100 AND abs(lng - lat - 1) > 1e-6")
+def _(spark, sf_dir):
+    ring = F.array(*(F.struct(F.lit(x).alias("lng"), F.lit(y).alias("lat")) for x, y in ((4.0, 5.0), (6.0, 5.0), (11.0, 10.0), (4.0, 10.0), (4.0, 5.0))))
+    rows = _places(spark, sf_dir).filter("pu % 900 not in (100, 600) and pu % 1100 <> 100 and abs(lng - lat - 1) > 1e-6")
+    return rows.select("pu", in_ring(F.col("lat"), F.col("lng"), ring).alias("inside"))
+
+
+@query("L3_centroids", f"SELECT lga, round(avg(lat), 6) lat, round(avg(lng), 6) lng, count(*)::BIGINT pus FROM {_PLACE} JOIN (SELECT pu, lga FROM units) USING (pu) GROUP BY 1")
+def _(spark, sf_dir):
+    rows = _places(spark, sf_dir).join(fixture.units(spark, sf_dir).select("pu", "lga"), "pu")
+    return rows.groupBy("lga").agg(F.round(F.avg("lat"), 6).alias("lat"), F.round(F.avg("lng"), 6).alias("lng"), F.count("*").alias("pus"))
+
+
+@query("D17_anti_collision", "SELECT ward_name, count(DISTINCT lga)::BIGINT lgas FROM (SELECT lga, split_part(ward, '-', 2) ward_name FROM units) GROUP BY 1 HAVING count(DISTINCT lga) > 1")
+def _(spark, sf_dir):
+    rows = fixture.units(spark, sf_dir).select("lga", F.split_part("ward", F.lit("-"), F.lit(2)).alias("ward_name"))
+    return rows.groupBy("ward_name").agg(F.countDistinct("lga").alias("lgas")).filter("lgas > 1")
+
+
+@query("B3_first_seen_code", "SELECT c_custkey, first_value(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) code FROM customer", False)
+def _(spark, sf_dir):
+    w = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.first("c_custkey").over(w).alias("code"))
+
+
+@query("B6_newest_official", "SELECT election, pu, arg_max(id, (t, id)) id FROM raw WHERE official GROUP BY 1, 2")
+def _(spark, sf_dir):
+    rows = fixture.submissions(spark, sf_dir).filter("approved and source_type = 'official'")
+    return rows.groupBy("election", "pu").agg(F.max_by("id", F.struct("submitted_at", "id")).alias("id"))
+
+
+@query("G4_state_winners", ", t AS (SELECT state, party, sum(n)::BIGINT n FROM votes WHERE status IN ('consensus', 'inec_confirmed', 'inec_published') GROUP BY 1, 2) SELECT state::VARCHAR code, party winner, n votes FROM t QUALIFY row_number() OVER (PARTITION BY state ORDER BY n DESC, party) = 1")
+def _(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n"), "party"))
+    return rollups.party_totals(_live(spark, sf_dir), "state").withColumn("at", place).filter("at = 1").select("code", F.col("party").alias("winner"), F.col("n").alias("votes"))
+
+
+@query("D10_across_elections", "SELECT n.pu, n.status now, b.status before FROM results n JOIN results b ON n.pu = b.pu WHERE n.election = 'cur' AND b.election = 'base'")
+def _(spark, sf_dir):
+    rows = _results(spark, sf_dir).select("pu", "election", "status")
+    before = rows.filter("election = 'base'").select("pu", F.col("status").alias("before"))
+    return rows.filter("election = 'cur'").join(before, "pu").select("pu", F.col("status").alias("now"), "before")
+
+
+@query("H3_review_queue", "SELECT id, pu FROM (SELECT o_orderkey id, o_custkey pu, o_orderdate t FROM orders WHERE o_orderkey % 20 = 19) ORDER BY t, id LIMIT 100", False)
+def _(spark, sf_dir):
+    return fixture.submissions(spark, sf_dir).filter("not approved").orderBy("submitted_at", "id").limit(100).select("id", "pu")
+
+
+@query("C11_public_rows", "SELECT id, pu, election FROM raw")
+def _(spark, sf_dir):
+    return fixture.submissions(spark, sf_dir).filter("approved").select("id", "pu", "election")
+
+
+@query("O6_tumbling_counts", "SELECT user_id, epoch(date_trunc('hour', ts))::BIGINT started, count(*)::BIGINT n FROM events GROUP BY 1, 2", False)
+def _(spark, sf_dir):
+    rows = _events(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
+    return rows.groupBy("user_id", F.window("at", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_timestamp(F.col("w.start")).alias("started"), "n")
+
+
+@query("K4_merkle_root")
+def _(spark, sf_dir):
+    """The root over the hashes of all orders, in the order of their keys."""
+    leaves = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("seq"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("hash"))
+    return spark.createDataFrame([(audit.merkle_root(leaves),)], "root string")
