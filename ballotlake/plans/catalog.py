@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import geofence, haversine, in_ring, mercator, tile
-from ..operators import anomaly, audit, rollups, validation
+from ..operators import anomaly, audit, divergence, intake, reconcile, rollups, validation
 from ..operators.consensus import VERIFIED, consensus
-from ..sources import fixture
+from ..sources import files, fixture
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -392,3 +392,75 @@ def _(spark, sf_dir):
     """The root over the hashes of all orders, in the order of their keys."""
     leaves = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("seq"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("hash"))
     return spark.createDataFrame([(audit.merkle_root(leaves),)], "root string")
+
+
+@query("E15_party_totals", "SELECT state::VARCHAR code, party, sum(n)::BIGINT n FROM votes GROUP BY GROUPING SETS ((state, party), (party))")
+def _(spark, sf_dir):
+    rows = _live(spark, sf_dir).filter("votes is not null").select("state", F.explode("votes").alias("party", "n"))
+    return rows.groupingSets([["state", "party"], ["party"]], "state", "party").agg(F.sum("n").alias("n")).select(F.col("state").cast("string").alias("code"), "party", "n")
+
+
+@query("E16_dashboard", ", t AS (SELECT party, sum(n)::BIGINT votes FROM votes GROUP BY 1), s AS (SELECT *, votes::DOUBLE / sum(votes) OVER () share FROM t) SELECT party, votes, round(share * 100, 6) support_pct, floor(share * 469 + 0.5)::BIGINT seats FROM s")
+def _(spark, sf_dir):
+    rows = _live(spark, sf_dir).filter("votes is not null").select(F.explode("votes").alias("party", "n"))
+    return divergence.dashboard(rows, 469).select("party", "votes", F.round("support_pct", 6).alias("support_pct"), "seats")
+
+
+_ALTERED = ", d AS (SELECT state, lga, ward, party, sum(n)::BIGINT computed, sum(CASE WHEN party = 'A' AND pu % 25 = 3 THEN 7 ELSE 0 END)::BIGINT difference FROM votes WHERE status IN ('consensus', 'single_source', 'inec_confirmed') GROUP BY 1, 2, 3, 4)"
+
+
+def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live rows as a forged collation would have them: seven more votes for A in some units."""
+    more = F.when(F.col("pu") % 25 == 3, 7).otherwise(0)
+    forged = F.transform_values("votes", lambda k, v: v + F.when(k == "A", more).otherwise(0))
+    return _live(spark, sf_dir).withColumn("votes", forged)
+
+
+@query("M36_divergence", _ALTERED + """, t AS (SELECT lga::VARCHAR code, party, sum(computed + difference)::BIGINT declared, sum(computed)::BIGINT computed, sum(difference)::BIGINT difference FROM d GROUP BY 1, 2),
+c AS (SELECT lga::VARCHAR code, 100.0::DOUBLE * count(*) FILTER (status <> 'no_data') / count(*) x FROM live GROUP BY 1)
+SELECT t.*, CASE WHEN round(x, 2) < 30 THEN 'insufficient' WHEN round(x, 2) < 50 THEN 'early' WHEN round(x, 2) < 75 THEN 'significant' WHEN round(x, 2) < 90 THEN 'strong' ELSE 'verified' END tier FROM t JOIN c USING (code) WHERE difference <> 0""")
+def _(spark, sf_dir):
+    used = ("consensus", "single_source", "inec_confirmed")
+    live = _live(spark, sf_dir)
+    return divergence.divergences(rollups.party_totals(_declared(spark, sf_dir), "lga", used), rollups.party_totals(live, "lga", used), rollups.coverage(live, "lga"))
+
+
+@query("M36_localised", _ALTERED + " SELECT CASE WHEN lga IS NULL THEN 'state' WHEN ward IS NULL THEN 'lga' ELSE 'ward' END \"level\", state, lga, ward, party, sum(difference)::BIGINT difference FROM d GROUP BY GROUPING SETS ((party, state, lga, ward), (party, state, lga), (party, state)) HAVING sum(difference) <> 0")
+def _(spark, sf_dir):
+    return divergence.localise(rollups.bottom_up(_declared(spark, sf_dir)), rollups.bottom_up(_live(spark, sf_dir)))
+
+
+@query("J7_reconcile", """SELECT c_custkey::VARCHAR source_id, CASE WHEN c_custkey % 5 = 1 THEN 'qqqqqqqq' ELSE n_name END lga, CASE WHEN c_custkey % 5 = 2 THEN 'zzzz' WHEN c_custkey % 5 = 3 THEN c_mktsegment || ' Ward' ELSE c_mktsegment END ward,
+  CASE WHEN c_custkey % 5 IN (1, 2) AND c_custkey % 7 <> 0 THEN NULL ELSE concat(c_nationkey, '-', c_mktsegment) END ward_code, (CASE WHEN c_custkey % 5 IN (1, 2) AND c_custkey % 7 <> 0 THEN 0 ELSE 1 END)::DOUBLE confidence,
+  CASE WHEN c_custkey % 7 = 0 THEN 'override' WHEN c_custkey % 5 = 1 THEN 'no_lga' WHEN c_custkey % 5 = 2 THEN 'no_ward' ELSE 'exact' END reason FROM customer JOIN nation ON c_nationkey = n_nationkey""", False)
+def _(spark, sf_dir):
+    """Wards under their own and under wrong names against the register of nations and segments; every seventh is overridden."""
+    k = F.col("c_custkey")
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("ward_code", F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment"))
+    register = rows.select(F.concat(F.lit("R"), "n_regionkey").alias("state_code"), F.lit("").alias("state"), F.col("n_name").alias("lga"), "ward_code", F.col("c_mktsegment").alias("ward")).distinct()
+    ward = F.when(k % 5 == 2, "zzzz").when(k % 5 == 3, F.concat("c_mktsegment", F.lit(" Ward"))).otherwise(F.col("c_mktsegment"))
+    features = rows.select(k.cast("string").alias("source_id"), F.concat(F.lit("r"), "n_regionkey").alias("state_code"), F.lit("").alias("state"), F.when(k % 5 == 1, "qqqqqqqq").otherwise(F.col("n_name")).alias("lga"), ward.alias("ward"), F.lit(None).cast("string").alias("alt"))
+    overrides = rows.filter(k % 7 == 0).select(k.cast("string").alias("source_id"), "ward_code")
+    return reconcile.reconcile(features, register, overrides).drop("state")
+
+
+@query("M11_label_field", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'pu_code' WHEN 1 THEN 'registered_voters' WHEN 2 THEN 'rejected_ballots' WHEN 3 THEN 'total_votes_cast' END field FROM events", False)
+def _(spark, sf_dir):
+    label = F.element_at(F.array(*map(F.lit, ("Polling Unit Code", "TOTAL REGISTERED voters", "Rejected votes", "Total ballot cast", "remarks"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return _events(spark, sf_dir).select("event_id", intake.field_of(label).alias("field"))
+
+
+@query("M16_roster", """SELECT line, CASE WHEN line % 13 = 0 THEN 'name is empty' WHEN line % 11 = 0 THEN 'language is unknown' WHEN line % 7 = 0 THEN 'phone is invalid' WHEN row_number() OVER (PARTITION BY u, line % 13 = 0 OR line % 11 = 0 OR line % 7 = 0 ORDER BY line) > 1 THEN 'phone is duplicated' END error
+FROM (SELECT event_id line, user_id u FROM events)""", False)
+def _(spark, sf_dir):
+    line = F.col("event_id")
+    number = F.concat(F.lit("0803 "), F.lpad(F.col("user_id").cast("string"), 7, "0"))
+    rows = _events(spark, sf_dir).select(line.alias("line"), F.when(line % 13 != 0, "A B").alias("name"), F.when(line % 7 == 0, "12").otherwise(number).alias("phone"), F.lit("01-02").alias("pu_code"), F.when(line % 11 == 0, "fr").otherwise("EN ").alias("language"))
+    return intake.roster(rows, ("en", "ha", "yo", "ig", "pcm")).select("line", "error")
+
+
+@query("B11_hash_manifest", "SELECT o_orderkey id, o_custkey pu, CASE WHEN o_orderkey % 10 <= 4 THEN 'P' || (o_orderkey % 4) ELSE '' END party, sha256(o_orderkey::VARCHAR) sha256, epoch(o_orderdate)::BIGINT submitted_at FROM orders", False)
+def _(spark, sf_dir):
+    rows = fixture.submissions(spark, sf_dir).withColumn("sha256", F.sha2(F.col("id").cast("string"), 256))
+    return files.hash_manifest(rows).withColumn("submitted_at", F.unix_timestamp("submitted_at"))
