@@ -1,7 +1,7 @@
 """Toxic passages: significant maximum-scoring segments of token log-odds.
 
 Log-odds of tokens by class come from documents that hold them, with a Dirichlet prior in proportion to
-the corpus (its weight a share of the corpus, so that rare tokens stay near zero). Words and the starts of
+their counts in all documents (its weight a share of each class, so that rare tokens stay near zero). Words and the starts of
 words are tokens, so that a stem counts in forms that were not learned; a word scores by its best token.
 Tokens of significant log-odds score, all others cost a little. A linear scan finds all maximal segments of a text; their
 scores follow an extreme-value law on clean text, whose parameters give each segment an expected
@@ -10,19 +10,22 @@ number, and the segments together the evidence that a logistic curve turns into
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_rows, materialize
 
-LABELLED = 60_000  # labelled rows that are learned from, at most: a bounded sample by hash of doc_id
+LABELLED = 60_000  # distinct labelled texts that are learned from, at most: a bounded sample by hash of doc_id
+BROADCAST = 500_000  # tokens that tasks are told to look for, at most: beyond it they count all
+HELD = 300_000  # distinct tokens that a counting task holds before it sends them
 VOCABULARY = 20_000  # significant tokens that a model holds, at most: the most significant ones
-PRIOR = 0.1  # the prior's weight against the corpus
+PRIOR = 0.1  # the prior's weight against the class
 Z = 3.0  # standard errors from zero at which a token counts
 DRIFT = 0.5  # what any other token costs
 STARTS = range(4, 9)  # bytes of a word's starts that are tokens
@@ -110,54 +113,108 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """toxic, text: learned rows, one for each set of copies, at most LABELLED; rows share a set if their least word pair hashes alike."""
+    """label, text: learned rows, one for each distinct text and label, at most LABELLED; case of A-Z and blanks make no other text."""
     chosen = labels.filter(F.col(label).isNotNull() & ~held_out()).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)  # the broadcast is bounded by it
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("doc_id is not null and text is not null")
+
+    def keys(texts: pa.Array) -> pa.Array:
+        return pa.array([xxhash.xxh3_128_digest(b" ".join(words(t))) for t in texts.to_pylist()], pa.binary())
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                w = words(text)
-                out.append(min(map(zlib.crc32, map(b" ".join, zip(w, w[1:]))), default=zlib.crc32(text)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], ["doc_id", "label", "text", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys(batch.column(1))], ["doc_id", "key"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    keyed = materialize(rows.mapInArrow(key, "doc_id long, label int, text binary, key long"), "labelled")
-    first = keyed.groupBy("key", "label").agg(F.min("doc_id").alias("doc_id"))
-    return keyed.join(first, ["key", "label", "doc_id"], "left_semi").select("label", "text")
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # a doc_id can have several texts
+        for batch in batches:
+            yield batch.filter(pa.array([a == b for a, b in zip(keys(batch.column(2)).to_pylist(), batch.column(3).to_pylist())], pa.bool_()))
 
+    own = rows.filter(~held_out()).mapInArrow(key, "doc_id long, key binary").join(chosen, "doc_id")
+    first = own.groupBy("key", "label").agg(F.min("doc_id").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(LABELLED)
+    first = materialize(first, "learned")  # the broadcast is bounded by LABELLED
+    texts = rows.join(F.broadcast(first), "doc_id").select("doc_id", "label", "text", "key").mapInArrow(same, "doc_id long, label int, text binary, key binary")
+    return texts.dropDuplicates(["key", "label"]).select("label", "text")
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """A model from labelled documents of the learned folds; without any of either class, one that scores low."""
-    rows = materialize(training_rows(docs, labels, label), "toxic-rows")
-    sizes = {k: (n, t) for k, n, t in rows.groupBy("label").agg(F.count("*"), F.sum(F.length("text"))).collect()}
+
+class _Memo(dict):
+    """What make gives of each word, kept for the next document."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, w: bytes):
+        if len(self) > 200_000:
+            self.clear()
+        self[w] = out = self.make(w)
+        return out
+
+
+WORDS = b" "  # counts a row's distinct words; no token is a blank alone
+
+
+def token_counts(texts: DataFrame, name: str, wanted: set[bytes] | None = None) -> DataFrame:
+    """token, and in how many rows of texts (one binary column) each wanted token is (all of them if None), with WORDS."""
+    send = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        these, found, n = send.value, Counter(), 0
+        bare = _Memo(lambda w: w.strip(_STRIP))
+        of = _Memo(lambda w: tuple(x for x in (w, *starts(w)) if these is None or x in these) if w else ())
         for batch in batches:
-            found: dict[bytes, list[int]] = {}
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = {w.strip(_STRIP) for w in words(text)}
-                for w in own.union(*map(starts, own)):
-                    found.setdefault(w, [0, 0])[k] += 1
-            found.pop(b"", None)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), *(pa.array([v[k] for v in found.values()], pa.int64()) for k in (0, 1))], ["token", "clean", "toxic"])
-
-    counts = rows.filter("label in (0, 1)").mapInArrow(count, "token binary, clean long, toxic long").groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = materialize(counts, "tokens")
-    n = counts.filter("substring(token, -1, 1) != X'20'").agg(F.sum("clean"), F.sum("toxic")).first()
-    if not n[0] or not n[1]:
+            for text in batch.column(0).to_pylist():
+                own = set(map(bare.__getitem__, set(words(text))))
+                n += len(own) - (b"" in own)
+                found.update(set().union(*map(of.__getitem__, own)))
+                if len(found) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["token", name])
+                    found.clear()
+        found[WORDS] = n
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["token", name])
+
+    return materialize(texts.mapInArrow(count, f"token binary, {name} long").groupBy("token").agg(F.sum(name).alias(name)), f"{name}-tokens")
+
+
+def least_rows(toxic: int, clean: int) -> int:
+    """In how many toxic rows a token of no clean row must be to count, whatever its prior; clean is not too low."""
+    p = np.logspace(-9, 6, 3000)
+    t = 1
+    while t < 1000:
+        left = np.maximum(1 - (t + p) / (toxic * (1 + PRIOR)), 1e-9)
+        z = (np.log((t + p) / p) - np.log(left)) / np.sqrt(1 / (t + p) + toxic / (clean * p))
+        if z.max() >= 0.99 * Z:
+            break
+        t += 1
+    return t
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
+    """A model from labelled documents of the learned folds; without any of either class, one that scores low."""
+    rows = materialize(training_rows(docs, labels, label), "toxic-rows")
+    size = {k: (c or 0) for k, c in rows.groupBy("label").agg(F.sum(F.length("text") / 2 + 1).cast("long")).collect()}
+    toxic = token_counts(rows.filter("label = 1").select("text"), "toxic")
+    n1 = toxic.filter(F.col("token") == F.lit(WORDS)).agg(F.sum("toxic")).first()[0]
+    if not n1 or not size.get(0):
         return Model({}, 1.0, 1.0, -5.0, 0.0)
-    everything = n[0] + n[1]
+    # no other token can reach Z, so only these are looked for in the other texts
+    possible = toxic.filter((F.col("toxic") >= least_rows(n1, size[0])) & (F.col("token") != F.lit(WORDS)))
+    few = possible.select("token").limit(BROADCAST + 1).collect()
+    wanted = {bytes(t) for t, in few} if len(few) <= BROADCAST else None
+    clean = token_counts(rows.filter("label = 0").select("text"), "clean", wanted)
+    corpus = token_counts(docs.filter("text is not null").select(F.col("text").cast("binary")), "n", wanted)
+    n0, everything = (t.filter(F.col("token") == F.lit(WORDS)).agg(F.sum(c)).first()[0] for t, c in ((clean, "clean"), (corpus, "n")))
+    if not n0:
+        return Model({}, 1.0, 1.0, -5.0, 0.0)
+    n = (n0, n1)
+    counts = possible.join(clean, "token", "left").join(corpus, "token").fillna(0, ["clean"])
+
+    def prior(size: int) -> F.Column:  # each class is drawn alike to the corpus, however the copies of a text swell it
+        return PRIOR * size * F.col("n") / everything
 
     def log_odds(own: str, size: int) -> F.Column:
-        prior = PRIOR * (F.col("clean") + F.col("toxic"))
-        return F.log((F.col(own) + prior) / (size + PRIOR * everything - F.col(own) - prior))
+        seen = F.col(own) + prior(size)
+        return F.log(seen / (size + PRIOR * size - seen))
 
-    prior = PRIOR * (F.col("clean") + F.col("toxic"))
     delta = log_odds("toxic", n[1]) - log_odds("clean", n[0])
-    z = delta / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
+    z = delta / F.sqrt(1 / (F.col("toxic") + prior(n[1])) + 1 / (F.col("clean") + prior(n[0])))
     top = counts.withColumn("delta", delta).withColumn("z", z).filter((F.col("z") >= Z) & (F.col("delta") > 1.0)).orderBy(F.desc("z"), "token").limit(VOCABULARY)
     picked = top.select("token", "delta", "clean").collect()
     gains = {bytes(t): float(d) for t, d, _ in picked}
