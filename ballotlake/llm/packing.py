@@ -8,6 +8,7 @@ groups of partitions meet, until one group is left or a group would hold too man
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -28,13 +29,15 @@ GROUP = 1_000_000  # bins that meet in one task at most
 
 @cache
 def tokenizer(path: str):
-    """The byte-level BPE whose ranks lie beside the .json file under the same name; ids are the same, and faster."""
+    """The byte-level BPE of the .json file, faster: ranks lie beside it under the same name, added tokens are its own."""
     import public_tokenizers
     import tiktoken
 
     with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(path, encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def default_tokenizer() -> str:
@@ -59,7 +62,7 @@ def pieces(docs: DataFrame, path: str | None = None, end: int = 2, capacity: int
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(coder.encode_to_numpy(text or "", disallowed_special=()), end).astype("<u4")
+                ids = np.append(coder.encode_to_numpy(text or "", allowed_special="all"), end).astype("<u4")
                 first = len(ids) % capacity or capacity
                 for k, at in enumerate(range(first - capacity, len(ids), capacity)):
                     start = max(0, at)
