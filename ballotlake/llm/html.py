@@ -23,6 +23,8 @@ _PUNCT = re.compile(r"[.,;:!?…。，]")
 #: Fixed names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title noscript template svg math iframe object textarea select button canvas".split())
+#: Of RAW, those whose text runs to the first end tag, or to the end of the page.
+TEXT = frozenset("script style title textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 APART = frozenset("nav header footer aside form head dialog menu".split())
@@ -32,6 +34,23 @@ NOTICE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|c
 CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
 
 
+_EMPTY = re.compile(r"(?<![^\s\"'/])/\s*\Z|(?:\A|\s)[^\s=\"']+/\s*\Z")  # a slash that ends a tag and no unquoted value
+
+
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each start tag of a name, by its end, has the end of its own end tag: the innermost open one takes an end tag."""
+    found: dict[int, int] = {}
+    begun: list[int] = []
+    for m in re.finditer(rf"<!--.*?-->|<(/?){re.escape(tag)}(?=[\s/>])((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", page, re.I | re.S):
+        if m[1] is None or (not m[1] and _EMPTY.search(m[2])):
+            continue
+        if not m[1]:
+            begun.append(m.end())
+        elif begun:
+            found[begun.pop()] = m.end()
+    return found
+
+
 class Block:
     """A run of text between block tags: its path, whether a tag above sets it apart, or holds content."""
 
@@ -46,6 +65,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str, bool, bool]] = []  # tag, label, set apart, content: of it and those above
     text: list[str] = []
     linked = links = at = 0
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -79,8 +99,15 @@ def blocks(page: str) -> list[Block]:
                 close(k)
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if m[3] and _EMPTY.search(m[3]):
+                continue
+            if tag in TEXT:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            else:  # without an end tag of its own only the tag is skipped
+                if tag not in ends:
+                    ends[tag] = _ends(page, tag)
+                at = ends[tag].get(at, at)
             continue
         if tag not in INLINE:
             if tag in ("br", "wbr"):
