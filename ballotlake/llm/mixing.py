@@ -111,7 +111,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
     """doc_id, size, source_size, target, passes, taken of every row of docs (doc_id, source, text, any others).
 
     passes: how often the mix holds the row; taken: passes times its size. Null texts have size 0 and a null
-    source is a source; equal rows are told apart by the order of the read and may differ in passes.
+    source is a source; rows of one doc_id and size meet in one part, are told apart by the order of the read and may differ in passes.
     """
     rows = materialize(sized(docs).select(F.col("doc_id").cast("long"), "source", "size", F.xxhash64(F.lit(seed), "doc_id", "size").alias("draw"), F.monotonically_increasing_id().alias("row")), "mix")
     counted = materialize(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
@@ -126,10 +126,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
     both = counted.join(target.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     chosen = materialize(both.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, full int, more long"), "mix-plan")
     p = chosen.withColumnRenamed("source", "s").withColumnRenamed("size", "z").withColumn("groups", F.ceil(F.col("n") / RANKED).cast("long"))
-    joined = rows.join(p, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z").withColumn("part", F.pmod(F.xxhash64("draw", "row"), F.col("groups")))
+    joined = rows.join(p, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z").withColumn("part", F.pmod(F.xxhash64("draw"), F.col("groups")))
     # a group of one length is dealt into parts; only the part in which the last document falls is ranked
     parts = chosen.filter("more > 0 and more < n").select("source", "size", "more", F.ceil(F.col("n") / RANKED).cast("long").alias("groups"))
-    split = rows.join(parts.select(F.col("source").alias("s"), F.col("size").alias("z"), "more", "groups"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z").withColumn("part", F.pmod(F.xxhash64("draw", "row"), F.col("groups")))
+    split = rows.join(parts.select(F.col("source").alias("s"), F.col("size").alias("z"), "more", "groups"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z").withColumn("part", F.pmod(F.xxhash64("draw"), F.col("groups")))
     w = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = split.groupBy("source", "size", "part").agg(F.count("*").alias("m"), F.first("more").alias("more")).withColumn("ahead", F.coalesce(F.sum("m").over(w), F.lit(0)))
     quota = ahead.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("q"), F.greatest(F.lit(0), F.least("m", F.col("more") - F.col("ahead"))).alias("quota"), "m")
