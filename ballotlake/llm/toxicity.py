@@ -174,7 +174,7 @@ def token_counts(texts: DataFrame, name: str, wanted: set[bytes] | None = None)
 
 
 def least_rows(toxic: int, clean: int) -> int:
-    """In how many toxic rows a token of no clean row must be to count, whatever its prior; clean is not too low."""
+    """In how many toxic rows a token of no clean row must be to count, whatever its prior."""
     p = np.logspace(-9, 6, 3000)
     t = 1
     while t < 1000:
@@ -189,20 +189,18 @@ def least_rows(toxic: int, clean: int) -> int:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """A model from labelled documents of the learned folds; without any of either class, one that scores low."""
     rows = materialize(training_rows(docs, labels, label), "toxic-rows")
-    size = {k: (c or 0) for k, c in rows.groupBy("label").agg(F.sum(F.length("text") / 2 + 1).cast("long")).collect()}
+    n0 = token_counts(rows.filter("label = 0").select("text"), "clean", set()).agg(F.sum("clean")).first()[0]
     toxic = token_counts(rows.filter("label = 1").select("text"), "toxic")
     n1 = toxic.filter(F.col("token") == F.lit(WORDS)).agg(F.sum("toxic")).first()[0]
-    if not n1 or not size.get(0):
+    if not n0 or not n1:
         return Model({}, 1.0, 1.0, -5.0, 0.0)
     # no other token can reach Z, so only these are looked for in the other texts
-    possible = toxic.filter((F.col("toxic") >= least_rows(n1, size[0])) & (F.col("token") != F.lit(WORDS)))
+    possible = toxic.filter((F.col("toxic") >= least_rows(n1, n0)) & (F.col("token") != F.lit(WORDS)))
     few = possible.select("token").limit(BROADCAST + 1).collect()
     wanted = {bytes(t) for t, in few} if len(few) <= BROADCAST else None
     clean = token_counts(rows.filter("label = 0").select("text"), "clean", wanted)
     corpus = token_counts(docs.filter("text is not null").select(F.col("text").cast("binary")), "n", wanted)
-    n0, everything = (t.filter(F.col("token") == F.lit(WORDS)).agg(F.sum(c)).first()[0] for t, c in ((clean, "clean"), (corpus, "n")))
-    if not n0:
-        return Model({}, 1.0, 1.0, -5.0, 0.0)
+    everything = corpus.filter(F.col("token") == F.lit(WORDS)).agg(F.sum("n")).first()[0]
     n = (n0, n1)
     counts = possible.join(clean, "token", "left").join(corpus, "token").fillna(0, ["clean"])
 
