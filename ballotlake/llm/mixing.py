@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 3
 RANKED = 4096  # documents of one source and length that are ranked in one task, about
-_REACH = 1 << 17  # budgets that the dynamic program covers
+_REACH = 1 << 17  # words left over that the dynamic program covers; larger takes fill all above it first
+_STEPS = 4000  # binary parts of length counts that the program adds, at most; each keeps one bit set of _REACH
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -88,7 +89,7 @@ def _fill(sizes: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int)
             steps.append((i, n, reached))
             reached |= (reached << (size * n)) & mask
             free, part = free - n, part * 2
-        if reached >> left & 1 or len(steps) > 4000:
+        if reached >> left & 1 or len(steps) > _STEPS:
             break
     low = (reached & ((1 << (left + 1)) - 1)).bit_length() - 1
     high = reached >> (left + 1)
@@ -107,13 +108,18 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
 
 
+def _draw(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "source", F.coalesce("text", F.lit("")))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, passes, taken of every row of docs (doc_id, source, text, any others).
+    """doc_id, size, draw, source_size, target, passes, taken of every row of docs (doc_id, source, text, any others).
 
     passes: how often the mix holds the row; taken: passes times its size. Null texts have size 0 and a null
-    source is a source; rows of one doc_id and size meet in one part, are told apart by the order of the read and may differ in passes.
+    source is a source. An empty table gives no row. Who has one pass more follows draw, a hash of seed, doc_id,
+    source and text, so the layout of docs has no say; rows that share all three are alike, and any of them may have it.
     """
-    rows = materialize(sized(docs).select(F.col("doc_id").cast("long"), "source", "size", F.xxhash64(F.lit(seed), "doc_id", "size").alias("draw"), F.monotonically_increasing_id().alias("row")), "mix")
+    rows = materialize(sized(docs).select(F.col("doc_id").cast("long"), "source", "size", _draw(seed).alias("draw"), F.monotonically_increasing_id().alias("row")), "mix")
     counted = materialize(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
     target = targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, epochs)
 
@@ -136,4 +142,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
     ranked = joined.join(quota, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("q")), "left").drop("s", "z", "q")
     place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("draw", "row"))
     passes = F.col("full") + F.when(F.col("more") >= F.col("n"), 1).when(place <= F.coalesce("quota", F.lit(0)), 1).otherwise(0)
-    return ranked.withColumn("passes", passes.cast("long")).select("row", "doc_id", "size", "source_size", "target", "passes", (F.col("passes") * F.col("size")).alias("taken"))
+    return ranked.withColumn("passes", passes.cast("long")).select("doc_id", "size", "draw", "source_size", "target", "passes", (F.col("passes") * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = 7) -> DataFrame:
+    """The rows of docs, all their columns, each as often as the mix holds it.
+
+    Rows are told apart by id, source and text, so rows with one id or none keep their own passes; rows alike in
+    all three come as often as their passes together. Texts meet their number by one shuffle at every size.
+    """
+    own, draw, times, copy = (fresh(docs, x) for x in ("own", "draw", "times", "copy"))
+    plan = mix(docs, weights, epochs, seed).groupBy("doc_id", "draw").agg(F.count("*").alias("alike"), F.sum("passes").cast("int").alias("passes"))
+    plan = materialize(plan.filter("passes > 0"), "mix-passes")
+    plan = plan.select(F.col("doc_id").alias(own), F.col("draw").alias(f"{draw}_"), F.col("passes").alias(times), "alike")
+    keyed = docs.withColumn(draw, _draw(seed))
+
+    def expand(rows: DataFrame, part: DataFrame) -> DataFrame:
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(draw) == F.col(f"{draw}_"))
+        return rows.join(part.drop("alike").hint("merge"), same).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+
+    taken, repeated = expand(keyed, plan.filter("alike = 1")), plan.filter("alike > 1")
+    return taken if repeated.isEmpty() else taken.unionByName(expand(keyed.dropDuplicates(["doc_id", draw]), repeated))

@@ -16,10 +16,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import fresh, map_batches, materialize
 
 BITS = 3
 BLOCK = 2048
@@ -42,13 +42,17 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp (signed long) of every whole text; null counts as empty."""
+    """doc_id, tie (a hash of the text), fp (signed long) of every whole text; null counts as empty."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = [fingerprint(t or b"", words) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+        fp = [fingerprint(t or b"", words) for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64())], ["doc_id", "tie", "fp"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), _tie(), F.col("text").cast("binary")), run, "doc_id long, tie long, fp long")
+
+
+def _tie() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")
 
 
 def _keys(fps: DataFrame) -> DataFrame:
@@ -158,6 +162,13 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _labelled(fps: DataFrame, first) -> DataFrame:
+    """fp, first, label: each distinct fingerprint, what `first` makes of its rows, and the fingerprint that names its component."""
+    distinct = materialize(fps.groupBy("fp").agg(first.alias("first")), "simhash-distinct")
+    label = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    return distinct.join(label, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of docs (doc_id, text, any others).
 
@@ -165,9 +176,23 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     keep a row each. A null doc_id gives a row with its component's smallest id, null if it has none.
     """
     fps = materialize(fingerprints(docs, words), "simhash")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    label = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    labelled = distinct.join(label, "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    labelled = _labelled(fps, F.min("doc_id"))
+    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     member = labelled.join(least, "label").select("fp", "component_id")
     return fps.join(member, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
+    """One row of each component, with all columns of docs: that of the smallest doc_id (null last), then of the least text hash.
+
+    Rows are told apart by id and text: different texts under one id, or without an id, stand for themselves. Of
+    rows alike in both one stays, whichever its other columns are.
+    """
+    own, tie = fresh(docs, "own"), fresh(docs, "tie")
+    fps = materialize(fingerprints(docs, words), "simhash")
+    labelled = _labelled(fps, F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")))
+    winner = materialize(labelled.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.tie"), "simhash-first")
+    alike = fps.groupBy("doc_id", "tie").count().filter("count > 1").select("doc_id", "tie")
+    named = winner.select(F.col("doc_id").alias(own), F.col("tie").alias(f"{tie}_"))
+    kept = docs.withColumn(tie, _tie()).join(named, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(tie) == F.col(f"{tie}_")), "left_semi")
+    return (kept if alike.isEmpty() else kept.dropDuplicates(["doc_id", tie])).select(*docs.columns)
