@@ -7,7 +7,6 @@ before the next reads it. All stages but the last return the columns of document
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ballotlake.llm import mixing, packing, quality, simhash, toxicity
 from ballotlake.llm.common import materialize, table
@@ -24,23 +23,13 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id, once. Rows without an id stay, as nothing names them."""
-    groups = materialize(simhash.near_duplicates(docs), "groups")
-    copies = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(materialize(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
-    repeated = materialize(groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    """Of each group of near-duplicates the document with the smallest id, once."""
+    return simhash.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix holds them. Texts meet their number by one shuffle at every size: the numbers grow with the documents."""
-    passes = mixing.mix(docs).filter("passes > 0").groupBy("doc_id").agg(F.max("passes").cast("int").alias("passes"))
-    columns = docs.columns
-    times = materialize(passes, "passes").select(F.col("doc_id").alias("own_id"), "passes").hint("merge")
-    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("own_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), "passes"))).select(*columns)
+    """Documents as often as the mix holds them."""
+    return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of documents, stage by stage.
+
+    Null, empty, repeated and clashing rows and columns go as each stage's operator states: null texts count as
+    empty, a null or shared doc_id names nothing on its own, columns beyond those used pass through all but the last
+    stage, and an empty table gives no pieces.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
