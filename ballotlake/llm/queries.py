@@ -18,11 +18,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, host, path, rule, verdict, score of all pages; the lexicon is the words of page titles and urls."""
+    """page_id, host, path, rule, verdict, score of all pages; the lexicon is the words of page titles and url paths."""
     pages = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
     lexicon = pages.select(F.concat_ws(" ", F.regexp_replace("url", r"(?s)^.*?://[^/?#]*", ""), title).alias("words"))
-    return urls.judge(pages, lexicon).select("page_id", "host", "path", "rule", "verdict", "score", F.concat_ws(" ", "words").alias("words"))
+    judged = urls.judge(pages, lexicon, urls.symbols(F.col("html")))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score", F.concat_ws(" ", "words").alias("words"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

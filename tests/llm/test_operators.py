@@ -118,24 +118,18 @@ def test_simhash_odd_rows(odd, none):
         (None, "", "", None, None),
     ],
 )
-def test_rules(url, host, path, rule, verdict):
-    assert urls.split_url(url) == (host, path)
-    by = {}
-    for h, p, v in urls.RULES:
-        by.setdefault(h, []).append((p, v))
-    assert urls.best_rule(host, path, by) == (rule, verdict)
+def test_rules(spark, url, host, path, rule, verdict):
+    r = urls.judge(spark.createDataFrame([(1, url)], "page_id long, url string")).first()
+    assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
 
 
 def test_viterbi_finds_the_cheapest_split():
-    sketch = np.zeros((2, urls.SKETCH), np.int64)
-    for w, n in {"poker": 50, "king": 40, "pok": 1, "erking": 1, "online": 60}.items():
-        for r in range(2):
-            sketch[r, urls._slot(w, r)] += n
-    s = urls.Segmenter(sketch, 152)
-    assert s.split("pokerkingonline") == ("poker", "king", "online")
-    name = "pokerking"
-    cuts = [[name[a:b] for a, b in zip((0, *c), (*c, len(name)))] for k in range(len(name)) for c in combinations(range(1, len(name)), k)]
-    assert sum(map(s.cost, s.split(name))) == pytest.approx(min(sum(map(s.cost, c)) for c in cuts))
+    counts, total = {"poker": 50, "king": 40, "pok": 1, "erking": 1, "online": 60}, 152
+    cost = lambda w: np.log(total) - np.log(counts[w]) if w in counts else np.log(total) + urls.UNKNOWN * len(w)
+    assert urls.split("pokerkingonline", counts, total) == ["poker", "king", "online"]
+    for name in ("pokerking", "xpokerking", "pokxerking", "zzz", "kingzzpok"):
+        cuts = [[name[a:b] for a, b in zip((0, *c), (*c, len(name)))] for k in range(len(name)) for c in combinations(range(1, len(name)), k)]
+        assert sum(map(cost, urls.split(name, counts, total))) == pytest.approx(min(sum(map(cost, c)) for c in cuts))
 
 
 def test_urls_odd_rows(spark):
