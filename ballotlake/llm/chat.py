@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
+SLICE = 8 << 20  # bytes of roles and texts that are assembled at once: their scatter indices take sixteen times as much
 _FIXED = (b"<s>", None, b"\n", None, b"</s>")
 
 
@@ -40,6 +41,17 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8), offsets
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about SLICE bytes of roles and texts (columns 1 and 2), a row at least."""
+    for batch in batches:
+        size = sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy().astype(np.int64) for k in (1, 2))
+        upto, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            n = max(1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, "right")) - at)
+            yield batch.slice(at, n)
+            at += n
+
+
 def assemble(role: pa.Array, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of escaped roles and texts: all turns in one buffer, where each turn starts in it, and the code points before and in each text."""
     n = len(role)
@@ -68,15 +80,14 @@ def format_conversations(conversations: DataFrame, loss_role: str = "assistant")
     """conv_id, piece, n_turns, formatted, loss: each conversation as text, with the spans (code points) under the loss mask.
 
     Turns go by turn, ties by role and text, null turns first; null roles and texts count as empty, and rows
-    with a null conv_id make one conversation. One that spans Arrow batches comes in several pieces, in
-    order within a partition, so that memory stays bounded for a conversation of any length.
+    with a null conv_id make one conversation. One that spans Arrow batches, or SLICE bytes, comes in several pieces, in
+    order within a partition, so that memory stays bounded for a conversation of any length. Repeated rows are turns
+    of their own; an empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, piece = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             ids = batch.column(0)
             known, values = pc.is_valid(ids).to_numpy(zero_copy_only=False), pc.fill_null(ids, 0).to_numpy()
             cuts = np.r_[0, np.flatnonzero((np.diff(values) != 0) | (known[1:] != known[:-1])) + 1, len(values)]
@@ -84,6 +95,8 @@ def format_conversations(conversations: DataFrame, loss_role: str = "assistant")
             masked = pc.equal(pc.fill_null(role, ""), loss_role).to_numpy(zero_copy_only=False)
             role = pc.replace_substring(_escape(role), "\n", "\\n")
             buf, starts, head, chars = assemble(role, text)
+            if len(buf) > 2**31 - 1:
+                raise ValueError("a turn whose escaped text exceeds the largest string")
             point = np.cumsum(head + chars + 4) - chars - 4  # code points before each text
             first = (point - head)[cuts[:-1]]
             span = np.flatnonzero(masked)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import keep_rows
 
-SAMPLE = 6_000  # documents that the scorer learns from, at most
+SAMPLE = 6_000  # distinct texts that the scorer learns from, at most: those of the least hashes
 FEATURES = 2048
 THRESHOLD = 0.5
 
@@ -141,15 +141,14 @@ def label_model(counted: list[tuple[str, int]], rounds: int = 100) -> tuple[dict
 
 
 def fit(docs: DataFrame) -> tuple[dict[str, float], np.ndarray]:
-    """The posteriors by pattern and the scorer's weights, intercept last."""
+    """The posteriors by pattern and the scorer's weights, intercept last. An empty table gives weights of zero: every text scores a half and stays."""
     counted = patterns(docs)
     posterior, _ = label_model(counted)
-    total = sum(n for _, n in counted)
-    if not total:
+    if not counted:
         return posterior, np.zeros(FEATURES + 1)
-    draw = F.xxhash64("doc_id", "text")
-    share = min(1.0, 1.5 * SAMPLE / total)
-    some = docs.select(F.pmod(draw, F.lit(1 << 30)).alias("draw"), F.col("text").cast("binary").alias("text")).filter(F.col("draw") <= int(share * (1 << 30)))
+    hashed = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("draw"), F.col("text").cast("binary").alias("text"))
+    drawn = [d for d, in hashed.select("draw").distinct().orderBy("draw").limit(SAMPLE).collect()]
+    some = hashed.filter(F.col("draw") <= drawn[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,6 +161,7 @@ def fit(docs: DataFrame) -> tuple[dict[str, float], np.ndarray]:
                 x.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q, pa.float64()), pa.array(at, pa.list_(pa.int16())), pa.array(x, pa.list_(pa.float32()))], ["draw", "q", "at", "x"])
 
+    some = some.dropDuplicates(["draw"])  # copies of a text are one example; as texts differ by their hash, at most SAMPLE rows
     rows = some.mapInArrow(run, "draw long, q double, at array<short>, x array<float>").orderBy("draw", "q").limit(SAMPLE).toArrow()
     q = rows.column("q").to_numpy()
     at, x = (np.concatenate([c.flatten().to_numpy() for c in rows.column(k).chunks]).astype(kind) for k, kind in (("at", np.int64), ("x", np.float64)))
@@ -179,23 +179,22 @@ def fit(docs: DataFrame) -> tuple[dict[str, float], np.ndarray]:
 
 
 def verdict(text: bytes | None, model: tuple[dict[str, float], np.ndarray]) -> tuple[float, float, int]:
-    """Posterior of the text's pattern, score, and 1 if it is good. Where every labeller abstains, as on empty and
-    very short texts, nothing speaks against a text: it scores the posterior of its pattern."""
+    """Posterior of the text's pattern, score, and 1 if it is good."""
     posterior, weights = model
     n, stats, cls = statistics(text or b"")
-    pattern = votes(n, stats)
-    post = s = posterior.get(pattern, 0.5)
-    if pattern.strip("-"):
-        at, x = vector(n, stats, cls)
-        s = float(1 / (1 + np.exp(-np.clip(float(weights[at] @ x) + weights[-1], -500, 500))))
-    return post, s, int(s >= THRESHOLD)
+    at, x = vector(n, stats, cls)
+    s = float(1 / (1 + np.exp(-np.clip(float(weights[at] @ x) + weights[-1], -500, 500))))
+    return posterior.get(votes(n, stats), 0.5), s, int(s >= THRESHOLD)
 
 
 _ROW = "doc_id long, posterior double, score double, predicted int"
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], np.ndarray]) -> DataFrame:
-    """doc_id, posterior (weak label), score and predicted (1: good) of each whole text; null counts as empty."""
+    """doc_id, posterior (weak label), score and predicted (1: good) of each whole text.
+
+    Null counts as empty; equal texts score alike, repeated rows keep a row each, an empty table has none.
+    """
     send = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
