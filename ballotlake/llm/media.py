@@ -161,7 +161,7 @@ def decode(files: list[bytes]) -> list[tuple[bytes, np.ndarray, dict]]:
         payload, dcs = [], []
         for at in range(0, len(lo), _CHUNK):
             s = slice(at, at + _CHUNK)
-            c = _decode(raw[lo[s][0] : hi[s][-1]], (lo[s] - lo[at]) * 8, n[s], list(blocks), dc, ac)
+            c = (_decode if len(lo[s]) > FEW else _decode_few)(raw[lo[s][0] : hi[s][-1]], (lo[s] - lo[at]) * 8, n[s], list(blocks), dc, ac)
             payload.append(np.where(c < 0, c + 255, c).astype(np.uint8).reshape(len(c), -1))
             dcs.append(c[:, : blocks.count(0), 0])
         payload, dcs = np.concatenate(payload), np.concatenate(dcs)
@@ -178,6 +178,50 @@ def decode(files: list[bytes]) -> list[tuple[bytes, np.ndarray, dict]]:
     return out
 
 
+FEW = 24  # intervals up to which plain integers are faster than arrays
+
+
+def _decode_few(raw: np.ndarray, pos: np.ndarray, n: np.ndarray, blocks: list[int], dc: np.ndarray, ac: np.ndarray) -> np.ndarray:
+    """As _decode, one interval after the other: a scan without restart markers is one long interval."""
+    k = len(blocks)
+    out = np.zeros((int(n.sum()), k, 64), np.int16)
+    flat, data = out.reshape(-1), raw.tobytes() + b"\xff" * 8
+    dcs, acs = dc.reshape(k, -1), ac.reshape(k, -1)
+    at, put, value = 0, [], []
+    for bit, units in zip(pos.tolist(), n.tolist()):
+        pred = [0] * (max(blocks) + 1)
+        for b in range(units * k):
+            which, c = b % k, 0
+            while c < 64:
+                w = int.from_bytes(data[bit >> 3 : (bit >> 3) + 6], "big") << (bit & 7) & 0xFFFFFFFFFFFF
+                hit = int((acs if c else dcs)[which, w >> 32])
+                if not hit or bit >> 3 > len(raw):
+                    raise ValueError("a code that no table has")
+                length, run, size = hit & 31, hit >> 9, hit >> 5 & 15
+                x = w << length & 0xFFFFFFFFFFFF
+                x >>= 48 - size
+                bit += length + size
+                if size and x < 1 << (size - 1):
+                    x -= (1 << size) - 1
+                if not c:
+                    pred[blocks[which]] = x = pred[blocks[which]] + x
+                    run = 0
+                elif not size:
+                    c = c + 16 if run == 15 else 64
+                    continue
+                if c + run > 63:
+                    raise ValueError("a block of over 64 coefficients")
+                put.append(at + c + run)
+                value.append(x)
+                c += run + 1
+            at += 64
+            if len(put) > 1 << 16:
+                flat[put] = value
+                put, value = [], []
+    flat[put] = value
+    return out
+
+
 def _decode(raw: np.ndarray, pos: np.ndarray, n: np.ndarray, blocks: list[int], dc: np.ndarray, ac: np.ndarray) -> np.ndarray:
     """Decode intervals that start at bits pos and hold n units each, a symbol of every interval at a time."""
     padded_raw = np.r_[raw, np.full(8, 0xFF, np.uint8)].astype(np.uint64)
@@ -248,24 +292,46 @@ def with_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-_ROW = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, thumb_crc32 long, feature string"
+_ROW = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, thumb_crc32 long, feature string, fault string"
+
+
+def _decode_each(files: list[bytes | None]) -> list:
+    """decode() of each file, or why there is none."""
+    known = [f for f in files if f]
+    try:
+        done = iter(decode(known))
+    except (ValueError, IndexError, KeyError, TypeError, OverflowError):
+        if len(known) == 1:
+            done = iter(["damaged"])
+        else:  # only the damaged ones are lost
+            done = iter([_decode_each([f])[0] for f in known])
+    return [next(done) if f else "missing" if f is None else "empty" for f in files]
 
 
 def features(media: DataFrame) -> DataFrame:
-    """What the stored files hold, read back: payload digests, sides, thumbnail hashes. Other columns pass."""
+    """What the stored files hold, read back: payload digests, sides, thumbnail hashes. Other columns pass, but
+    for those named like a result.
+
+    A null, empty or damaged file, or one that is no baseline JPEG, has nulls and says so in fault. A file that
+    encode() did not write has an empty payload. Repeated rows keep a row each.
+    """
+    names = [x.split()[0] for x in _ROW.split(", ")]
+    other = [f for f in media.schema if f.name != "media" and f.name.lower() not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
-            at = batch.schema.get_field_index("media")
             out = []
-            files = batch.column(at).to_pylist()
-            for data, (payload, thumb, head) in zip(files, decode(files)):
+            files = batch.column(0).to_pylist()
+            for data, got in zip(files, _decode_each(files)):
+                if isinstance(got, str):
+                    out.append((None,) * 9 + (got,))
+                    continue
+                payload, thumb, head = got
                 w, h = head["width"], head["height"]
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), w, h, zlib.crc32(thumb.tobytes()), f"{w}x{h}:{average_hash(thumb):016x}"))
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), w, h, zlib.crc32(thumb.tobytes()), f"{w}x{h}:{average_hash(thumb):016x}", None))
             if out:
-                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
-                kept = [i for i in range(batch.num_columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *(pa.array(c, t) for c, t in zip(zip(*out), types))], [*(batch.schema.names[i] for i in kept), *(x.split()[0] for x in _ROW.split(", "))])
+                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, t) for c, t in zip(zip(*out), types))], [*batch.schema.names[1:], *names])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name != "media")
-    return media.mapInArrow(run, f"{kept}, {_ROW}")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in other)
+    return media.select("media", *(f"`{f.name}`" for f in other)).mapInArrow(run, kept + _ROW)

@@ -81,6 +81,11 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}}
 
+    @property
+    def gains(self) -> dict[bytes, float]:
+        """The tokens that speak for toxicity."""
+        return {t: g for t, g in self.odds.items() if g > 0}
+
     def scored(self, tokens: list[bytes]) -> list[tuple[int, int, float]]:
         """All maximal segments: first, last, score, in words."""
         memo, odds = self.memo, self.odds
