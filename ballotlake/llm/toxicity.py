@@ -3,8 +3,8 @@
 Log-odds of tokens by class come from documents that hold them, with a Dirichlet prior in proportion to
 their counts in all documents (its weight a share of each class, so that rare tokens stay near zero). Words and the starts of
 words are tokens, so that a stem counts in forms that were not learned; a word scores by its best token.
-A token scores its log-odds where they are significant, on either side; those of all others are taken as zero and cost
-a little, as does every token that speaks against toxicity by less. A linear scan finds all maximal segments of a text;
+A token scores its log-odds where they speak for toxicity and are significant; those of all others, most of which tell
+languages apart and not toxicity, are taken as zero and cost a little. A linear scan finds all maximal segments of a text;
 their scores follow an extreme-value law on clean text. Its rate is the root of the score's mean, its constant is
 fitted to the best segments of the clean rows. They give each segment an expected number, and the segments
 together the evidence that a logistic curve turns into a probability.
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ BROADCAST = 500_000  # tokens that tasks are told to look for, at most: beyond i
 HELD = 300_000  # distinct tokens that a counting task holds before it sends them
 PRIOR = 0.1  # the prior's weight against the class
 Z = 3.0  # standard errors from zero at which a token counts
-DRIFT = 0.5  # what a token without log-odds costs, and the least cost of one whose log-odds are negative
+DRIFT = 0.5  # what any other token costs
 STARTS = range(4, 9)  # bytes of a word's starts that are tokens
 THRESHOLD = 0.7
 _STRIP = b".,;:!?*%$&#|\"'()[]{}<>-_=+/\\`~@^"
@@ -45,17 +44,16 @@ def starts(word: bytes) -> list[bytes]:
     return [word[:k] + b" " for k in STARTS if k < len(word)]
 
 
-def segments(at: np.ndarray, gain: np.ndarray, drift: float, extra: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+def segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of tokens that gain at places at, and lose drift elsewhere.
 
-    extra: what the tokens between each place and the one before lose beyond drift.
     The linear-time scan keeps candidates with their left and right cumulative sums, and merges back.
     """
     stack: list[list] = []  # first, last, sum before, sum after, index of the nearest one with a lower sum before
     total = 0.0
     before = -1
-    for i, g, more in zip(at.tolist(), gain.tolist(), extra.tolist() if extra is not None else repeat(0.0)):
-        total -= drift * (i - before - 1) + more
+    for i, g in zip(at.tolist(), gain.tolist()):
+        total -= drift * (i - before - 1)
         item = [i, i, total, total + g, -1]
         total, before = total + g, i
         while True:
@@ -74,38 +72,28 @@ def segments(at: np.ndarray, gain: np.ndarray, drift: float, extra: np.ndarray |
 class Model:
     """Log-odds of significant tokens, and the extreme-value and logistic parameters."""
 
-    def __init__(self, odds: dict[bytes, float], rate: float, scale: float, intercept: float = 0.0, slope: float = 0.0):
-        self.odds, self.rate, self.scale, self.intercept, self.slope = odds, rate, scale, intercept, slope
+    def __init__(self, gains: dict[bytes, float], rate: float, scale: float, intercept: float = 0.0, slope: float = 0.0):
+        self.gains, self.rate, self.scale, self.intercept, self.slope = gains, rate, scale, intercept, slope
         self.memo: dict[bytes, float] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}}
 
-    @property
-    def gains(self) -> dict[bytes, float]:
-        """The tokens that speak for toxicity."""
-        return {t: g for t, g in self.odds.items() if g > 0}
-
     def scored(self, tokens: list[bytes]) -> list[tuple[int, int, float]]:
         """All maximal segments: first, last, score, in words."""
-        memo, odds = self.memo, self.odds
+        memo, gains = self.memo, self.gains
         if len(memo) > 400_000:
             memo.clear()
-        hits, gain, extra, lost = [], [], [], 0.0
+        hits, gain = [], []
         for i, w in enumerate(tokens):
             g = memo.get(w)
             if g is None:
                 word = w.strip(_STRIP)
-                g = max(odds.get(x, 0.0) for x in (word, *starts(word)))
-                g = memo[w] = g if g > 0 else min(0.0, odds.get(word, 0.0) + DRIFT)
-            if g > 0:
+                g = memo[w] = max(gains.get(x, 0.0) for x in (word, *starts(word)))
+            if g:
                 hits.append(i)
                 gain.append(g)
-                extra.append(lost)
-                lost = 0.0
-            elif g:
-                lost -= g
-        return segments(np.array(hits), np.array(gain), DRIFT, np.array(extra)) if hits else []
+        return segments(np.array(hits), np.array(gain), DRIFT) if hits else []
 
     def passages(self, tokens: list[bytes]) -> list[tuple[int, int, float]]:
         """first, last, expected number on clean text of each significant passage, in words."""
@@ -168,16 +156,14 @@ class _Memo(dict):
 WORDS = b" "  # counts a row's distinct words; no token is a blank alone
 
 
-def token_counts(texts: DataFrame, name: str, wanted: set[bytes] | None = None, whole: bool = False) -> DataFrame:
-    """token, and in how many rows of texts (one binary column) each wanted token is (all of them if None), with WORDS.
-
-    whole: whole words alone, without their starts."""
+def token_counts(texts: DataFrame, name: str, wanted: set[bytes] | None = None) -> DataFrame:
+    """token, and in how many rows of texts (one binary column) each wanted token is (all of them if None), with WORDS."""
     send = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         these, found, n = send.value, Counter(), 0
         bare = _Memo(lambda w: w.strip(_STRIP))
-        of = _Memo(lambda w: tuple(x for x in (w, *(() if whole else starts(w))) if these is None or x in these) if w else ())
+        of = _Memo(lambda w: tuple(x for x in (w, *starts(w)) if these is None or x in these) if w else ())
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 own = set(map(bare.__getitem__, set(words(text))))
@@ -208,23 +194,20 @@ def least_rows(toxic: int, clean: int) -> int:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """A model from labelled documents of the learned folds; without any of either class, one that scores low."""
     rows = materialize(training_rows(docs, labels, label), "toxic-rows")
-    common = token_counts(rows.filter("label = 0").select("text"), "clean", whole=True)
+    n0 = token_counts(rows.filter("label = 0").select("text"), "clean", set()).agg(F.sum("clean")).first()[0]
     toxic = token_counts(rows.filter("label = 1").select("text"), "toxic")
-    blank = F.col("token") == F.lit(WORDS)
-    n0 = common.filter(blank).agg(F.sum("clean")).first()[0]
-    n1 = toxic.filter(blank).agg(F.sum("toxic")).first()[0]
+    n1 = toxic.filter(F.col("token") == F.lit(WORDS)).agg(F.sum("toxic")).first()[0]
     if not n0 or not n1:
         return Model({}, 1.0, 1.0, -5.0, 0.0)
-    # no other token can reach Z on either side, so only these are looked for in the other texts
-    possible = toxic.filter((F.col("toxic") >= least_rows(n1, n0)) & ~blank).select("token")
-    possible = possible.unionByName(common.filter((F.col("clean") >= Z * Z * n0 / n1) & ~blank).select("token")).distinct()
-    few = possible.limit(BROADCAST + 1).collect()
+    # no other token can reach Z, so only these are looked for in the other texts
+    possible = toxic.filter((F.col("toxic") >= least_rows(n1, n0)) & (F.col("token") != F.lit(WORDS)))
+    few = possible.select("token").limit(BROADCAST + 1).collect()
     wanted = {bytes(t) for t, in few} if len(few) <= BROADCAST else None
     clean = token_counts(rows.filter("label = 0").select("text"), "clean", wanted)
     corpus = token_counts(docs.filter("text is not null").select(F.col("text").cast("binary")), "n", wanted)
     everything = corpus.filter(F.col("token") == F.lit(WORDS)).agg(F.sum("n")).first()[0]
     n = (n0, n1)
-    counts = possible.join(toxic, "token", "left").join(clean, "token", "left").join(corpus, "token").fillna(0, ["toxic", "clean"])
+    counts = possible.join(clean, "token", "left").join(corpus, "token").fillna(0, ["clean"])
 
     def prior(size: int) -> F.Column:  # each class is drawn alike to the corpus, however the copies of a text swell it
         return PRIOR * size * F.col("n") / everything
@@ -235,20 +218,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
     delta = log_odds("toxic", n[1]) - log_odds("clean", n[0])
     z = delta / F.sqrt(1 / (F.col("toxic") + prior(n[1])) + 1 / (F.col("clean") + prior(n[0])))
-    significant = ((F.col("z") >= Z) & (F.col("delta") > 1.0)) | ((F.col("z") <= -Z) & (F.col("delta") < -DRIFT))
+    significant = (F.col("z") >= Z) & (F.col("delta") > 1.0)
     # as many as the labelled rows, of which there are LABELLED at most, can make significant
     picked = counts.withColumn("delta", delta).withColumn("z", z).filter(significant).orderBy("token").select("token", "delta", "clean").collect()
-    odds = {bytes(t): float(d) for t, d, _ in picked}
+    gains = {bytes(t): float(d) for t, d, _ in picked}
     # the law of clean text: tokens that gain are as rare as they are there, one more for what was not seen
-    gains = [(d, c) for _, d, c in picked if d > 0]
-    hits = np.array([c for _, c in gains] + [1.0])
-    gain = np.array([d for d, _ in gains] + [max([d for d, _ in gains], default=1.0)])
+    hits = np.array([c for *_, c in picked] + [1.0])
+    gain = np.array([d for _, d, _ in picked] + [max([d for _, d, _ in picked], default=1.0)])
     share = hits / max(2 * hits.sum(), n0)
     low, high = 1e-6, 50.0
     for _ in range(100):  # the positive root of the mean of exp(rate * score) = 1
         rate = (low + high) / 2
         low, high = (rate, high) if (share * np.exp(np.minimum(rate * gain, 700))).sum() + (1 - share.sum()) * np.exp(-rate * DRIFT) < 1 else (low, rate)
-    model, least = Model(odds, rate, 1.0), float(gain.min())
+    model, least = Model(gains, rate, 1.0), float(gain.min())
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, left = 0, 0.0
