@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCALARS = ("accredited", "valid", "rejected", "cast")
+SCALARS = ("registered_voters", "accredited", "valid", "rejected", "cast")
+FLAGS = ("presiding_officer_signed", "official_stamp_present")
+SIGNATURES = "agent_signatures"
 VERIFIED = ("consensus", "inec_confirmed", "inec_published")
 KEY = ["election", "pu"]
+_VOTES = "candidate_votes."
 
 
 def source_key() -> Column:
@@ -15,49 +18,86 @@ def source_key() -> Column:
     return F.when(F.col("source_type") == "party_agent", F.concat(F.lit("party:"), F.coalesce("party", F.lit("unknown")))).when(F.col("source_type") == "observer", F.concat(F.lit("observer:"), F.col("id").cast("string"))).otherwise("inec_irev")
 
 
-def upper_median(x: Column, when: Column) -> Column:
-    """sorted[n // 2] of the rows that hold."""
-    s = F.array_sort(F.collect_list(F.when(when, x)))
-    return F.try_element_at(s, (F.size(s) / 2).cast("int") + 1)
+def _value_counts(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """By unit, field and value: own forms with it and the first of them; a row of null field and value holds the unit's forms.
+
+    A hot unit's forms meet partly summed in each task, and then as one row for each distinct value of a field.
+    """
+    order, own = F.struct("submitted_at", "id"), F.col("own")
+    unit = F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("long").alias("value"))
+    scalar = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("long").alias("value")) for f in fields))
+    votes = F.transform(F.map_entries("votes"), lambda e: F.struct(F.concat(F.lit(_VOTES), e["key"]).alias("field"), e["value"].cast("long").alias("value")))
+    every = rows.select(*KEY, "own", "source_type", "party", order.alias("order"), F.struct(*fields, "votes").alias("whole"), F.inline(F.concat(F.array(unit), scalar, votes)))
+    form = F.col("field").isNull()
+    body, at = F.when(form, F.col("whole")), F.when(form, F.col("order"))
+    party = F.when(form & (F.col("source_type") == "party_agent"), F.coalesce("party", F.lit("unknown")))
+    return every.groupBy(*KEY, "field", "value").agg(
+        F.count_if("own").alias("n"), F.min(F.when(own, F.col("order"))).alias("seen"), F.count_if(form).alias("forms"), F.count_if(form & ~own).alias("officials"),
+        F.count_if(form & (F.col("source_type") == "observer")).alias("observers"), F.collect_set(party).alias("parties"),
+        F.min_by(body, F.when(own, at)).alias("first"), F.min_by(body, F.when(~own, at)).alias("official"),
+    )
+
+
+def _by_field(value: str) -> Column:
+    return F.map_from_entries(F.transform("stats", lambda e: F.struct(e["field"], e[value])))
+
+
+def _party(field: Column) -> Column:
+    return F.substr(field, F.lit(len(_VOTES) + 1))
 
 
 def consensus(submissions: DataFrame, min_sources: int = 2, tolerance: int = 0) -> DataFrame:
-    """One row an election and unit: status, submission_count, source_count, the agreed scalars, votes map, differing fields.
+    """One row an election and unit: status, submission_count, source_count, the agreed fields, votes map, differing fields.
 
-    Scalars come from one grouping and votes from one over exploded parties, where a party that a form leaves
-    out counts as 0. "First" means by (submitted_at, id).
+    Of SCALARS, FLAGS and SIGNATURES those count that submissions has. A party that a form leaves out counts as 0; nulls
+    of other fields do not count. "First" means by (submitted_at, id). Numbers agree within tolerance, flags exactly, and
+    signatures need not: the most frequent count is taken, the first seen of equal ones.
     """
-    rows = submissions.filter("approved and votes is not null").withColumn("source", source_key()).withColumn("own", F.col("source") != "inec_irev")
-    own, official, order = F.col("own"), ~F.col("own"), F.struct("submitted_at", "id")
-    first = {s: F.min_by(s, F.when(official, order)).alias(f"official_{s}") for s in SCALARS}
-    forms = rows.groupBy(*KEY).agg(
-        F.count("*").alias("submission_count"), F.countDistinct("source").alias("source_count"), F.countDistinct(F.when(own, F.col("source"))).alias("independent"), F.count_if(own).alias("own_forms"), F.count_if(official).alias("officials"),
-        *(upper_median(F.col(s), own).alias(s) for s in SCALARS), *((F.max(F.when(own, F.col(s))) - F.min(F.when(own, F.col(s)))).alias(f"gap_{s}") for s in SCALARS), *first.values(),
-        F.min(order).alias("first_form"), F.min(F.when(official, order)).alias("first_official"),
-        *(F.min_by(s, order).alias(f"first_{s}") for s in SCALARS),
+    scalars, flags = ([c for c in names if c in submissions.columns] for names in (SCALARS, FLAGS))
+    marks = [SIGNATURES] if SIGNATURES in submissions.columns else []
+    rows = submissions.filter("approved and votes is not null").withColumn("own", F.coalesce(F.col("source_type").isin("party_agent", "observer"), F.lit(False)))
+    once = lambda c: F.first(F.when(F.col("field").isNull(), F.col(c)), ignorenulls=True).alias(c)
+    units = _value_counts(rows, [*scalars, *flags, *marks]).groupBy(*KEY).agg(
+        F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "value", "n", "seen"))).alias("vals"),
+        *map(once, ("forms", "officials", "observers", "parties", "first", "official")),
     )
-    votes = rows.select(*KEY, "id", "own", "submitted_at", F.explode("votes").alias("name", "n")).join(forms.select(*KEY, "own_forms", F.col("first_official.id").alias("official_id"), F.col("first_form.id").alias("first_id")), KEY)
-    filled = F.array_sort(F.concat(F.collect_list(F.when(F.col("own"), F.col("n"))), F.array_repeat(F.lit(0).cast("long"), (F.max("own_forms") - F.count_if("own")).cast("int"))))
-    party = votes.groupBy(*KEY, "name").agg(
-        F.try_element_at(filled, (F.size(filled) / 2).cast("int") + 1).alias("n"), (F.element_at(F.concat(filled, F.array(F.lit(0).cast("long"))), 1)).alias("low"), F.coalesce(F.try_element_at(filled, F.lit(-1)), F.lit(0)).alias("high"),
-        F.coalesce(F.max(F.when(F.col("id") == F.col("official_id"), F.col("n"))), F.lit(0)).alias("official_n"), F.max(F.when(F.col("id") == F.col("first_id"), F.col("n"))).alias("first_n"), F.max(F.when(F.col("id") == F.col("official_id"), F.col("n"))).alias("only_n"),
+    units = units.withColumn("independent", F.size("parties") + F.col("observers")).withColumn("fields_", F.expr("array_sort(array_distinct(transform(vals, v -> v.field)))"))
+    each = F.expr(f"""transform(fields_, f -> struct(f as field, filter(vals, v -> v.field = f and v.n > 0 and v.value is not null) as own,
+        f like '{_VOTES}%' as voted))""")
+    filled = F.expr("""transform(each, e -> struct(e.field as field, e.voted as voted, size(e.own) > 0 as held, array_sort(concat(transform(e.own, v -> struct(v.value as value, v.n as n)),
+        if(e.voted and aggregate(e.own, 0L, (a, v) -> a + v.n) < forms - officials, array(struct(0L as value, forms - officials - aggregate(e.own, 0L, (a, v) -> a + v.n) as n)), array()))) as own))""")
+    spread = F.expr("""transform(filled, e -> struct(e.field as field, e.voted as voted, e.held as held, try_element_at(e.own, -1).value - get(e.own, 0).value as gap,
+        aggregate(e.own, struct(aggregate(e.own, 0L, (a, v) -> a + v.n) div 2 as left, cast(null as bigint) as value),
+            (a, v) -> struct(a.left - v.n as left, if(a.value is null and a.left < v.n, v.value, a.value) as value)).value as median))""")
+    units = units.withColumn("each", each).withColumn("filled", filled).withColumn("stats", spread)
+    units = units.withColumn("gap", _by_field("gap")).withColumn("median", _by_field("median"))
+    at = lambda m, f: F.try_element_at(F.col(m), F.lit(f))
+    voted = F.filter("stats", lambda e: e["voted"])
+    official_votes = F.col("official.votes")
+    differ = F.concat(
+        F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(at("gap", f) > tolerance, f) for f in scalars))),
+        F.transform(F.filter(voted, lambda e: e["gap"] > tolerance), lambda e: e["field"]),
+        F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(at("gap", f) > 0, f) for f in flags))),
     )
-    field = F.concat(F.lit("candidate_votes."), F.col("name"))
-    by_unit = party.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.when(F.col("high") - F.col("low") > tolerance, field))).alias("votes_differ"), F.array_sort(F.collect_list(F.when(F.abs(F.col("n") - F.col("official_n")) > tolerance, field))).alias("votes_conflict"),
-        *(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(v).isNotNull(), F.struct("name", F.col(v)))))).alias(f"votes_{v}") for v in ("n", "first_n", "only_n")),
+    off = lambda e: F.abs(e["median"] - F.coalesce(F.try_element_at(official_votes, _party(e["field"])), F.lit(0))) > tolerance
+    conflict = F.concat(
+        F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(F.abs(at("median", f) - F.col(f"official.{f}")) > tolerance, f) for f in scalars))),
+        F.transform(F.filter(voted, off), lambda e: e["field"]),
+        F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(F.col(f"first.{f}") != F.col(f"official.{f}"), f) for f in flags))),
     )
-    both = forms.join(by_unit, KEY)
-    differ = F.concat(F.array_compact(F.array(*(F.when(F.col(f"gap_{s}") > tolerance, s) for s in SCALARS))), "votes_differ")
-    conflict = F.concat(F.array_compact(F.array(*(F.when(F.abs(F.col(s) - F.col(f"official_{s}")) > tolerance, s) for s in SCALARS))), "votes_conflict")
-    none = F.array().cast("array<string>")
+    official = F.col("officials") > 0
     status = (
-        F.when(F.col("independent") == 0, "inec_published").when((F.col("independent") < min_sources) & (F.col("officials") == 0), "single_source").when(F.size(differ) > 0, "discrepancy")
-        .when((F.col("officials") > 0) & (F.size(conflict) > 0), "inec_conflict").when(F.col("officials") > 0, "inec_confirmed").otherwise("consensus")
+        F.when(F.col("independent") == 0, "inec_published").when((F.col("independent") < min_sources) & ~official, "single_source").when(F.size("differ") > 0, "discrepancy")
+        .when(official & (F.size("conflict") > 0), "inec_conflict").when(official, "inec_confirmed").otherwise("consensus")
     )
     s = F.col("status")
-    pick = lambda agreed, first, only: F.when(s == "inec_published", F.col(only)).when(s == "single_source", F.col(first)).when(s != "discrepancy", F.col(agreed))
-    return both.withColumn("status", status).select(
-        *KEY, "status", "submission_count", "source_count", *(pick(x, f"first_{x}", f"official_{x}").alias(x) for x in SCALARS), pick("votes_n", "votes_first_n", "votes_only_n").alias("votes"),
-        F.when(s == "discrepancy", differ).when(s == "inec_conflict", conflict).otherwise(none).alias("fields"),
+    pick = lambda agreed, f: F.when(s == "inec_published", F.col(f"official.{f}")).when(s == "single_source", F.col(f"first.{f}")).when(s != "discrepancy", agreed)
+    seen_votes = F.map_from_entries(F.transform(F.filter(voted, lambda e: e["held"]), lambda e: F.struct(_party(e["field"]).alias("name"), e["median"].alias("n"))))
+    mode = F.expr(f"get(array_sort(filter(vals, v -> v.field = '{SIGNATURES}' and v.n > 0), (a, b) -> case when a.n <> b.n then if(a.n > b.n, -1, 1) when a.seen < b.seen then -1 when a.seen > b.seen then 1 else 0 end), 0).value")
+    found = units.withColumn("differ", differ).withColumn("conflict", conflict).withColumn("status", status).select(
+        *KEY, "status", F.col("forms").alias("submission_count"), (F.col("independent") + official.cast("int")).cast("long").alias("source_count"),
+        *(pick(at("median", f), f).alias(f) for f in scalars), *(pick(F.col(f"first.{f}"), f).alias(f) for f in flags), *(pick(mode, f).alias(f) for f in marks), pick(seen_votes, "votes").alias("votes"),
+        F.when(s == "discrepancy", F.col("differ")).when(s == "inec_conflict", F.col("conflict")).otherwise(F.array().cast("array<string>")).alias("fields"),
     )
+    # one row a unit already, in place: a filter on what was found stops here, and does not repeat the above in its condition
+    return found.groupBy(*KEY).agg(*(F.first(c).alias(c) for c in found.columns if c not in KEY))

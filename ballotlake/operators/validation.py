@@ -8,21 +8,46 @@ from pyspark.sql import functions as F
 SMALLEST, LARGEST = 60_000, 12_000_000
 
 
-def ingestion(uploads: DataFrame, soft: float = 100, hard: float = 2000) -> DataFrame:
-    """verdict and flags of each upload (id, sha256, image_bytes, metres, source_type, pu, party, submitted_at).
+#: Software whose name in a picture's metadata speaks for an edit.
+EDITORS = ("photoshop", "gimp", "snapseed", "lightroom", "facetune", "pixelmator")
 
-    Rules go in order and the first that rejects is the only flag; a party's later form for one unit is a duplicate.
-    Null metres: no position was sent.
+
+def exif(data: Column, election_day: str | None = None) -> Column:
+    """Struct exif_present, exif_integrity_ok, exif_software_warning, exif_datetime_mismatch of a map of metadata.
+
+    Without metadata nothing else is checked. A date that cannot be read is no mismatch, but spoils integrity.
+    """
+    present = F.coalesce(F.size(data) > 0, F.lit(False))
+    name = F.lower(F.coalesce(F.try_element_at(data, F.lit("Software")), F.lit("")))
+    edited = F.lit(False)
+    for e in EDITORS:
+        edited = edited | name.contains(e)
+    said = F.nullif(F.try_element_at(data, F.lit("DateTimeOriginal")), F.lit("")) if election_day else F.lit(None).cast("string")
+    at = F.try_to_timestamp(said, F.lit("yyyy:MM:dd HH:mm:ss"))
+    moved = F.coalesce(F.abs(F.datediff(at, F.lit(election_day).cast("date"))) > 1, F.lit(False))
+    unread = said.isNotNull() & at.isNull()
+    return F.struct(present.alias("exif_present"), (present & ~edited & ~moved & ~unread).alias("exif_integrity_ok"), (present & edited).alias("exif_software_warning"), (present & moved).alias("exif_datetime_mismatch"))
+
+
+def ingestion(uploads: DataFrame, soft: float = 100, hard: float = 2000, election_day: str | None = None) -> DataFrame:
+    """verdict and flags of each upload (id, sha256, image_bytes, metres, source_type, election, pu, party, submitted_at, and a map exif if there is one).
+
+    Rules go in order and the first that rejects is the only flag. A party's later form for one election and unit is a
+    duplicate of one that passed the other rules, as rejected ones are not stored. Null metres: no position was sent.
     """
     c = F.col
-    nth = F.row_number().over(Window.partitionBy("pu", "party").orderBy("submitted_at", "id"))
-    rows = uploads.withColumn("nth", F.when(c("source_type") == "party_agent", nth).otherwise(1))
-    reject = (
-        F.when(~c("sha256").rlike("^[0-9a-f]{64}$"), "hash_malformed").when(c("image_bytes") > LARGEST, "image_too_large")
-        .when(c("metres") > hard, "gps_violation").when(c("nth") > 1, "duplicate_party_submission")
-    )
-    flags = F.concat_ws(",", F.when(c("image_bytes") < SMALLEST, "image_too_small"), F.when(c("metres").isNull(), "gps_missing").when(c("metres") > soft, "gps_warning"))
-    return rows.select("id", F.when(reject.isNull(), "accepted").otherwise("rejected").alias("verdict"), F.coalesce(reject, F.when(flags == "", "ok").otherwise(flags)).alias("flags"))
+    reject = F.when(~c("sha256").rlike("^[0-9a-f]{64}$"), "hash_malformed").when(c("image_bytes") > LARGEST, "image_too_large").when(c("metres") > hard, "gps_violation")
+    rows = uploads.withColumn("reject", reject)
+    # forms that cannot be duplicates go by their own id, so that no unit gathers them
+    party = c("reject").isNull() & (c("source_type") == "party_agent")
+    nth = F.row_number().over(Window.partitionBy("election", "pu", "party", F.when(party, F.lit(-1)).otherwise(c("id"))).orderBy("submitted_at", "id"))
+    rows = rows.withColumn("reject", F.coalesce("reject", F.when(party & (nth > 1), "duplicate_party_submission")))
+    checked = []
+    if "exif" in uploads.columns:
+        e = exif(c("exif"), election_day)
+        checked = [F.when(~e["exif_present"], "exif_missing"), F.when(e["exif_software_warning"], "exif_software_warning"), F.when(e["exif_datetime_mismatch"], "exif_datetime_mismatch")]
+    flags = F.concat_ws(",", F.when(c("image_bytes") < SMALLEST, "image_too_small"), F.when(c("metres").isNull(), "gps_missing").when(c("metres") > soft, "gps_warning"), *checked)
+    return rows.select("id", F.when(c("reject").isNull(), "accepted").otherwise("rejected").alias("verdict"), F.coalesce("reject", F.when(flags == "", "ok").otherwise(flags)).alias("flags"))
 
 
 def arithmetic(forms: DataFrame) -> Column:

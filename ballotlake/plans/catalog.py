@@ -23,20 +23,25 @@ raw AS (
     CASE WHEN o_orderkey % 10 <= 4 THEN 'party:P' || (o_orderkey % 4) WHEN o_orderkey % 10 <= 6 THEN 'observer:' || o_orderkey ELSE 'inec_irev' END source,
     (CASE WHEN year(o_orderdate) >= 1998 THEN 1 ELSE 3 END) * (o_custkey % 50) + 10
       + CASE WHEN o_custkey % 5 = 0 THEN o_orderkey % 7 WHEN o_custkey % 5 = 1 AND o_orderkey % 10 >= 7 THEN 9 ELSE 0 END a,
-    o_custkey * 7 % 120 + 5 b, CASE WHEN o_custkey % 97 = 0 THEN 4000 ELSE o_custkey * 13 % 90 END c
+    o_custkey * 7 % 120 + 5 b, CASE WHEN o_custkey % 97 = 0 THEN 4000 ELSE o_custkey * 13 % 90 END c,
+    o_custkey % 23 <> 0 OR o_orderkey % 2 = 0 signed, o_orderkey % 3 marks
   FROM orders WHERE o_orderkey % 20 <> 19),
 grouped AS (
   SELECT election, pu, count(*) submission_count, count(DISTINCT source) source_count, count(DISTINCT source) FILTER (NOT official) independent,
     count(*) FILTER (official) officials, max(a) FILTER (NOT official) - min(a) FILTER (NOT official) gap,
-    list_sort(list(a) FILTER (NOT official)) own, arg_min(a, (t, id)) FILTER (official) official_a, arg_min(a, (t, id)) first_a, min(b) b, min(c) c
+    list_sort(list(a) FILTER (NOT official)) own, arg_min(a, (t, id)) FILTER (official) official_a, arg_min(a, (t, id)) first_a, min(b) b, min(c) c,
+    count(DISTINCT signed) FILTER (NOT official) > 1 unsigned, arg_min(signed, (t, id)) FILTER (official) official_signed, arg_min(signed, (t, id)) FILTER (NOT official) first_signed
   FROM raw GROUP BY election, pu),
 agreed AS (
   SELECT *, own[len(own) // 2 + 1] median_a,
-    CASE WHEN independent = 0 THEN 'inec_published' WHEN independent < 2 AND officials = 0 THEN 'single_source' WHEN gap > 0 THEN 'discrepancy'
-      WHEN officials > 0 AND own[len(own) // 2 + 1] <> official_a THEN 'inec_conflict' WHEN officials > 0 THEN 'inec_confirmed' ELSE 'consensus' END status
+    CASE WHEN independent = 0 THEN 'inec_published' WHEN independent < 2 AND officials = 0 THEN 'single_source' WHEN gap > 0 OR unsigned THEN 'discrepancy'
+      WHEN officials > 0 AND (own[len(own) // 2 + 1] <> official_a OR first_signed <> official_signed) THEN 'inec_conflict' WHEN officials > 0 THEN 'inec_confirmed' ELSE 'consensus' END status
   FROM grouped),
 results AS (
-  SELECT election, pu, status, submission_count::BIGINT submission_count, source_count::BIGINT source_count, b::BIGINT b, c::BIGINT c,
+  SELECT election, pu, status, submission_count::BIGINT submission_count, source_count::BIGINT source_count,
+    CASE WHEN status = 'discrepancy' THEN concat_ws(',', CASE WHEN gap > 0 THEN 'valid,cast,candidate_votes.A' END, CASE WHEN unsigned THEN 'presiding_officer_signed' END)
+      WHEN status = 'inec_conflict' THEN concat_ws(',', CASE WHEN median_a <> official_a THEN 'valid,cast,candidate_votes.A' END, CASE WHEN first_signed <> official_signed THEN 'presiding_officer_signed' END) END fields,
+    CASE status WHEN 'inec_published' THEN official_signed WHEN 'discrepancy' THEN NULL ELSE first_signed END signed, b::BIGINT b, c::BIGINT c,
     (CASE status WHEN 'inec_published' THEN official_a WHEN 'single_source' THEN first_a WHEN 'discrepancy' THEN NULL ELSE median_a END)::BIGINT a
   FROM agreed),
 every AS (
@@ -80,7 +85,21 @@ def _(spark, sf_dir):
     return _results(spark, sf_dir).select("election", "pu", F.explode("votes").alias("party", "n"))
 
 
-@query("F12_discrepancies", "SELECT election, pu, CASE WHEN status = 'inec_conflict' THEN 5 ELSE 3 END::BIGINT severity, 'valid,cast,candidate_votes.A' fields FROM results WHERE status IN ('discrepancy', 'inec_conflict')")
+_MODES = """, marks AS (SELECT election, pu, marks, count(*) n, min((t, id)) seen FROM raw WHERE NOT official GROUP BY ALL),
+  own_marks AS (SELECT election, pu, arg_min(marks, (-n, seen)) own_marks FROM marks GROUP BY ALL),
+  firsts AS (SELECT election, pu, arg_min(marks, (t, id)) first_marks, arg_min(marks, (t, id)) FILTER (official) official_marks FROM raw GROUP BY ALL)
+  SELECT election, pu, signed presiding_officer_signed, status <> 'discrepancy' OR NULL official_stamp_present,
+    (CASE status WHEN 'inec_published' THEN official_marks WHEN 'single_source' THEN first_marks WHEN 'discrepancy' THEN NULL ELSE own_marks END)::BIGINT agent_signatures,
+    CASE WHEN status <> 'discrepancy' THEN 4600 + pu % 400 END::BIGINT registered_voters
+  FROM results LEFT JOIN own_marks USING (election, pu) JOIN firsts USING (election, pu)"""
+
+
+@query("F5_consensus_flags", _MODES)
+def _(spark, sf_dir):
+    return _results(spark, sf_dir).select("election", "pu", "presiding_officer_signed", "official_stamp_present", "agent_signatures", "registered_voters")
+
+
+@query("F12_discrepancies", "SELECT election, pu, CASE WHEN status = 'inec_conflict' THEN 5 ELSE 3 END::BIGINT severity, fields FROM results WHERE status IN ('discrepancy', 'inec_conflict')")
 def _(spark, sf_dir):
     rows = _results(spark, sf_dir).filter(F.size("fields") > 0)
     return rows.select("election", "pu", F.when(F.col("status") == "inec_conflict", 5).otherwise(3).cast("long").alias("severity"), F.concat_ws(",", "fields").alias("fields"))
@@ -239,14 +258,36 @@ def _(spark, sf_dir):
 _UPLOAD = "o_orderkey * 7919 % 15000000 image_bytes, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 2500 END metres, CASE WHEN o_orderkey % 50 = 0 THEN 'XYZ' ELSE sha256(o_orderkey::VARCHAR) END sha"
 
 
-@query("M1_ingestion", f"""SELECT id, CASE WHEN r IS NULL THEN 'accepted' ELSE 'rejected' END verdict, coalesce(r, CASE WHEN f = '' THEN 'ok' ELSE f END) flags FROM (
-  SELECT id, CASE WHEN NOT regexp_full_match(sha, '[0-9a-f]{{64}}') THEN 'hash_malformed' WHEN image_bytes > 12000000 THEN 'image_too_large' WHEN metres > 2000 THEN 'gps_violation' WHEN party IS NOT NULL AND nth > 1 THEN 'duplicate_party_submission' END r,
-    concat_ws(',', CASE WHEN image_bytes < 60000 THEN 'image_too_small' END, CASE WHEN metres IS NULL THEN 'gps_missing' WHEN metres > 100 THEN 'gps_warning' END) f
-  FROM (SELECT o_orderkey id, {_UPLOAD}, CASE WHEN o_orderkey % 10 <= 4 THEN 'P' || (o_orderkey % 4) END party, row_number() OVER (PARTITION BY o_custkey, CASE WHEN o_orderkey % 10 <= 4 THEN 'P' || (o_orderkey % 4) END ORDER BY o_orderdate, o_orderkey) nth FROM orders))""", False)
+_ELECTION_DAY = "1998-05-01"
+_M1_SQL = f"""WITH u AS (SELECT o_orderkey id, {_UPLOAD}, o_orderdate t, o_custkey pu, CASE WHEN year(o_orderdate) >= 1998 THEN 'cur' ELSE 'base' END election, CASE WHEN o_orderkey % 10 <= 4 THEN 'P' || (o_orderkey % 4) END party,
+    CASE o_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'Adobe Photoshop 24' ELSE 'Camera 1.0' END software, CASE o_orderkey % 8 WHEN 0 THEN 'yesterday' WHEN 1 THEN strftime(o_orderdate, '%Y:%m:%d 10:00:00') WHEN 2 THEN NULL ELSE '1998:05:02 08:30:00' END taken FROM orders),
+  e AS (SELECT *, try_strptime(taken, '%Y:%m:%d %H:%M:%S') shot,
+    CASE WHEN NOT regexp_full_match(sha, '[0-9a-f]{{64}}') THEN 'hash_malformed' WHEN image_bytes > 12000000 THEN 'image_too_large' WHEN metres > 2000 THEN 'gps_violation' END r FROM u),
+  f AS (SELECT *, coalesce(contains(lower(software), 'photoshop'), false) edited, coalesce(abs(shot::DATE - DATE '{_ELECTION_DAY}') > 1, false) moved, software IS NOT NULL OR taken IS NOT NULL present,
+    row_number() OVER (PARTITION BY election, pu, party, r IS NULL ORDER BY t, id) nth FROM e),
+  g AS (SELECT *, present AND NOT edited AND NOT moved AND (taken IS NULL OR shot IS NOT NULL) ok, CASE WHEN r IS NULL AND party IS NOT NULL AND nth > 1 THEN 'duplicate_party_submission' ELSE r END reject FROM f)
+"""
+
+
+@query("M1_ingestion", _M1_SQL + """SELECT id, CASE WHEN reject IS NULL THEN 'accepted' ELSE 'rejected' END verdict, coalesce(reject, CASE WHEN f = '' THEN 'ok' ELSE f END) flags FROM (SELECT *,
+    concat_ws(',', CASE WHEN image_bytes < 60000 THEN 'image_too_small' END, CASE WHEN metres IS NULL THEN 'gps_missing' WHEN metres > 100 THEN 'gps_warning' END, CASE WHEN NOT present THEN 'exif_missing' END,
+      CASE WHEN edited THEN 'exif_software_warning' END, CASE WHEN moved THEN 'exif_datetime_mismatch' END) f FROM g)""", False)
+def _(spark, sf_dir):
+    return validation.ingestion(_uploads(spark, sf_dir), election_day=_ELECTION_DAY)
+
+
+@query("M4_exif", _M1_SQL + "SELECT id, present exif_present, ok exif_integrity_ok, edited exif_software_warning, moved exif_datetime_mismatch FROM g", False)
 def _(spark, sf_dir):
+    return _uploads(spark, sf_dir).select("id", F.inline(F.array(validation.exif(F.col("exif"), _ELECTION_DAY))))
+
+
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("id")
     rows = fixture.submissions(spark, sf_dir).withColumn("image_bytes", k * 7919 % 15000000).withColumn("metres", F.when(k % 6 != 0, k % 2500))
-    return validation.ingestion(rows.withColumn("sha256", F.when(k % 50 == 0, "XYZ").otherwise(F.sha2(k.cast("string"), 256))))
+    software = F.when(k % 9 == 1, "Adobe Photoshop 24").when(k % 9 > 1, "Camera 1.0")
+    taken = F.when(k % 8 == 0, "yesterday").when(k % 8 == 1, F.date_format("submitted_at", "yyyy:MM:dd 10:00:00")).when(k % 8 > 2, "1998:05:02 08:30:00")
+    exif = F.map_filter(F.create_map(F.lit("Software"), software, F.lit("DateTimeOriginal"), taken), lambda _, v: v.isNotNull())
+    return rows.withColumn("exif", exif).withColumn("sha256", F.when(k % 50 == 0, "XYZ").otherwise(F.sha2(k.cast("string"), 256)))
 
 
 _FORMS = """, f AS (SELECT id, CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END + a + b + c valid, a + b + c votes, a + b + c + 12 "cast", pu % 50 + 300 accredited, registered FROM raw JOIN units USING (pu)),

@@ -31,4 +31,4 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 10 <= 4, F.concat(F.lit("P"), (k % 4).cast("string"))).alias("party"), (k % 20 != 19).alias("approved"),
         F.create_map(F.lit("A"), a.cast("long"), F.lit("B"), b.cast("long"), F.lit("C"), c.cast("long")).alias("votes"), (a + b + c).cast("long").alias("valid"),
     )
-    return row.select("*", F.lit(12).cast("long").alias("rejected"), (F.col("valid") + 12).alias("cast"), (F.col("pu") % 50 + 300).alias("accredited"))
+    return row.select("*", F.lit(12).cast("long").alias("rejected"), (F.col("valid") + 12).alias("cast"), (F.col("pu") % 50 + 300).alias("accredited"), (4600 + F.col("pu") % 400).alias("registered_voters"), F.when(F.col("pu") % 23 == 0, F.col("id") % 2 == 0).otherwise(True).alias("presiding_officer_signed"), F.lit(True).alias("official_stamp_present"), (F.col("id") % 3).alias("agent_signatures"))
