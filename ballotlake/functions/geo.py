@@ -39,3 +39,8 @@ def in_ring(lat: Column, lng: Column, ring: Column) -> Column:
         return ((ya > lat) != (yb > lat)) & (lng < (xb - xa) * (lat - ya) / F.when(yb == ya, 1e-12).otherwise(yb - ya) + xa)
 
     return F.size(F.filter(edges, crossed)) % 2 == 1
+
+
+def in_polygon(lat: Column, lng: Column, rings: Column) -> Column:
+    """Whether a polygon (array of closed rings: the outer one, then holes) holds a point."""
+    return in_ring(lat, lng, rings[0]) & ~F.exists(F.slice(rings, F.lit(2), F.greatest(F.size(rings) - 1, F.lit(0))), lambda hole: in_ring(lat, lng, hole))

@@ -25,6 +25,19 @@ def broken(log: DataFrame, span: int = 1_000_000) -> DataFrame:
     return rows.filter(~good & ((F.col("prev_hash") != F.col("expected")) | (link_hash(F.col("prev_hash")) != F.col("log_hash")))).select("seq")
 
 
+def append(events: DataFrame, prev: str = ZEROS, most: int = 1000) -> DataFrame:
+    """The first events by seq, at most so many, with prev_hash and log_hash: a chain is a fold, so a batch of it is one row.
+
+    prev is the last stored hash; what a batch leaves waits for the next one.
+    """
+    row = F.struct("seq", "event_type", "entity_type", "entity_id", "actor_id", "event_at", "event_data")
+    rows = events.orderBy("seq").limit(most).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    said = lambda r: F.concat(r["event_type"], r["entity_type"], r["entity_id"], F.coalesce(r["actor_id"], F.lit("")), r["event_at"], r["event_data"])
+    hashes = F.aggregate("rows", F.array(F.lit(prev)), lambda a, r: F.concat(a, F.array(F.sha2(F.concat(F.element_at(a, -1), said(r)), 256))))
+    linked = rows.withColumn("hashes", hashes).select("hashes", F.posexplode("rows").alias("pos", "r"))
+    return linked.select("r.*", F.col("hashes")[F.col("pos")].alias("prev_hash"), F.col("hashes")[F.col("pos") + 1].alias("log_hash"))
+
+
 def numbered(rows: DataFrame, span: int = 1_000_000) -> DataFrame:
     """rows with at, their place from 0 in the order of seq. Ranges of seq are numbered apart and moved by what lies below."""
     ranged = rows.withColumn("part", F.floor(F.col("seq") / span))

@@ -38,7 +38,8 @@ def roster(rows: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     read = rows.select("line", *said, F.when(language == "", "en").otherwise(language).alias("language")).withColumn("number", phone(c("phone")))
     error = F.when(c("name") == "", "name is empty").when(c("pu_code") == "", "pu_code is empty").when(~c("language").isin(*languages), "language is unknown").when(c("number").isNull(), "phone is invalid")
     read = read.withColumn("error", error)
-    nth = F.row_number().over(Window.partitionBy("number", F.col("error").isNull()).orderBy("line"))
+    # only fine lines can be duplicates; the others go by their own line, so that no phone gathers them
+    nth = F.row_number().over(Window.partitionBy("number", F.when(F.col("error").isNull(), F.lit(-1)).otherwise(F.col("line"))).orderBy("line"))
     twice = F.when(F.col("error").isNull() & (nth > 1), "phone is duplicated")
     return read.withColumn("error", F.coalesce("error", twice)).select("line", "name", F.coalesce("number", "phone").alias("phone"), "pu_code", "language", "error")
 
