@@ -178,6 +178,12 @@ def token_counts(texts: DataFrame, name: str, wanted: set[bytes] | None = None)
     return materialize(texts.mapInArrow(count, f"token binary, {name} long").groupBy("token").agg(F.sum(name).alias(name)), f"{name}-tokens")
 
 
+def _few(tokens: DataFrame) -> set[bytes] | None:
+    """The tokens of a table, or None if they are more than BROADCAST."""
+    found = tokens.select("token").limit(BROADCAST + 1).collect()
+    return {bytes(t) for t, in found} if len(found) <= BROADCAST else None
+
+
 def least_rows(toxic: int, clean: int) -> int:
     """In how many toxic rows a token of no clean row must be to count, whatever its prior."""
     p = np.logspace(-9, 6, 3000)
@@ -201,13 +207,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         return Model({}, 1.0, 1.0, -5.0, 0.0)
     # no other token can reach Z, so only these are looked for in the other texts
     possible = toxic.filter((F.col("toxic") >= least_rows(n1, n0)) & (F.col("token") != F.lit(WORDS)))
-    few = possible.select("token").limit(BROADCAST + 1).collect()
-    wanted = {bytes(t) for t, in few} if len(few) <= BROADCAST else None
-    clean = token_counts(rows.filter("label = 0").select("text"), "clean", wanted)
-    corpus = token_counts(docs.filter("text is not null").select(F.col("text").cast("binary")), "n", wanted)
+    clean = token_counts(rows.filter("label = 0").select("text"), "clean", _few(possible))
+    both = possible.join(clean, "token", "left").fillna(0, ["clean"])
+
+    def z_at(own: float) -> F.Column:  # of a token whose prior count among toxic rows is own
+        t, c = F.col("toxic") + own, F.col("clean") + own * n0 / n1
+        return (F.log(t / (n1 + PRIOR * n1 - t)) - F.log(c / (n0 + PRIOR * n0 - c))) / F.sqrt(1 / t + 1 / c)
+
+    # the labelled rows leave few tokens that some number in the corpus could make significant: only these are counted in all documents
+    likely = both.filter(F.greatest(*map(z_at, np.geomspace(1e-9, PRIOR * n1 / 2, 60).tolist())) >= 0.95 * Z)
+    likely = materialize(likely, "likely-tokens")
+    corpus = token_counts(docs.filter("text is not null").select(F.col("text").cast("binary")), "n", _few(likely))
     everything = corpus.filter(F.col("token") == F.lit(WORDS)).agg(F.sum("n")).first()[0]
     n = (n0, n1)
-    counts = possible.join(clean, "token", "left").join(corpus, "token").fillna(0, ["clean"])
+    counts = likely.join(corpus, "token")
 
     def prior(size: int) -> F.Column:  # each class is drawn alike to the corpus, however the copies of a text swell it
         return PRIOR * size * F.col("n") / everything
