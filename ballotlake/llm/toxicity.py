@@ -200,14 +200,13 @@ def least_rows(toxic: int, clean: int) -> int:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """A model from labelled documents of the learned folds; without any of either class, one that scores low."""
     rows = materialize(training_rows(docs, labels, label), "toxic-rows")
-    n0 = token_counts(rows.filter("label = 0").select("text"), "clean", set()).agg(F.sum("clean")).first()[0]
+    clean = token_counts(rows.filter("label = 0").select("text"), "clean")
     toxic = token_counts(rows.filter("label = 1").select("text"), "toxic")
-    n1 = toxic.filter(F.col("token") == F.lit(WORDS)).agg(F.sum("toxic")).first()[0]
+    n0, n1 = (t.filter(F.col("token") == F.lit(WORDS)).agg(F.sum(name)).first()[0] for t, name in ((clean, "clean"), (toxic, "toxic")))
     if not n0 or not n1:
         return Model({}, 1.0, 1.0, -5.0, 0.0)
-    # no other token can reach Z, so only these are looked for in the other texts
+    # no other token can reach Z
     possible = toxic.filter((F.col("toxic") >= least_rows(n1, n0)) & (F.col("token") != F.lit(WORDS)))
-    clean = token_counts(rows.filter("label = 0").select("text"), "clean", _few(possible))
     both = possible.join(clean, "token", "left").fillna(0, ["clean"])
 
     def z_at(own: float) -> F.Column:  # of a token whose prior count among toxic rows is own
