@@ -115,8 +115,45 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+SHINGLE = 5  # words of a run in near_keys
+
+
+def near_keys(tokens: list[bytes], word: dict[bytes, int]) -> list[int]:
+    """Three keys, each of two minima over the runs of SHINGLE words; word gives each word's hash.
+
+    Texts that share 0.8 of their runs agree in one of the keys with probability 0.95; unrelated texts have no runs in common."""
+    h = np.array([word[w] for w in tokens] or [0], np.uint64)
+    n = max(1, len(h) - SHINGLE + 1)
+    runs = np.zeros(n, np.uint64)
+    for k in range(min(SHINGLE, len(h))):
+        runs = (runs ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(29)
+    least = []
+    for seed in range(1, 7):
+        x = (runs + np.uint64(seed * 0x632BE59BD9B4E019 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        least.append((x ^ (x >> np.uint64(30))).min())
+    least = np.array(least, np.uint64)
+    return (least[::2] * np.uint64(3) + least[1::2]).view(np.int64).tolist()
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """label, text of one row for each set of near copies: near copies would make each of their words look significant."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = _Memo(lambda w: xxhash.xxh64_intdigest(w))
+        for batch in batches:
+            found = [near_keys(words(t), word) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in np.array(found, np.int64).reshape(-1, 3).T)], ["key", "label", "a", "b", "c"])
+
+    left = rows.select("key", "label", "text").mapInArrow(run, "key binary, label int, a long, b long, c long")  # LABELLED rows at most
+    for by in ("a", "b", "c"):
+        left = left.groupBy("label", by).agg(F.min(F.struct("key", *(k for k in "abc" if k != by))).alias("row")).select("label", by, "row.*")
+    return rows.join(left.select("key", "label"), ["key", "label"], "left_semi").select("label", "text")
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """label, text: learned rows, one for each distinct text and label, at most LABELLED; case of A-Z and blanks make no other text.
+    """label, text, key: learned rows, one for each distinct text and label, at most LABELLED; case of A-Z and blanks make no other text.
 
     A doc_id with several labels has the largest of them."""
     chosen = labels.filter(F.col(label).isNotNull() & ~held_out()).select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -137,7 +174,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     first = own.groupBy("key", "label").agg(F.min("doc_id").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(LABELLED)
     first = materialize(first, "learned")  # the broadcast is bounded by LABELLED
     texts = rows.join(F.broadcast(first), "doc_id").select("doc_id", "label", "text", "key").mapInArrow(same, "doc_id long, label int, text binary, key binary")
-    return texts.dropDuplicates(["key", "label"]).select("label", "text")
+    return texts.dropDuplicates(["key", "label"]).select("label", "text", "key")
 
 
 class _Memo(dict):
@@ -224,6 +261,7 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """A model from labelled documents of the learned folds; without any of either class, one that scores low."""
     rows = materialize(training_rows(docs, labels, label), "toxic-rows")
+    rows = materialize(one_of_each(rows), "toxic-apart")
     clean = token_counts(rows.filter("label = 0").select("text"), "clean")
     toxic = token_counts(rows.filter("label = 1").select("text"), "toxic")
     n0, n1 = (t.filter(F.col("token") == F.lit(WORDS)).agg(F.sum(name)).first()[0] for t, name in ((clean, "clean"), (toxic, "toxic")))
