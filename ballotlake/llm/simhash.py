@@ -6,39 +6,29 @@ one and two segments agree, those of three to five differ in at most one bit, si
 The first five segments of such a chain give equality keys: the two leading bytes, and one of the two
 12-bit halves of the next three (one bit cannot spoil both). Candidates share a key, then must keep the
 chain's budgets, and only then is the whole Hamming distance counted. The scheme loses no pair.
+
+That is `near_duplicates`. `similar_components` and `keep_first` link by a Jaccard of shingle sets of 0.8 or more, which
+64 bits cannot tell: wide fingerprints are checked along the ring, and what passes is compared exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, map_batches, materialize
+from .wide import LANES, jaccard, majority, near_pairs, shingles, signature
 
 BITS = 3
 BLOCK = 2048
-_BIT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-_LANE = np.arange(8, dtype=np.int64) * 256
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     """The majority bit of the XXH64 of each shingle, as a signed long; 0 for a text without words."""
-    w = text.lower().split()  # bytes: only A-Z change, only \\x20 and \\x09-\\x0D split
-    if not w:
-        return 0
-    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64)
-    counts = np.zeros(2048, np.int64)
-    for at in range(0, len(h), 1 << 16):
-        counts += np.bincount((h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8) + _LANE).ravel(), minlength=2048)
-    ones = np.einsum("kv,vb->kb", counts.reshape(8, 256), _BIT)[::-1].ravel() * 2 > len(h)
-    return int(np.packbits(ones).view(">i8")[0])
+    return majority(shingles(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -129,17 +119,23 @@ def links(fps: DataFrame) -> DataFrame:
 
     A key of more than BLOCK fingerprints is dealt as pairs of blocks, so that no task holds more than two.
     """
-    keys = _keys(fps)
+    return _dealt(_keys(fps), "fp").mapInArrow(_link_partitions, "a long, b long").distinct()
+
+
+def _dealt(keys: DataFrame, name: str) -> DataFrame:
+    """key, block and the other columns of keys, in the order of key and block; name tells the rows of a key apart."""
     hot = materialize(keys.groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "simhash-hot")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    own = F.pmod(F.xxhash64(name), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = (
+    rest = [c for c in keys.columns if c != "key"]
+    return (
         keys.join(hot, "key", "left")
-        .select("key", "fp", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks"))
-        .select("key", "fp", "blocks", own.alias("own"), other.alias("other"))
-        .select("key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"), "fp")
+        .select("key", *rest, F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks"))
+        .select("key", *rest, "blocks", own.alias("own"), other.alias("other"))
+        .select("key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"), *rest)
+        .repartition("key", "block")
+        .sortWithinPartitions("key", "block")
     )
-    return dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_link_partitions, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -182,17 +178,85 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return fps.join(member, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
+def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, tie, node (the text's hash; 0 for all texts without words), sig (see wide; empty without words)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sig = [signature(t or b"", words) for t in batch.column(2).to_pylist()]
+        node = pa.array([x if s else 0 for x, s in zip(batch.column(1).to_pylist(), sig)], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), node, pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "tie", "node", "sig"])
+
+    return map_batches(docs.select(F.col("doc_id").cast("long"), _tie(), F.col("text").cast("binary")), run, "doc_id long, tie long, node long, sig array<long>")
+
+
+def _pair_partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs a, b of rows (key, block, node, fingerprint words) in the order of key and block."""
+    held = np.empty((0, 3 + LANES), np.int64)
+
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        run = np.cumsum(np.r_[0, (np.diff(rows[:, :2], axis=0) != 0).any(axis=1)])
+        a, b = near_pairs(run, np.ascontiguousarray(rows[:, 3:]).view(np.uint32))
+        return pa.RecordBatch.from_arrays([pa.array(rows[a, 2]), pa.array(rows[b, 2])], ["a", "b"])
+
+    for batch in batches:
+        held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+        last = np.flatnonzero((held[:, :2] != held[-1, :2]).any(axis=1)) if len(held) else []
+        if len(last):
+            hi = int(last[-1]) + 1
+            yield out(held[:hi])
+            held = held[hi:]
+    if len(held):
+        yield out(held)
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts (node, text) have this Jaccard of shingle sets or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, own = None, None  # a node's pairs come in turn
+        for batch in batches:
+            keep = []
+            for a, left, right in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if a != name:
+                    name, own = a, np.unique(shingles(left, words))
+                keep.append(jaccard(own, np.unique(shingles(right, words))) >= similarity)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+
+
+def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, tie, node, label of every row of docs: texts that are linked, step by step, by this similarity share a label.
+
+    Texts are told apart by a hash. Of a bucket's pairs that are very likely links only a spanning forest is checked,
+    so copies are not expanded into pairs. Texts without words are alike, and like no others.
+    """
+    sigs = materialize(signatures(docs, words), "simhash-wide")
+    nodes = sigs.filter("node <> 0").groupBy("node").agg(F.any_value("sig").alias("sig"))
+    keys = nodes.select(F.explode(F.slice("sig", LANES + 1, 1 << 20)).alias("key"), "node", *(F.element_at("sig", i + 1).alias(f"f{i}") for i in range(LANES)))
+    found = _dealt(keys, "node").mapInArrow(_pair_partitions, "a long, b long")
+    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "simhash-pairs")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(_tie().alias("node"), F.col("text").cast("binary").alias("text")).join(used, "node", "left_semi").dropDuplicates(["node"])
+    links = materialize(similar(pairs, materialize(texts, "simhash-texts"), words, similarity), "simhash-links")
+    label = components(links).withColumnRenamed("node", "of")
+    return sigs.join(label, F.col("node") == F.col("of"), "left").select("doc_id", "tie", "node", F.coalesce("label", "node").alias("label"))
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each component, with all columns of docs: that of the smallest doc_id (null last), then of the least text hash.
 
     Rows are told apart by id and text: different texts under one id, or without an id, stand for themselves. Of
-    rows alike in both one stays, whichever its other columns are.
+    rows alike in both one stays, whichever its other columns are. Null and empty texts, and those without words,
+    are one component; an empty table gives none.
     """
     own, tie = fresh(docs, "own"), fresh(docs, "tie")
-    fps = materialize(fingerprints(docs, words), "simhash")
-    labelled = _labelled(fps, F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")))
-    winner = materialize(labelled.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.tie"), "simhash-first")
-    alike = fps.groupBy("doc_id", "tie").count().filter("count > 1").select("doc_id", "tie")
+    labelled = materialize(similar_components(docs, words, similarity), "simhash-labels")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie"))
+    winner = materialize(labelled.groupBy("label").agg(first.alias("first")).select("first.doc_id", "first.tie"), "simhash-first")
+    alike = labelled.groupBy("doc_id", "tie").count().filter("count > 1").select("doc_id", "tie")
     named = winner.select(F.col("doc_id").alias(own), F.col("tie").alias(f"{tie}_"))
     kept = docs.withColumn(tie, _tie()).join(named, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(tie) == F.col(f"{tie}_")), "left_semi")
     return (kept if alike.isEmpty() else kept.dropDuplicates(["doc_id", tie])).select(*docs.columns)

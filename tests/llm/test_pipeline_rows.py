@@ -3,9 +3,11 @@
 import pyspark.sql.functions as F
 
 import corpus_pipeline
-from ballotlake.llm import mixing, packing, quality, simhash, toxicity
+from ballotlake.llm import mixing, packing, quality, toxicity
 from ballotlake.llm.common import table
 
+from .test_simhash_similarity import plain_labels
+
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -34,24 +36,15 @@ def test_clashing_columns(spark, data):
 
 
 def test_run_equals_plain_stages(spark, data):
-    """Plain stages: each operator's judgement of single texts, all pairs of fingerprints, and passes by row."""
+    """Plain stages: each operator's judgement of single texts, all pairs of texts, and passes by row."""
     docs = table(spark, data, "documents")
     model = quality.fit(docs)
     rows = [r for r in docs.collect() if quality.verdict(r.text.encode() if r.text is not None else None, model)[2] == 1]
     kept = spark.createDataFrame(rows, docs.schema)
     toxic = toxicity.fit(kept, table(spark, data, "labels"))
     rows = [r for r in rows if toxic.score(toxic.evidence(toxic.passages(toxicity.words((r.text or "").encode())))) < toxicity.THRESHOLD]
-    prints = [simhash.fingerprint((r.text or "").encode()) & (1 << 64) - 1 for r in rows]
-    group = list(range(len(rows)))
-    order = sorted(range(len(rows)), key=lambda i: rows[i].doc_id)
-    changed = True
-    while changed:  # the least row that is reached by steps of three bits or fewer
-        changed = False
-        for i in order:
-            for j in order:
-                if (prints[i] ^ prints[j]).bit_count() <= 3 and rows[group[i]].doc_id < rows[group[j]].doc_id:
-                    group[j], changed = group[i], True
-    rows = [rows[i] for i in order if group[i] == i]
+    first = set(plain_labels({r.doc_id: r.text for r in rows}).values())
+    rows = [r for r in rows if r.doc_id in first]
     mixed = spark.createDataFrame(rows, docs.schema)
     passes = {r.doc_id: r.passes for r in mixing.mix(mixed).collect()}
     want = sorted((r.doc_id, p.piece, p.ids_crc32) for r in rows for p in _pieces(spark, r) for _ in range(passes[r.doc_id]))
