@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, map_batches, materialize
-from .wide import LANES, jaccard, majority, near_pairs, shingles, signature
+from .wide import BANDS, LANES, jaccard, majority, near_pairs, shingles, signature
 
 BITS = 3
 BLOCK = 2048
+WIDE_BLOCK = 1024  # two blocks have at most two million pairs in memory
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -119,12 +120,12 @@ def links(fps: DataFrame) -> DataFrame:
 
     A key of more than BLOCK fingerprints is dealt as pairs of blocks, so that no task holds more than two.
     """
-    return _dealt(_keys(fps), "fp").mapInArrow(_link_partitions, "a long, b long").distinct()
+    return _dealt(_keys(fps), "fp", BLOCK).mapInArrow(_link_partitions, "a long, b long").distinct()
 
 
-def _dealt(keys: DataFrame, name: str) -> DataFrame:
+def _dealt(keys: DataFrame, name: str, size: int) -> DataFrame:
     """key, block and the other columns of keys, in the order of key and block; name tells the rows of a key apart."""
-    hot = materialize(keys.groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "simhash-hot")
+    hot = materialize(keys.groupBy("key").count().filter(F.col("count") > size).select("key", F.ceil(F.col("count") / size).alias("blocks")), "simhash-hot")
     own = F.pmod(F.xxhash64(name), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rest = [c for c in keys.columns if c != "key"]
@@ -190,22 +191,27 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def _pair_partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs a, b of rows (key, block, node, fingerprint words) in the order of key and block."""
-    held = np.empty((0, 3 + LANES), np.int64)
+    """Of rows (key, block, node, fingerprint words, label if given) in the order of key and block: see near_pairs.
+
+    The rows that have more pairs come as pairs with themselves.
+    """
+    held = None
 
     def out(rows: np.ndarray) -> pa.RecordBatch:
         run = np.cumsum(np.r_[0, (np.diff(rows[:, :2], axis=0) != 0).any(axis=1)])
-        a, b = near_pairs(run, np.ascontiguousarray(rows[:, 3:]).view(np.uint32))
-        return pa.RecordBatch.from_arrays([pa.array(rows[a, 2]), pa.array(rows[b, 2])], ["a", "b"])
+        words = np.ascontiguousarray(rows[:, 3 : 3 + LANES]).view(np.uint32)
+        a, b, more = near_pairs(run, words, rows[:, 3 + LANES] if rows.shape[1] > 3 + LANES else None)
+        return pa.RecordBatch.from_arrays([pa.array(rows[np.r_[a, more], 2]), pa.array(rows[np.r_[b, more], 2])], ["a", "b"])
 
     for batch in batches:
-        held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+        new = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+        held = new if held is None else np.concatenate([held, new])
         last = np.flatnonzero((held[:, :2] != held[-1, :2]).any(axis=1)) if len(held) else []
         if len(last):
             hi = int(last[-1]) + 1
             yield out(held[:hi])
             held = held[hi:]
-    if len(held):
+    if held is not None and len(held):
         yield out(held)
 
 
@@ -230,17 +236,29 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int = 5, similarity: floa
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, tie, node, label of every row of docs: texts that are linked, step by step, by this similarity share a label.
 
-    Texts are told apart by a hash. Of a bucket's pairs that are very likely links only a spanning forest is checked,
-    so copies are not expanded into pairs. Texts without words are alike, and like no others.
+    Texts are told apart by a hash. A bucket first gives a spanning forest of its nearest pairs, which is compared
+    exactly; then only pairs of texts that these links leave apart. So copies are not expanded into pairs, though
+    texts of one bucket that are no links, yet within a quarter of the bits, are. Texts without words are alike,
+    and like no others.
     """
     sigs = materialize(signatures(docs, words), "simhash-wide")
     nodes = sigs.filter("node <> 0").groupBy("node").agg(F.any_value("sig").alias("sig"))
-    keys = nodes.select(F.explode(F.slice("sig", LANES + 1, 1 << 20)).alias("key"), "node", *(F.element_at("sig", i + 1).alias(f"f{i}") for i in range(LANES)))
-    found = _dealt(keys, "node").mapInArrow(_pair_partitions, "a long, b long")
-    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "simhash-pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    lanes = [F.element_at("sig", i + 1).alias(f"f{i}") for i in range(LANES)]
+    key = F.explode(F.slice("sig", LANES + 1, BANDS)).alias("key")
+
+    def found(keys: DataFrame, name: str) -> DataFrame:
+        pairs = _dealt(keys, "node", WIDE_BLOCK).mapInArrow(_pair_partitions, "a long, b long")
+        return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+
+    forest = found(nodes.select(key, "node", *lanes), "simhash-forest")
+    used = forest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = docs.select(_tie().alias("node"), F.col("text").cast("binary").alias("text")).join(used, "node", "left_semi").dropDuplicates(["node"])
-    links = materialize(similar(pairs, materialize(texts, "simhash-texts"), words, similarity), "simhash-links")
+    texts = materialize(texts, "simhash-texts")
+    first = materialize(similar(forest.filter("a <> b"), texts, words, similarity), "simhash-links")
+    more = forest.filter("a = b").select(F.col("a").alias("node"))
+    labelled = nodes.join(more, "node").join(components(first).select(F.col("node").alias("of"), "label"), F.col("node") == F.col("of"), "left")
+    apart = found(labelled.select(key, "node", *lanes, F.coalesce("label", "node").alias("label")), "simhash-apart")
+    links = first.unionByName(similar(apart.join(forest, ["a", "b"], "left_anti"), texts, words, similarity))
     label = components(links).withColumnRenamed("node", "of")
     return sigs.join(label, F.col("node") == F.col("of"), "left").select("doc_id", "tie", "node", F.coalesce("label", "node").alias("label"))
 

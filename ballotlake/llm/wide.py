@@ -16,7 +16,6 @@ import xxhash
 
 LANES, BANDS, ROWS = 4, 16, 4
 WIDE = 64  # bits; 0.8 is 4.4 standard deviations below
-LIKELY = 24  # bits; 0.8 is 2.6 standard deviations above
 _CHAIN = 4
 _BIT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _LANE = np.arange(8, dtype=np.int64) * 256
@@ -79,40 +78,49 @@ def _chained(bits: np.ndarray) -> np.ndarray:
     return alive.any(axis=1)
 
 
-def near_pairs(run: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs within each run of equal numbers (run is sorted; f holds a fingerprint a row as eight uint32).
+def near_pairs(run: np.ndarray, f: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs within WIDE bits in each run of equal numbers, and of the rows that have more of them.
 
-    Pairs within LIKELY bits come as a spanning forest; those within WIDE bits all come, where the forest does not join them.
+    run is sorted, f holds a fingerprint a row as eight uint32. Without labels the pairs are a spanning forest of
+    fewest differing bits, and the rows are those of all other pairs; with labels all pairs of two labels come.
     """
-    n = len(run)
-    root = np.arange(n)
-    forest, loose = [], []
-    at, d = np.arange(n), 0
+    at, d = np.arange(len(run)), 0
+    found = []
     while True:
         d += 1
-        at = at[at + d < n]
+        at = at[at + d < len(run)]
         at = at[run[at] == run[at + d]]
         if not len(at):
             break
-        pair = at[root[at] != root[at + d]]
+        pair = at if label is None else at[label[at] != label[at + d]]
         bits = np.bitwise_count(f[pair] ^ f[pair + d])
         fits = _chained(bits)
-        pair, total = pair[fits], bits[fits].sum(axis=1)
-        loose.append(np.stack([pair[total <= WIDE], pair[total <= WIDE] + d]))
-        close = pair[total <= LIKELY]
-        for x in close.tolist():
-            a, b = int(root[x]), int(root[x + d])
-            while root[a] != a:
-                a = int(root[a])
-            while root[b] != b:
-                b = int(root[b])
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                forest.append((x, x + d))
-        if len(close):
-            while (root[root] != root).any():
-                root = root[root]
-    a, b = np.concatenate(loose, axis=1) if loose else np.empty((2, 0), np.int64)
-    open_ = root[a] != root[b]
-    tree = np.array(forest, np.int64).reshape(-1, 2)
-    return np.r_[tree[:, 0], a[open_]], np.r_[tree[:, 1], b[open_]]
+        pair, bits = pair[fits], bits[fits].sum(axis=1)
+        pair, bits = pair[bits <= WIDE], bits[bits <= WIDE]
+        found.append(np.stack([pair, pair + d, bits.astype(np.int64)]).astype(np.int32))
+    a, b, bits = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int32)
+    if label is not None:
+        return a, b, a[:0]
+    tree = _forest(len(run), a, b, bits)
+    rest = np.ones(len(a), bool)
+    rest[tree] = False
+    return a[tree], b[tree], np.union1d(a[rest], b[rest])
+
+
+def _forest(n: int, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the pairs that join what pairs of fewer bits, or earlier ones, do not."""
+    root = np.arange(n)
+    tree = []
+    for level in np.unique(bits):
+        open_ = np.flatnonzero((bits == level) & (root[a] != root[b]))
+        for i, x, y in zip(open_.tolist(), root[a[open_]].tolist(), root[b[open_]].tolist()):
+            while root[x] != x:
+                x = int(root[x])
+            while root[y] != y:
+                y = int(root[y])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                tree.append(i)
+        while (root[root] != root).any():
+            root = root[root]
+    return np.array(tree, np.int64)

@@ -43,7 +43,7 @@ def _variants(n: int, share: float) -> dict:
 
 
 def test_hot_bucket_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 8)
+    monkeypatch.setattr(simhash, "WIDE_BLOCK", 8)
     texts = _variants(60, 0.012) | {100 + i: t for i, t in _variants(60, 0.03).items()}
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(3)
     assert _kept(simhash.keep_first(docs)) == sorted(set(plain_labels(texts).values()))
