@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, digest, html, media, mixing, packing, quality, simhash, toxicity, urls
+from . import chat, digest, html, infill, manifest, media, mixing, packing, quality, simhash, sql, toxicity, urls, vectors
 from .common import table
 
 #: An extra conversation whose texts hold control strings.
@@ -71,7 +71,27 @@ def op10_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_toxicity, op4_chat, op5_html, op6_packing, op7_quality, op8_jpeg, op9_mixing, op10_digest)}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256 of all documents, and the root that tampered ones fold to."""
+    lowered = F.translate("text", manifest.CAPITALS, manifest.CAPITALS.lower())
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    made = manifest.manifest(table(spark, sf_dir, "documents"), lowered, tampered)
+    folded = made.withColumns({"proof_sha256": manifest.proof(F.col("path")), "folded_root": manifest.fold(F.coalesce("changed", "leaf"), F.col("path"))})
+    return folded.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
-#: None of these has an equal in SQL; tests/llm holds each against a brute-force version.
-ORACLE: dict[str, str] = {}
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars of all documents, digests of the outputs and of the texts rebuilt from them."""
+    made = infill.restore(infill.transform(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of all embeddings."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_toxicity, op4_chat, op5_html, op6_packing, op7_quality, op8_jpeg, op9_mixing, op10_digest, op11_manifest, op12_infill, op13_vectors)}
+
+#: The others have no equal in SQL; tests/llm holds each against a brute-force version.
+ORACLE: dict[str, str] = {"op11_manifest": sql.OP11, "op12_infill": sql.OP12, "op13_vectors": sql.OP13}
