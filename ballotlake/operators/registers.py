@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intake import field_of
+
 
 def submission_view(submissions: DataFrame) -> DataFrame:
     """The public columns of a submission; missing fields are {} and a missing confidence is 0."""
@@ -70,19 +72,6 @@ def recent_events(events: DataFrame, pu: str, most: int = 50) -> DataFrame:
     return events.filter(F.get_json_object("event_data", "$.pu") == pu).orderBy(F.desc("seq")).limit(most)
 
 
-def batch(log: DataFrame, anchors: DataFrame, least: int, most: int = 1_000_000) -> DataFrame:
-    """Rows after the last anchored seq, in order, at most so many; none if fewer than least wait."""
-    last = anchors.agg(F.coalesce(F.max("batch_end_seq"), F.lit(0)).alias("last"))
-    waiting = log.join(F.broadcast(last), F.col("seq") > F.col("last")).drop("last")  # last is one row
-    enough = waiting.agg(F.count("*").alias("waiting")).filter(F.col("waiting") >= least)
-    return waiting.join(F.broadcast(enough), F.lit(True)).drop("waiting").orderBy("seq").limit(most)
-
-
-def genesis(name: str) -> Column:
-    """The hash of a log's first row."""
-    return F.sha2(F.concat(F.lit("0" * 64), F.lit("chain.genesis"), F.lit("system"), F.lit(name)), 256)
-
-
 def discrepancy_register(found: DataFrame, units: DataFrame, submissions: DataFrame) -> DataFrame:
     """Each discrepancy with its unit's place and its submissions, by id, as an array of structs."""
     own = submissions.filter("approved").groupBy("election", "pu").agg(F.array_sort(F.collect_list(F.struct("id", "source_type", F.col("votes")["A"].alias("votes_a")))).alias("submissions"))
@@ -117,61 +106,109 @@ def mean_confidence(fields: Column, none: float = 0.0) -> Column:
 
 
 _TOTALS = ("registered_voters", "accredited_voters", "total_valid_votes", "rejected_ballots", "total_votes_cast")
+_FLAGS = ("presiding_officer_signed", "official_stamp_present")
 _TRUE = ("true", "yes", "1", "y")
+_UNIT = ("pu_code", "polling_unit_code")
+_SIGNATURES = "agent_signatures_detected"
 
 
-def entities_to_form(entities: Column, number) -> Column:
-    """A form of an array of entities (type, text, confidence); null without party entities.
+def _said(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once: what an array of one struct gives is not put into later expressions."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
-    party_X and candidate_X are votes of X; the last entity of a type counts; totals that are missing are summed.
-    number turns text into a number.
+
+def forms_of_entities(rows: DataFrame, number, entities: str = "entities", fields: str | None = None, hint: str | None = None) -> DataFrame:
+    """rows with form, confidences and confidence of an array of entities (type, text, confidence); all null without party entities.
+
+    party_X and candidate_X are votes of X; the last entity of a type counts, but for the unit's code: the first one, and only
+    where the hint (a column) is missing or unknown. fields, an array of (label, text, confidence) of a general form, fills
+    totals that no entity gives, the first of a kind, and the unit's code if no entity has one. Flags that nothing names are
+    true, other totals are summed or 0. confidences: by field; confidence: their mean. number turns text into a number.
     """
-    pairs = F.transform(entities, lambda e: F.struct(F.lower(F.coalesce(e["type"], F.lit(""))).alias("k"), F.coalesce(e["text"], F.lit("")).alias("t")))
-    last = lambda key: F.try_element_at(F.transform(F.filter(pairs, lambda p: p["k"] == key), lambda p: p["t"]), F.lit(-1))
-    parties = F.filter(pairs, lambda p: p["k"].rlike("^(party|candidate)_"))
-    code = lambda p: F.upper(F.regexp_replace(p["k"], "^(party|candidate)_", ""))
-    codes = F.array_distinct(F.transform(parties, code))
-    votes = F.map_from_entries(F.transform(codes, lambda c: F.struct(c, number(F.element_at(F.transform(F.filter(parties, lambda p: code(p) == c), lambda p: p["t"]), -1)))))
-    summed = F.aggregate(F.map_values(votes), F.lit(0).cast("long"), lambda a, x: a + x)
-    total = {k: number(last(k)) for k in _TOTALS}
-    valid, rejected = F.coalesce(total["total_valid_votes"], summed), F.coalesce(total["rejected_ballots"], F.lit(0))
-    truth = lambda k: F.coalesce(F.lower(F.trim(last(k))).isin(*_TRUE), F.lit(False)).alias(k)
+    none = F.array().cast("array<struct<k:string,t:string,c:double>>")
+    party = "^(party|candidate)_"
+    # the part before the first _ goes: party_X and candidate_X are one field
+    name = lambda t: F.when(t.rlike(party), F.concat(F.lit("candidate_votes."), F.upper(F.regexp_replace(t, party, "")))).when(t.isin(*_UNIT), "pu_code").otherwise(t)
+    text = lambda x: F.coalesce(x, F.lit(""))
+    own = F.transform(F.coalesce(F.col(entities), F.array().cast(rows.schema[entities].dataType)), lambda e: F.struct(name(F.lower(text(e["type"]))).alias("k"), text(e["text"]).alias("t"), F.coalesce(e["confidence"].cast("double"), F.lit(0.0)).alias("c")))
+    other = none
+    if fields is not None:
+        known = F.filter(F.transform(F.col(fields), lambda f: F.struct(field_of(text(f["label"])).alias("k"), text(f["text"]).alias("t"), F.coalesce(f["confidence"].cast("double"), F.lit(0.0)).alias("c"))), lambda f: f["k"].isNotNull())
+        other = F.coalesce(known, none)
+    read = _said(rows, own_=own, other_=other)
+    placed = lambda c, sign: F.array_sort(F.transform(c, lambda e, i: F.struct(e["k"].alias("k"), (sign * i).alias("i"), e["t"].alias("t"), e["c"].alias("c"))))
+    read = _said(read, own_s=placed("own_", 1), other_s=placed("other_", -1))
+    # of each run of one name in order the last one stays
+    last = lambda c: F.map_from_entries(F.transform(F.filter(c, lambda e, i: ~F.coalesce(F.get(c, i + 1)["k"] == e["k"], F.lit(False))), lambda e: F.struct(e["k"], F.struct(e["t"].alias("t"), e["c"].alias("c")))))
+    coded = F.get(F.filter("own_", lambda e: (e["k"] == "pu_code") & ~F.trim(e["t"]).isin("", "unknown")), F.lit(0))["t"]
+    read = _said(read, m_=last(F.col("own_s")), o_=last(F.col("other_s")), coded_=coded).drop("own_", "other_", "own_s", "other_s")
+    get = lambda m, k: F.try_element_at(m, F.lit(k))
+    total = {k: F.coalesce(get("m_", k), get("o_", k)) for k in _TOTALS}
+    votes = F.map_from_entries(F.transform(F.filter(F.map_entries("m_"), lambda e: e["key"].startswith("candidate_votes.")), lambda e: F.struct(F.replace(e["key"], F.lit("candidate_votes.")), number(e["value"]["t"]))))
+    sure = F.map_filter("m_", lambda k, v: k.startswith("candidate_votes.") | k.isin(*_TOTALS, "pu_code"))
+    more = F.map_filter("o_", lambda k, v: k.isin(*_TOTALS, "pu_code") & ~F.map_contains_key("m_", k))
+    read = _said(read, votes_=votes, sure_=F.transform_values(F.map_concat(sure, more), lambda k, v: v["c"]), **{f"{k}_": F.when(v.isNotNull(), F.coalesce(number(v["t"]), F.lit(0))) for k, v in total.items()})
+    summed = F.aggregate(F.map_values("votes_"), F.lit(0).cast("long"), lambda a, x: a + x)
+    valid, rejected = F.coalesce("total_valid_votes_", summed), F.coalesce("rejected_ballots_", F.lit(0))
+    truth = lambda k: F.coalesce(F.lower(F.trim(get("m_", k)["t"])).isin(*_TRUE), F.lit(True)).alias(k)
+    given = F.nullif(F.nullif(F.col(hint), F.lit("")), F.lit("unknown")) if hint else F.lit(None).cast("string")
+    labelled = F.when(~F.map_contains_key("m_", "pu_code"), F.trim(get("o_", "pu_code")["t"]))
+    code = F.coalesce(F.nullif(labelled, F.lit("")), given, F.trim("coded_"), F.lit("unknown"))
     form = F.struct(
-        F.coalesce(F.nullif(F.trim(last("pu_code")), F.lit("")), F.lit("unknown")).alias("pu_code"), votes.alias("candidate_votes"), F.coalesce(total["registered_voters"], F.lit(0)).alias("registered_voters"),
-        F.coalesce(total["accredited_voters"], F.lit(0)).alias("accredited_voters"), valid.alias("total_valid_votes"), rejected.alias("rejected_ballots"), F.coalesce(total["total_votes_cast"], valid + rejected).alias("total_votes_cast"),
-        truth("presiding_officer_signed"), truth("official_stamp_present"),
+        code.alias("pu_code"), F.coalesce("registered_voters_", F.lit(0)).alias("registered_voters"), F.coalesce("accredited_voters_", F.lit(0)).alias("accredited_voters"), F.col("votes_").alias("candidate_votes"),
+        valid.alias("total_valid_votes"), rejected.alias("rejected_ballots"), F.coalesce("total_votes_cast_", valid + rejected).alias("total_votes_cast"),
+        *map(truth, _FLAGS), F.coalesce(number(get("m_", _SIGNATURES)["t"]), F.lit(0)).alias(_SIGNATURES),
     )
-    return F.when(F.size(parties) > 0, form)
+    some = F.size("votes_") > 0
+    out = _said(read, form=F.when(some, form), confidences=F.when(some, F.col("sure_")), confidence=F.when(some, mean_confidence(F.col("sure_"))))
+    return out.drop("m_", "o_", "coded_", "votes_", "sure_", *(f"{k}_" for k in _TOTALS))
 
 
-_VISION = "pu_code string, registered_voters long, accredited_voters long, total_valid_votes long, rejected_ballots long, total_votes_cast long, candidate_votes map<string,long>, presiding_officer_signed boolean, official_stamp_present boolean"
+_VISION = ", ".join(f"{c} string" for c in ("error", "pu_code", *_TOTALS, *_FLAGS, _SIGNATURES)) + ", candidate_votes map<string,string>, confidence map<string,string>"
+NOT_A_FORM = "not_an_ec8a"
 
 
-def vision_to_form(answer: Column, unit: Column) -> Column:
-    """A form of a model's JSON answer; null where it is none or has no votes. Codes are trimmed and upper-cased, null votes dropped; totals of 0 count as missing."""
-    p = F.from_json(answer, _VISION)
-    entries = F.filter(F.map_entries(p["candidate_votes"]), lambda e: e["value"].isNotNull())
-    codes = F.array_distinct(F.transform(entries, lambda e: F.upper(F.trim(e["key"]))))
-    votes = F.map_from_entries(F.transform(codes, lambda c: F.struct(c, F.element_at(F.filter(entries, lambda e: F.upper(F.trim(e["key"])) == c), -1)["value"])))
-    summed = F.aggregate(F.map_values(votes), F.lit(0).cast("long"), lambda a, x: a + x)
-    valid, rejected = F.coalesce(F.nullif(p["total_valid_votes"], F.lit(0)), summed), F.coalesce(p["rejected_ballots"], F.lit(0))
+def forms_of_answers(rows: DataFrame, answer: str = "answer", hint: str | None = None) -> DataFrame:
+    """rows with form, confidences and confidence of a model's JSON answer; all null where it is no JSON, says that it saw no form, or has no votes.
+
+    Codes of parties are trimmed and in capitals, the last of one code counts; null votes are dropped. Totals of 0 count as
+    missing: they are summed, or 0. A flag that the answer leaves out is true, one that is null is false. Without any
+    confidences the mean is 0.5.
+    """
+    read = _said(rows, p_=F.from_json(answer, _VISION), keys_=F.coalesce(F.json_object_keys(answer), F.array().cast("array<string>")))
+    number = lambda t: F.coalesce(t.try_cast("double").cast("long"), F.lit(0))
+    entries = F.filter(F.map_entries("p_.candidate_votes"), lambda e: e["value"].isNotNull())
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(F.upper(F.trim(e["key"])).alias("k"), i.alias("i"), number(e["value"]).alias("n"))))
+    read = _said(read, s_=placed)
+    votes = F.map_from_entries(F.transform(F.filter("s_", lambda e, i: ~F.coalesce(F.get("s_", i + 1)["k"] == e["k"], F.lit(False))), lambda e: F.struct(e["k"], e["n"])))
+    sure = F.filter(F.transform(F.map_entries("p_.confidence"), lambda e: F.struct(e["key"], e["value"].try_cast("double").alias("value"))), lambda e: e["value"].isNotNull())
+    good = F.col("p_").isNotNull() & ~F.coalesce(F.col("p_.error") == NOT_A_FORM, F.lit(False))
+    read = _said(read, votes_=F.when(good, votes), sure_=F.coalesce(F.map_from_entries(sure), F.create_map().cast("map<string,double>")))
+    p = {k: number(F.col(f"p_.{k}")) for k in (*_TOTALS, _SIGNATURES)}
+    some = lambda n: F.nullif(n, F.lit(0))
+    summed = F.aggregate(F.map_values("votes_"), F.lit(0).cast("long"), lambda a, x: a + x)
+    valid = F.coalesce(some(p["total_valid_votes"]), summed)
+    truth = lambda k: F.when(F.array_contains("keys_", k), ~F.coalesce(F.lower(f"p_.{k}"), F.lit("")).isin("", "0", "0.0", "false")).otherwise(True).alias(k)
     form = F.struct(
-        F.coalesce(F.nullif(p["pu_code"], F.lit("")), unit, F.lit("unknown")).alias("pu_code"), votes.alias("candidate_votes"), valid.alias("total_valid_votes"), rejected.alias("rejected_ballots"),
-        F.coalesce(F.nullif(p["total_votes_cast"], F.lit(0)), valid + rejected).alias("total_votes_cast"), F.coalesce(p["presiding_officer_signed"], F.lit(True)).alias("presiding_officer_signed"), F.coalesce(p["official_stamp_present"], F.lit(True)).alias("official_stamp_present"),
+        F.coalesce(F.nullif("p_.pu_code", F.lit("")), F.nullif(F.col(hint), F.lit("")) if hint else F.lit(None), F.lit("unknown")).alias("pu_code"), p["registered_voters"].alias("registered_voters"), p["accredited_voters"].alias("accredited_voters"),
+        F.col("votes_").alias("candidate_votes"), valid.alias("total_valid_votes"), p["rejected_ballots"].alias("rejected_ballots"), F.coalesce(some(p["total_votes_cast"]), valid + p["rejected_ballots"]).alias("total_votes_cast"),
+        *map(truth, _FLAGS), p[_SIGNATURES].alias(_SIGNATURES),
     )
-    return F.when(F.coalesce(F.size(entries), F.lit(0)) > 0, form)
+    held = F.coalesce(F.size("votes_") > 0, F.lit(False))
+    out = _said(read, form=F.when(held, form), confidences=F.when(held, F.col("sure_")), confidence=F.when(held, mean_confidence(F.col("sure_"), 0.5)))
+    return out.drop("p_", "keys_", "s_", "votes_", "sure_")
 
 
 def clean_name(text: Column) -> Column:
-    """White space collapsed, each run of letters with a capital first."""
-    words = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"([^A-Za-z]+)", "\u0001$1\u0001")
+    """White space collapsed, each run of letters with a capital first: letters are those that have capitals, marked ones too."""
+    words = F.regexp_replace(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), r"([^\p{Lu}\p{Ll}\p{Lt}]+)", "\u0001$1\u0001")
     return F.array_join(F.transform(F.split(words, "\u0001"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), "")
 
 
 def code_parts(code: Column) -> Column:
-    """The four parts of a unit's code, null if there are not four or one is blank."""
-    parts = F.transform(F.split(code, "[-/]"), lambda p: F.trim(p))
-    return F.when((F.size(parts) == 4) & ~F.exists(parts, lambda p: p == ""), parts)
+    """The four parts of a unit's code between hyphens, as they are; null if there are not four or one is blank."""
+    parts = F.split(code, "-")
+    return F.when((F.size(parts) == 4) & ~F.exists(parts, lambda p: F.trim(p) == ""), parts)
 
 
 def ring_centroid(ring: Column) -> Column:

@@ -149,40 +149,6 @@ def _(spark, sf_dir):
     return registers.audit_events(rows, rows).select("event_type", "entity_id", "event_data")
 
 
-@query("K3_genesis", f"SELECT sha256('{'0' * 64}chain.genesissystemballots') log_hash", False)
-def _(spark, sf_dir):
-    return spark.range(1).select(registers.genesis("ballots").alias("log_hash"))
-
-
-@query("K5_batch", "SELECT o_orderkey seq FROM orders WHERE o_orderkey > (SELECT coalesce(max(o_orderkey), 0) FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey < 9000) ORDER BY 1 LIMIT 1000", False)
-def _(spark, sf_dir):
-    """Also E12: the last anchored row, 0 without any."""
-    log = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"))
-    anchors = log.filter("seq % 10 = 0 and seq < 9000").select(F.col("seq").alias("batch_end_seq"))
-    return registers.batch(log, anchors, 10, 1000)
-
-
-def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    events = _table(spark, sf_dir, "nation").select(k.cast("long").alias("seq"), F.lit("e").alias("event_type"), F.lit("n").alias("entity_type"), F.col("n_name").alias("entity_id"), F.when(k % 2 == 0, "x").alias("actor_id"), F.lit("t").alias("event_at"), F.lit("{}").alias("event_data"))
-    return audit.append(events)
-
-
-@query("K1_chain", """WITH RECURSIVE c AS (SELECT -1::BIGINT seq, repeat('0', 64) log_hash
-  UNION ALL SELECT n_nationkey::BIGINT, sha256(concat(log_hash, 'en', n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'x' ELSE '' END, 't{}')) FROM c JOIN nation ON n_nationkey = c.seq + 1)
-  SELECT seq, log_hash FROM c WHERE seq >= 0""", False)
-def _(spark, sf_dir):
-    """Also B8: a batch appended to an empty log."""
-    return _chain(spark, sf_dir).select("seq", "log_hash")
-
-
-@query("K2_broken_links", "SELECT n_nationkey seq FROM nation WHERE n_nationkey IN (7, 12, 13)", False)
-def _(spark, sf_dir):
-    """A row whose data were changed, and one whose hash was: the latter breaks the next one's link too."""
-    log = _chain(spark, sf_dir).withColumn("event_data", F.when(F.col("seq") == 7, "[]").otherwise(F.col("event_data")))
-    return audit.broken(log.withColumn("log_hash", F.when(F.col("seq") == 12, "f" * 64).otherwise(F.col("log_hash"))))
-
-
 @query("E14_mean_confidence", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.5 ELSE ((event_id % 100)::DOUBLE / 100 + 1) / 2 END confidence FROM events", False)
 def _(spark, sf_dir):
     k = F.col("event_id")
