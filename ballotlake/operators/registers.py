@@ -144,7 +144,7 @@ def forms_of_entities(rows: DataFrame, number, entities: str = "entities", field
     read = _said(read, m_=last(F.col("own_s")), o_=last(F.col("other_s")), coded_=coded).drop("own_", "other_", "own_s", "other_s")
     get = lambda m, k: F.try_element_at(m, F.lit(k))
     total = {k: F.coalesce(get("m_", k), get("o_", k)) for k in _TOTALS}
-    votes = F.map_from_entries(F.transform(F.filter(F.map_entries("m_"), lambda e: e["key"].startswith("candidate_votes.")), lambda e: F.struct(F.replace(e["key"], F.lit("candidate_votes.")), number(e["value"]["t"]))))
+    votes = F.map_from_entries(F.transform(F.filter(F.map_entries("m_"), lambda e: e["key"].startswith("candidate_votes.")), lambda e: F.struct(F.replace(e["key"], F.lit("candidate_votes.")), F.coalesce(number(e["value"]["t"]), F.lit(0)))))
     sure = F.map_filter("m_", lambda k, v: k.startswith("candidate_votes.") | k.isin(*_TOTALS, "pu_code"))
     more = F.map_filter("o_", lambda k, v: k.isin(*_TOTALS, "pu_code") & ~F.map_contains_key("m_", k))
     read = _said(read, votes_=votes, sure_=F.transform_values(F.map_concat(sure, more), lambda k, v: v["c"]), **{f"{k}_": F.when(v.isNotNull(), F.coalesce(number(v["t"]), F.lit(0))) for k, v in total.items()})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import geofence, haversine, in_polygon, in_ring, mercator, tile
-from ..operators import anomaly, audit, divergence, intake, reconcile, rollups, validation
+from ..operators import anomaly, divergence, intake, reconcile, rollups, validation
 from ..operators.consensus import VERIFIED, consensus
 from ..sources import files, fixture
 from ..sources.current import written
@@ -511,4 +511,4 @@ def _(spark, sf_dir):
     return files.hash_manifest(rows).withColumn("submitted_at", F.unix_timestamp("submitted_at"))
 
 
-from . import registers, streams  # noqa: E402, F401  their queries join these
+from . import extraction, registers, streams  # noqa: E402, F401  their queries join these

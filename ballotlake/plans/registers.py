@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, audit, registers, rollups, validation
+from ..operators import anomaly, registers, rollups
 from ..sources import fixture
 from .catalog import _live, _results, query
 
@@ -231,35 +231,6 @@ def _(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", registers.better(first, second)["name"].alias("taken"))
 
 
-@query("M12_entity_pivot", """SELECT event_id, a votes_apc, CASE WHEN event_id % 3 = 0 THEN b END votes_pdp, a + CASE WHEN event_id % 3 = 0 THEN b ELSE 0 END valid, CASE WHEN event_id % 4 = 0 THEN 7 ELSE 0 END::BIGINT rejected,
-  a + CASE WHEN event_id % 3 = 0 THEN b ELSE 0 END + CASE WHEN event_id % 4 = 0 THEN 7 ELSE 0 END total, event_id % 2 = 0 signed FROM (SELECT event_id, event_id % 1000 a, event_id % 77 b FROM events) WHERE event_id % 11 <> 0""", False)
-def _(spark, sf_dir):
-    k = F.col("event_id")
-    entity = lambda name, text: F.struct(F.lit(name).alias("type"), text.alias("text"))
-    entities = F.array_compact(F.array(
-        F.when(k % 11 != 0, entity("Party_apc", F.concat(F.lit(" "), (k % 1000).cast("string"), F.lit(" votes")))), F.when((k % 11 != 0) & (k % 3 == 0), entity("candidate_pdp", (k % 77).cast("string"))),
-        F.when(k % 4 == 0, entity("rejected_ballots", F.lit("7"))), entity("presiding_officer_signed", F.when(k % 2 == 0, " Yes").otherwise("no")),
-    ))
-    form = registers.entities_to_form(entities, validation.whole_number)
-    rows = _table(spark, sf_dir, "events").select("event_id", form.alias("f")).filter("f is not null")
-    votes = lambda p: F.try_element_at("f.candidate_votes", F.lit(p))
-    return rows.select("event_id", votes("APC").alias("votes_apc"), votes("PDP").alias("votes_pdp"), F.col("f.total_valid_votes").alias("valid"), F.col("f.rejected_ballots").alias("rejected"), F.col("f.total_votes_cast").alias("total"), F.col("f.presiding_officer_signed").alias("signed"))
-
-
-@query("M13_vision_parse", """SELECT event_id, event_id % 50 votes_apc, coalesce(nullif(event_id % 4, 0), event_id % 50) valid, coalesce(nullif(event_id % 4, 0), event_id % 50) + 2 total FROM events WHERE event_id % 6 <> 0""", False)
-def _(spark, sf_dir):
-    k = F.col("event_id")
-    answer = F.when(k % 6 == 0, '{"error": "no form"}').otherwise(F.concat(F.lit('{"candidate_votes": {" apc ": '), (k % 50).cast("string"), F.lit(', "pdp": null}, "rejected_ballots": 2, "total_valid_votes": '), (k % 4).cast("string"), F.lit("}")))
-    rows = _table(spark, sf_dir, "events").select("event_id", registers.vision_to_form(answer, F.lit("u")).alias("f")).filter("f is not null")
-    return rows.select("event_id", F.try_element_at("f.candidate_votes", F.lit("APC")).alias("votes_apc"), F.col("f.total_valid_votes").alias("valid"), F.col("f.total_votes_cast").alias("total"))
-
-
-@query("M18_clean_names", "SELECT c_custkey, array_to_string(list_transform(string_split(lower(replace(c_mktsegment, 'I', 'i-x')), '-'), lambda x: upper(x[1]) || x[2:]), '-') || ' Ward' name FROM customer", False)
-def _(spark, sf_dir):
-    text = F.concat(F.lit("  "), F.replace(F.col("c_mktsegment"), F.lit("I"), F.lit("i-x")), F.lit("  WARD "))
-    return _table(spark, sf_dir, "customer").select("c_custkey", registers.clean_name(text).alias("name"))
-
-
 @query("L4_ring_centroid", "SELECT c_custkey, CASE WHEN w = 0 THEN x ELSE x + w / 2 END cx, CASE WHEN w = 0 THEN y ELSE y + 1 END cy FROM (SELECT c_custkey, (c_custkey % 40)::DOUBLE x, (c_custkey % 30)::DOUBLE y, (c_custkey % 5)::DOUBLE w FROM customer)", False)
 def _(spark, sf_dir):
     k = F.col("c_custkey")
@@ -270,20 +241,6 @@ def _(spark, sf_dir):
     return rows.select("c_custkey", F.round("c.x", 9).alias("cx"), F.round("c.y", 9).alias("cy"))
 
 
-@query("L6_rings", "SELECT area, count(*) FILTER (outer_ring)::BIGINT outers, count(*) FILTER (NOT outer_ring)::BIGINT holes, (sum(CASE WHEN k % 3 = 0 THEN n + 1 ELSE n END))::BIGINT points FROM (SELECT c_nationkey area, c_custkey k, c_custkey % 4 <> 0 outer_ring, 3 + c_custkey % 3 + 0 n FROM customer WHERE 3 + c_custkey % 3 >= 4) GROUP BY 1", False)
-def _(spark, sf_dir):
-    k = F.col("c_custkey")
-    n = 3 + k % 3
-    point = lambda i: F.struct(i.cast("double").alias("x"), F.lit(1.0).alias("y"))
-    # a ring of n points; those of k % 3 = 0 are left open, but they have three points and are no rings
-    ring = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.when((i == n) & (k % 3 != 0), point(F.lit(1))).otherwise(point(i)))
-    ways = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("area"), k.alias("at"), F.when(k % 4 == 0, "inner").otherwise("outer").alias("role"), ring.alias("ring"))
-    rows = registers.assemble_rings(ways)
-    rings = F.flatten("polygons")
-    points = F.aggregate(rings, F.lit(0), lambda a, r: a + F.size(r)).cast("long")
-    return rows.select("area", F.size("polygons").cast("long").alias("outers"), (F.size(rings) - F.size("polygons")).cast("long").alias("holes"), points.alias("points"))
-
-
 @query("L14_symbol_class", """, t AS (SELECT lga, count(*) total, count(*) FILTER (status <> 'no_data') reporting, avg(greatest(a, b, c)::DOUBLE / valid) share FROM live GROUP BY 1)
   SELECT lga, CASE WHEN reporting::DOUBLE / total < 0.5 THEN 'few' WHEN share >= 0.85 THEN 'strong' WHEN share >= 0.5 THEN 'clear' WHEN share >= 0.2 THEN 'close' ELSE 'none' END class FROM t""")
 def _(spark, sf_dir):
