@@ -11,11 +11,14 @@ import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
+from ..sources.current import Current
+from .spatial import multipolygon
+
 #: Words that say nothing, state codes of other registers, and local governments that changed names.
 NOISE = ("ward", "district", "area", "council")
 STATE_CODES = {"BR": "BO", "KB": "KE"}
@@ -111,6 +114,29 @@ def reconcile(features: DataFrame, register: DataFrame, overrides: DataFrame) ->
     return done.unionByName(nowhere).unionByName(exact).unionByName(near).drop("state_code", "alt")
 
 
-def load_action(ward_code: Column, confidence: Column, polygon: Column) -> Column:
+ACTIONS = ("loaded", "skipped_no_match", "skipped_low_confidence", "skipped_bad_geom")
+
+
+def load_action(ward_code: Column, confidence: Column, polygon: Column, least: float = LOADED) -> Column:
     """What becomes of a matched boundary; polygon: if its geometry is a polygon or several."""
-    return F.when(ward_code.isNull(), "skipped_no_match").when(confidence < LOADED, "skipped_low_confidence").when(~F.coalesce(polygon, F.lit(False)), "skipped_bad_geom").otherwise("loaded")
+    return F.when(ward_code.isNull(), "skipped_no_match").when(confidence < least, "skipped_low_confidence").when(~F.coalesce(polygon, F.lit(False)), "skipped_bad_geom").otherwise("loaded")
+
+
+def load(matches: DataFrame, table: Current, report: str, least: float = LOADED) -> dict[str, int]:
+    """Put matched boundaries into table (ward_code, source_id, confidence, polygons), and all rows' actions at report; gives a count of each action.
+
+    matches: at (their order), source_id, ward_code, confidence, reason, and the geometry as kind, polygon and
+    polygons. One pass over matches writes a folder an action and counts; a single polygon becomes one of several. Of a
+    ward's boundaries the last one stays.
+    """
+    spark = matches.sparkSession
+    polygons = multipolygon(F.col("kind"), F.col("polygon"), F.col("polygons"))
+    action = load_action(F.col("ward_code"), F.col("confidence"), polygons.isNotNull(), least)
+    rows = matches.withColumn("action", action).select("at", "source_id", "ward_code", "confidence", "reason", F.when(F.col("action") == "loaded", polygons).alias("polygons"), "action")
+    seen = Observation("load")
+    counted = rows.observe(seen, *(F.count_if(F.col("action") == a).alias(a) for a in ACTIONS))
+    counted.write.partitionBy("action").parquet(report)
+    loaded = spark.read.schema(rows.schema).parquet(report).filter("action = 'loaded'")
+    if seen.get["loaded"]:
+        table.upsert(loaded.select("ward_code", "source_id", "confidence", "polygons", "at"), F.col("at"))
+    return dict(seen.get)

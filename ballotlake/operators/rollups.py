@@ -46,6 +46,26 @@ def region_aggregates(live: DataFrame, level: str) -> DataFrame:
     return rows.withColumn("leader_share", share).fillna(0, ["total_votes", "leader_votes"]).withColumn("level", F.lit(level))
 
 
+def region_rows(dimension: DataFrame, live: DataFrame, level: str, statuses=VERIFIED) -> DataFrame:
+    """A row for every place of dimension (code, name, parent_code, state_code), whether it has units or not.
+
+    level, code, name, parent_code, state_code, pu_count, units_reporting, a count of each status, centroid_lng and
+    centroid_lat of its units (live has lng, lat), leader_party (most votes of verified units, then name), leader_share (4
+    places), party_totals_json. Counts are 0 and all else null without units.
+    """
+    code = F.col(level).cast("string").alias("code")
+    counts = live.groupBy(code).agg(
+        F.count("*").alias("pu_count"), F.count_if(F.col("status") != "no_data").alias("units_reporting"), *(F.count_if(F.col("status") == s).alias(f"units_{s}") for s in STATUSES[1:]),
+        F.avg("lng").alias("centroid_lng"), F.avg("lat").alias("centroid_lat"),
+    )
+    each = party_totals(live, level, statuses).groupBy("code").agg(F.array_sort(F.collect_list(F.struct("party", "n"))).alias("each"), F.min_by("party", F.struct(-F.col("n"), "party")).alias("leader_party"), F.max("n").alias("most"), F.sum("n").alias("whole"))
+    share = F.when(F.col("whole") > 0, F.round(F.col("most") / F.col("whole"), 4)).alias("leader_share")
+    lead = each.select("code", "leader_party", share, F.to_json(F.map_from_entries("each")).alias("party_totals_json"))
+    zero = ["pu_count", "units_reporting", *(f"units_{s}" for s in STATUSES[1:])]
+    rows = dimension.join(counts, "code", "left").join(lead, "code", "left").fillna(0, zero).fillna("{}", ["party_totals_json"])
+    return rows.select(F.lit(level).alias("level"), "code", "name", "parent_code", "state_code", *zero, "centroid_lng", "centroid_lat", "leader_party", "leader_share", "party_totals_json")
+
+
 def bottom_up(live: DataFrame, statuses=("consensus", "single_source", "inec_confirmed")) -> DataFrame:
     """Votes by ward, local government, state and country in one pass; null marks the levels summed over."""
     rows = live.filter(F.col("status").isin(*statuses)).select("state", "lga", "ward", F.explode("votes").alias("party", "n"))

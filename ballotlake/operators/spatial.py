@@ -45,6 +45,16 @@ def locate(points: DataFrame, areas: DataFrame, key: str, cell: float = 1.0) ->
     return points.join(first, F.col(key) == F.col("key_"), "left").drop("key_")
 
 
+def placed(places: DataFrame, boundaries: DataFrame, points: DataFrame) -> DataFrame:
+    """places (code, any others) with geometry (polygon, point, or null for none), polygons, and point where there is no polygon.
+
+    boundaries: code, polygons; points: code, lng, lat. Both have a row a place at most.
+    """
+    rows = places.join(boundaries.select("code", "polygons"), "code", "left").join(points.select("code", F.struct("lng", "lat").alias("point")), "code", "left")
+    point = F.when(F.col("polygons").isNull(), F.col("point"))
+    return rows.withColumn("point", point).withColumn("geometry", F.when(F.col("polygons").isNotNull(), "polygon").when(F.col("point").isNotNull(), "point"))
+
+
 def multipolygon(kind: Column, polygon: Column, polygons: Column) -> Column:
     """The polygons of a geometry that is one or several; null for every other kind."""
     return F.when(kind == "MultiPolygon", polygons).when(kind == "Polygon", F.array(polygon))

@@ -24,6 +24,20 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("f.properties", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
+_NODE = "type string, role string, geometry array<struct<lat double, lon double>>"
+_OSM = f"elements array<struct<type string, id long, tags map<string,string>, members array<struct<{_NODE}>>>>"
+
+
+def osm(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """at, type, id, tags, members of the elements of map extracts: one JSON document a file, or with lines one a line.
+
+    at orders elements as they stand: by file, then by place in the document (which lines do not tell: order these
+    by what they hold). A document without elements gives no row.
+    """
+    rows = spark.read.schema(_OSM).json(path, multiLine=not lines).select(F.col("_metadata.file_path").alias("file"), F.posexplode("elements").alias("place", "e"))
+    return rows.select(F.struct("file", "place").alias("at"), "e.type", "e.id", "e.tags", "e.members")
+
+
 def first_property(properties: Column, *names: str) -> Column:
     """The first of the named properties that is not empty."""
     return F.coalesce(*(F.nullif(F.trim(F.try_element_at(properties, F.lit(n))), F.lit("")) for n in names))
