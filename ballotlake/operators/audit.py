@@ -135,6 +135,12 @@ def merkle_roots(leaves: DataFrame, batch: str = "batch") -> DataFrame:
     return layer.join(total, batch).select(batch, F.lower(F.hex("hash")).alias("merkle_root"), F.col("total").alias("leaf_count"))
 
 
+def merkle_root(leaves: DataFrame, span: int = 1_000_000) -> str:
+    """The root over leaves (seq, hash) in the order of seq; zeros for none."""
+    row = merkle_roots(numbered(leaves, span).withColumn("batch", F.lit(0))).first()
+    return row["merkle_root"] if row else ZEROS
+
+
 def waiting(log: DataFrame, anchored: DataFrame, least: int = 1) -> DataFrame:
     """All rows of log (seq, ...) after the last anchored one (end_seq; 0 for none); none if fewer than least wait."""
     last = anchored.agg(F.coalesce(F.max("end_seq"), F.lit(0)).alias("last"))
