@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.current import Current, written
+
 #: Form fields and the patterns of their labels, the first that fits wins.
 LABELS = (
     ("pu_code", "polling.?unit.?code|pu.?code"),
@@ -55,9 +57,34 @@ def feed(entries: DataFrame) -> DataFrame:
     return kept.select("pu_code", c("document.url").alias("image_url"), c("document.size").alias("document_size"), at.alias("submitted_at"), F.coalesce("is_zero_pu", F.lit(False)).alias("is_zero_pu"), c("state").alias("state_id"))
 
 
-def apply_roster(rows: DataFrame, agents: DataFrame, units: DataFrame) -> DataFrame:
-    """phone, pu_code and outcome of fine roster rows: unknown_unit, skipped (the phone is known) or inserted."""
+def _outcomes(rows: DataFrame, agents: DataFrame, units: DataFrame) -> DataFrame:
     known = agents.select("phone", F.lit(True).alias("known")).distinct()
     there = units.select("pu_code", F.lit(True).alias("there")).distinct()
-    outcome = F.when(F.col("there").isNull(), "unknown_unit").when(F.col("known"), "skipped").otherwise("inserted")
-    return rows.filter("error is null").join(known, "phone", "left").join(there, "pu_code", "left").select("phone", "pu_code", outcome.alias("outcome"))
+    outcome = F.when(F.col("known"), "skipped").when(F.col("there").isNull(), "unknown_unit").otherwise("inserted")
+    fine = rows.filter("error is null").join(known, "phone", "left").join(there, "pu_code", "left")
+    return fine.withColumn("outcome", outcome)
+
+
+def apply_roster(rows: DataFrame, agents: DataFrame, units: DataFrame) -> DataFrame:
+    """phone, pu_code and outcome of fine roster rows: skipped (the phone is known), else unknown_unit or inserted."""
+    return _outcomes(rows, agents, units).select("phone", "pu_code", "outcome")
+
+
+def load_roster(rows: DataFrame, agents: Current, units: DataFrame, party: str, actor: str, now: Column) -> tuple[dict[str, int], DataFrame]:
+    """Put all new agents of a roster (see roster) into agents (phone, name, pu_code, language, party), or none.
+
+    Gives the counts of inserted and skipped rows, and the events of the inserted. A row whose phone is new and whose unit is
+    not in the register ends the load before anything is written; the error names the first such line.
+    """
+    known = agents.read()
+    known = known if known is not None else rows.select("phone").limit(0)
+    found = written(_outcomes(rows, known, units).select("line", "phone", "name", "pu_code", "language", "outcome"), "roster")
+    wrong = found.filter("outcome = 'unknown_unit'").agg(F.min(F.struct("line", "pu_code")).alias("first")).first()["first"]
+    if wrong is not None:
+        raise ValueError(f"unknown_pu: polling unit {wrong['pu_code']} not in registry (line {wrong['line']})")
+    counts = {r["outcome"]: r["count"] for r in found.groupBy("outcome").count().collect()}
+    new = found.filter("outcome = 'inserted'").select("phone", "name", "pu_code", "language", F.lit(party).alias("party"))
+    agents.upsert(new)
+    from .events import of_agents  # events reads this module's labels
+
+    return {k: counts.get(k, 0) for k in ("inserted", "skipped")}, of_agents(new.withColumns({"actor": F.lit(actor), "loaded_at": now}))

@@ -114,6 +114,11 @@ def reconcile(features: DataFrame, register: DataFrame, overrides: DataFrame) ->
     return done.unionByName(nowhere).unionByName(exact).unionByName(near).drop("state_code", "alt")
 
 
+def reasons(matches: DataFrame) -> DataFrame:
+    """reason, n: how often each reason decided a match."""
+    return matches.groupBy("reason").agg(F.count("*").alias("n"))
+
+
 ACTIONS = ("loaded", "skipped_no_match", "skipped_low_confidence", "skipped_bad_geom")
 
 

@@ -72,12 +72,6 @@ def recent_events(events: DataFrame, pu: str, most: int = 50) -> DataFrame:
     return events.filter(F.get_json_object("event_data", "$.pu") == pu).orderBy(F.desc("seq")).limit(most)
 
 
-def discrepancy_register(found: DataFrame, units: DataFrame, submissions: DataFrame) -> DataFrame:
-    """Each discrepancy with its unit's place and its submissions, by id, as an array of structs."""
-    own = submissions.filter("approved").groupBy("election", "pu").agg(F.array_sort(F.collect_list(F.struct("id", "source_type", F.col("votes")["A"].alias("votes_a")))).alias("submissions"))
-    return found.join(units.select("pu", "state", "lga", "ward"), "pu").join(own, ["election", "pu"], "left")
-
-
 def leader_outliers(turnout: DataFrame, threshold: float = 3.0, peers: int = 5) -> DataFrame:
     """Units whose leader's share is far from their ward's (population deviation, five peers at least), with rounded details."""
     ward = turnout.groupBy("ward").agg(F.count("leader_share").alias("ward_n"), F.avg("leader_share").alias("mean"), F.stddev_pop("leader_share").alias("sd")).filter((F.col("ward_n") >= peers) & (F.col("sd") > 0))
@@ -165,6 +159,7 @@ def forms_of_entities(rows: DataFrame, number, entities: str = "entities", field
 
 
 _VISION = ", ".join(f"{c} string" for c in ("error", "pu_code", *_TOTALS, *_FLAGS, _SIGNATURES)) + ", candidate_votes map<string,string>, confidence map<string,string>"
+#: Fixed value: what a model answers that saw no form.
 NOT_A_FORM = "not_an_ec8a"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.current import written
 from .consensus import VERIFIED
 
 STATUSES = ("no_data", "single_source", "inec_published", "consensus", "discrepancy", "inec_confirmed", "inec_conflict")
@@ -98,3 +99,21 @@ def spread(live: DataFrame, percent: float = 25.0) -> DataFrame:
     whole = totals.groupBy("code").agg(F.sum("n").alias("whole"))
     hit = (F.col("whole") > 0) & (F.col("n") * 100 >= F.col("whole") * percent)
     return totals.join(whole, "code").groupBy("party").agg(F.count_if(hit).alias("states"), F.sum("n").alias("votes"))
+
+
+def floor_percentiles(rows: DataFrame, group: str, value: str, percents) -> DataFrame:
+    """group, percent, value: of each group's n values in order the one at place floor(n percent / 100), the last at most. Nulls do not count.
+
+    Values are sorted by ranges of (group, value) and written; each part counts alone and is moved by what earlier
+    parts hold of its group, so no task holds a group. Windows span a row for each part and group only.
+    """
+    parts = rows.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v")).repartitionByRange("g", "v").sortWithinPartitions("g", "v")
+    placed = written(parts.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "percentiles")
+    held = placed.groupBy("g", "part").agg(F.count("*").alias("held"), F.min("row").alias("first"))
+    whole = Window.partitionBy("g")
+    ahead = F.coalesce(F.sum("held").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.withColumns({"ahead": ahead, "n": F.sum("held").over(whole)})
+    places = held.select("g", "part", "held", "first", "ahead", "n", F.explode(F.array(*(F.lit(p).cast("long") for p in percents))).alias("percent"))
+    at = F.least(F.col("n") - 1, F.floor(F.col("n") * F.col("percent") / 100))
+    wanted = places.withColumn("at", at - F.col("ahead")).filter((F.col("at") >= 0) & (F.col("at") < F.col("held"))).select("g", "part", "percent", (F.col("first") + F.col("at")).alias("row"))
+    return placed.join(wanted, ["g", "part", "row"]).select(F.col("g").alias(group), "percent", F.col("v").alias("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import geofence, haversine, in_polygon, in_ring, mercator, tile
 from ..operators import anomaly, divergence, intake, reconcile, rollups, validation
+from ..operators import registers as registers_of
 from ..operators.consensus import VERIFIED, consensus
 from ..sources import files, fixture
 from ..sources.current import written
@@ -230,12 +231,9 @@ def _(spark, sf_dir):
 
 @query("E20_floor_percentile", "SELECT event_type, v[least(len(v), len(v) * 95 // 100 + 1)] p95 FROM (SELECT event_type, list_sort(list(value)) v FROM events GROUP BY 1)", False)
 def _(spark, sf_dir):
-    """Values are counted first, so that a window holds a type's distinct values and not its rows."""
-    counts = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type", "value").agg(F.count("*").alias("m"))
-    w = Window.partitionBy("event_type")
-    ranked = counts.withColumn("upto", F.sum("m").over(w.orderBy("value"))).withColumn("n", F.sum("m").over(w))
-    place = F.least(F.col("n"), F.floor(F.col("n") * 95 / 100) + 1)
-    return ranked.filter((F.col("upto") >= place) & (F.col("upto") - F.col("m") < place)).select("event_type", F.col("value").alias("p95"))
+    """By ranges of values, so that no task holds a type."""
+    rows = rollups.floor_percentiles(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_type", "value", [95])
+    return rows.select("event_type", F.col("value").alias("p95"))
 
 
 @query("E22_histogram", "SELECT event_type, b.le, count(*) FILTER (value <= b.le)::BIGINT n FROM events, (SELECT unnest([1.0, 10.0, 50.0, 100.0]::DOUBLE[]) le) b GROUP BY 1, 2", False)
@@ -253,8 +251,9 @@ def _(spark, sf_dir):
 
 @query("C19_recovery", "SELECT CASE WHEN h > 4 THEN 'failed' WHEN h * 60 > 30 THEN 'queued' ELSE 'skipped' END outcome, count(*)::BIGINT n FROM (SELECT (event_id % 300)::DOUBLE / 60 h FROM events) GROUP BY 1", False)
 def _(spark, sf_dir):
-    h = (F.col("event_id") % 300).cast("double") / 60
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.when(h > 4, "failed").when(h * 60 > 30, "queued").otherwise("skipped").alias("outcome"))
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    started = now - F.make_dt_interval(mins=(F.col("event_id") % 300).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.coalesce(registers_of.recovery(started, now), F.lit("skipped")).alias("outcome"))
     return rows.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
@@ -511,4 +510,4 @@ def _(spark, sf_dir):
     return files.hash_manifest(rows).withColumn("submitted_at", F.unix_timestamp("submitted_at"))
 
 
-from . import extraction, places, registers, streams  # noqa: E402, F401  their queries join these
+from . import details, extraction, places, registers, streams  # noqa: E402, F401  their queries join these

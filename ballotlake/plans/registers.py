@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, registers, rollups
+from ..operators import registers, rollups
 from ..sources import fixture
 from .catalog import _live, _results, query
 
@@ -28,16 +28,6 @@ def _(spark, sf_dir):
     return _live(spark, sf_dir).select("pu", F.explode_outer("votes").alias("party", "n"))
 
 
-@query("D9_discrepancy_register", """SELECT r.election, r.pu, state, lga, ward, s.n, s.submissions FROM results r JOIN units u ON u.pu = r.pu
-  JOIN (SELECT election, pu, count(*)::BIGINT n, string_agg(concat(id, ':', CASE WHEN id % 10 <= 4 THEN 'party_agent' WHEN id % 10 <= 6 THEN 'observer' ELSE 'official' END, ':', a), ';' ORDER BY id) submissions FROM raw GROUP BY ALL) s ON s.pu = r.pu AND s.election = r.election
-  WHERE status IN ('discrepancy', 'inec_conflict')""")
-def _(spark, sf_dir):
-    found = _results(spark, sf_dir).filter(F.col("status").isin("discrepancy", "inec_conflict")).select("election", "pu")
-    rows = registers.discrepancy_register(found, fixture.units(spark, sf_dir), fixture.submissions(spark, sf_dir))
-    text = F.array_join(F.transform("submissions", lambda s: F.concat_ws(":", s["id"].cast("string"), s["source_type"], s["votes_a"].cast("string"))), ";")
-    return rows.select("election", "pu", "state", "lga", "ward", F.size("submissions").cast("long").alias("n"), text.alias("submissions"))
-
-
 @query("C1_submission_view", """SELECT o_orderkey submission_id, CASE WHEN o_orderkey % 10 <= 4 THEN 'party_agent' WHEN o_orderkey % 10 <= 6 THEN 'observer' ELSE 'official' END source,
   CASE WHEN o_orderkey % 7 = 0 THEN '{}' ELSE concat('{"valid":', v, ',"rejected":12,"cast":', v + 12, '}') END extracted, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE (o_orderkey % 100)::DOUBLE / 100 END confidence
   FROM (SELECT *, (a + b + c)::BIGINT v FROM (SELECT o_orderkey, (CASE WHEN year(o_orderdate) >= 1998 THEN 1 ELSE 3 END) * (o_custkey % 50) + 10 + CASE WHEN o_custkey % 5 = 0 THEN o_orderkey % 7 WHEN o_custkey % 5 = 1 AND o_orderkey % 10 >= 7 THEN 9 ELSE 0 END a,
@@ -212,15 +202,6 @@ def _(spark, sf_dir):
     return registers.leader_outliers(rollups.turnout(_live(spark, sf_dir))).select("pu", "severity", "details.*")
 
 
-@query("M33_anomaly_register", _PEERS + """ SELECT pu, state, lga, anomaly_type, severity FROM units JOIN (SELECT pu, 'leader_share_outlier_ward' anomaly_type, (CASE WHEN abs(z) >= 5 THEN 5 WHEN abs(z) >= 4 THEN 4 ELSE 3 END)::BIGINT severity FROM hits
-  UNION ALL SELECT pu, 'zero_registered_voters', 4 FROM live WHERE registered = 0 AND a IS NOT NULL) USING (pu)""")
-def _(spark, sf_dir):
-    """Also I3: the layers' hits in one table."""
-    live = _live(spark, sf_dir)
-    hits = registers.leader_outliers(rollups.turnout(live)).drop("details").unionByName(anomaly.sanity(live).filter("anomaly_type = 'zero_registered_voters'"))
-    return fixture.units(spark, sf_dir).join(hits, "pu").select("pu", "state", "lga", "anomaly_type", "severity")
-
-
 @query("M8_fallback_choice", """SELECT event_id, CASE WHEN (c1 < 0.85 OR NOT k1 OR f < 0.85) AND k2 AND c2 >= c1 THEN 'second' ELSE 'first' END taken FROM (SELECT event_id, (event_id % 100)::DOUBLE / 100 c1, event_id % 7 <> 0 k1, (event_id % 90)::DOUBLE / 90 f,
   (event_id * 13 % 100)::DOUBLE / 100 c2, event_id % 5 <> 0 k2 FROM events)""", False)
 def _(spark, sf_dir):
