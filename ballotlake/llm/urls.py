@@ -81,34 +81,38 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (id, name) the distinct substrings of up to WINDOW letters, under the name's number: linear in its letters."""
     for batch in batches:
-        for name in batch.column(0).to_pylist():
+        for key, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             own = list({name[i : i + k] for k in range(1, WINDOW + 1) for i in range(len(name) - k + 1)})
             for at in range(0, len(own), 100_000):
                 part = own[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(part)], ["name", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(part), pa.int64()), pa.array(part)], ["id", "word"])
 
 
 def segment(names: DataFrame, lexicon: DataFrame, total: int) -> DataFrame:
-    """name, words: each distinct name (column name) split by a lexicon of word, n whose counts add up to total."""
+    """name, words: each distinct name (id, name; written) split by a lexicon of word, n whose counts add up to total.
+
+    Names stay where they are: what travels is their substrings, each under the name's number, and back come the words among
+    them that have a count. Of a word longer than WINDOW its first letters travel, and the name itself tells if it holds it.
+    """
     short = F.length("word") <= 4
     salted = lexicon.withColumn("salt", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    has = names.select("name").mapInArrow(_substrings, "name string, word string")
-    has = has.withColumn("salt", F.when(short, F.pmod(F.hash("name"), F.lit(SALTS))).otherwise(0))
-    known = has.join(salted.filter(F.length("word") <= WINDOW), ["word", "salt"]).select("name", "word", "n")
+    has = names.select("id", "name").mapInArrow(_substrings, "id long, word string")
+    has = has.withColumn("salt", F.when(short, F.pmod(F.hash("id"), F.lit(SALTS))).otherwise(0))
+    known = has.join(salted.filter(F.length("word") <= WINDOW), ["word", "salt"]).select("id", "word", "n")
     tails = lexicon.filter(F.length("word") > WINDOW).select(F.col("word").alias("whole"), "n", F.substring("word", 1, WINDOW).alias("word"))
-    long = has.filter(F.length("word") == WINDOW).join(tails, "word").filter(F.expr("instr(name, whole) > 0")).select("name", F.col("whole").alias("word"), "n")
-    every = known.unionByName(long).unionByName(names.select("name", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n")))
+    long = has.filter(F.length("word") == WINDOW).join(tails, "word").select("id", F.col("whole").alias("word"), "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = batch.column(1).to_pylist()
-            words = [split(name, {x["word"]: x["n"] for x in own}, total) for name, own in zip(batch.column(0).to_pylist(), held)]
+            words = [split(name, {x["word"]: x["n"] for x in own or () if len(x["word"]) <= WINDOW or x["word"] in name}, total) for name, own in zip(batch.column(0).to_pylist(), held)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["name", "words"])
 
-    # a name's own substrings meet: their number is that of the name's letters times WINDOW at most
-    own = every.groupBy("name").agg(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "n"))).alias("own"))
-    return own.mapInArrow(run, "name string, words array<string>")
+    # a name's own words meet: their number is that of the name's letters times WINDOW at most
+    own = known.unionByName(long).groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("own"))
+    return names.select("id", "name").join(own, "id", "left").select("name", "own").mapInArrow(run, "name string, words array<string>")
 
 
 def _look_up(rows: DataFrame, values: DataFrame, key: str, uses: int) -> DataFrame:
@@ -148,9 +152,9 @@ def judge(pages: DataFrame, lexicon: DataFrame | None = None, evidence: Column |
     words = words.unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n"))
 
     rows = parts.select("row", F.posexplode("chunks").alias("pos", "chunk")).select("row", "pos", "chunk.*")
-    names = materialize(rows.filter("kind <> 'tld'").groupBy("name").agg(F.count("*").alias("n")), "names")
+    names = materialize(rows.filter("kind <> 'tld'").groupBy("name").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "names")
     uses = names.agg(F.sum("n")).first()[0] or 0
-    words_of = materialize(names.join(segment(names, words, total), "name"), "segments")
+    words_of = materialize(names.drop("id").join(segment(names, words, total), "name"), "segments")
     split_rows = _look_up(rows.filter("kind <> 'tld'"), words_of, "name", uses).select("row", "pos", "kind", "words")
     split_rows = split_rows.unionByName(rows.filter("kind = 'tld'").select("row", "pos", "kind", F.array("name").alias("words")))
     # a url's own chunks meet again: their number is that of its letters at most

@@ -1,9 +1,11 @@
 """Naive Bayes of urls against a plain one, on names without a seed word, and segmentation with a large lexicon."""
 
 import math
+import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 import pytest
 
@@ -81,3 +83,12 @@ def test_frequent_names_by_broadcast_and_others_by_shuffle(spark, monkeypatch):
     one = sorted(map(str, urls.judge(pages).collect()))
     monkeypatch.setattr(urls, "HOT", 50_000)
     assert one == sorted(map(str, urls.judge(pages).collect()))
+
+
+def test_a_name_of_a_hundred_thousand_different_letters(spark):
+    draw = random.Random(6)
+    name = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=100_000))
+    pages = spark.createDataFrame([(1, f"http://a.org/{name}riverbank"), (2, "http://river.org/bank"), (3, f"http://a.org/{name[:40_000]}")], "page_id long, url string")
+    got = {r.page_id: r.words for r in urls.judge(pages).collect()}
+    assert "".join(w.removeprefix("path:") for w in got[1][2:]) == name + "riverbank" and got[2] == ["tld:org", "river", "path:bank"]
+    assert sum(len(rows) for rows in urls._substrings([pa.RecordBatch.from_pydict({"id": [1], "name": [name]})])) <= urls.WINDOW * len(name)
