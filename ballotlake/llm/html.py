@@ -4,6 +4,7 @@ Blocks of text are grouped by the path of tags from root to block. Of each path
 text and mean punctuation are smoothed along the page and fused into one ratio; what tags and names say of
 a path only weights it. The container that holds most of the page's ratio is the article: its paths are
 content but those whose ratio falls below a share of the article's, and paths beside it are content at a higher share.
+Links count against a path, but not within a container that says that it is the article.
 """
 
 from __future__ import annotations
@@ -170,22 +171,24 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 2, mode="edge"), kernel, "valid")
 
 
-def ratios(tree: Tree, of: np.ndarray, size: np.ndarray, marks: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of blocks with a path, characters, punctuation and linked characters: each path's fused ratio, and its share of the page's.
+def ratios(tree: Tree, of: np.ndarray, size: np.ndarray, marks: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of blocks with a path, characters, punctuation and linked characters: each path's fused ratio, its share of the page's, and the ratio with links as text like any other.
 
-    Both are over all paths of the tree; paths without blocks have zero.
+    All are over all paths of the tree; paths without blocks have zero. If all text is linked, shares are of the ratio with links.
     """
     n = len(tree.tag)
     times = np.maximum(1, np.bincount(of, minlength=n))
     per_path = lambda x: np.bincount(of, x, minlength=n) / times
     free = np.maximum(0, size - linked)
     weight = np.array(tree.weight)
-    length = _smooth((np.log1p(per_path(free)) * weight)[of])  # weighted first, so that menus lend nothing to what is beside them
-    points = _smooth((np.log1p(per_path(marks)) * np.minimum(weight, 1))[of])
-    fused = per_path(length) * (1 + per_path(points)) * (per_path(free) / np.maximum(1, per_path(size)))
-    fused *= np.minimum(1, weight) ** 0.5 * (weight > 0)
+    points = 1 + per_path(_smooth((np.log1p(per_path(marks)) * np.minimum(weight, 1))[of]))
+    # weighted first, so that menus lend nothing to what is beside them
+    length, whole = (per_path(_smooth((np.log1p(per_path(x)) * weight)[of])) * points * np.minimum(1, weight) ** 0.5 * (weight > 0) for x in (free, size))
+    fused = length * (per_path(free) / np.maximum(1, per_path(size)))
     mass = fused * per_path(free) * times
-    return fused, mass / max(1e-12, mass.sum())
+    if not mass.any():
+        mass = whole * per_path(size) * times
+    return fused, mass / max(1e-12, mass.sum()), whole
 
 
 def main_text(page: str) -> str:
@@ -197,7 +200,7 @@ def main_text(page: str) -> str:
     size = np.array([len(t) for _, t, _ in found], float)
     marks = np.array([len(_PUNCT.findall(t)) for _, t, _ in found], float)
     linked = np.minimum(size, np.array([k for *_, k in found], float))
-    fused, mass = ratios(tree, of, size, marks, linked)
+    fused, mass, whole = ratios(tree, of, size, marks, linked)
     under = mass.copy()  # of a path and all below it: parents come before children
     for p in range(len(under) - 1, 0, -1):
         under[tree.parent[p]] += under[p]
@@ -212,8 +215,10 @@ def main_text(page: str) -> str:
     within[box] = True
     for p in range(box + 1, len(mass)):
         within[p] = within[tree.parent[p]]
-    article = float((fused * mass).sum())
-    chosen = (fused > np.where(within, WITHIN, BESIDE) * article) & (fused > FLOOR)
+    article = float((np.where(fused.any(), fused, whole) * mass).sum())
+    # within a container that says that it is the article, lists and paragraphs of links are its text; elsewhere they speak against a path
+    ratio = np.where(within & (tree.weight[box] >= FOR), whole, fused)
+    chosen = (ratio > np.where(within, WITHIN, BESIDE) * article) & (ratio > FLOOR)
     keep = chosen[of]
     weight = np.array(tree.weight)[of]
     heads = np.array([tree.tag[p] in ("h1", "h2", "h3", "h4") for p in of]) & (weight >= 1) & (linked < 0.7 * size)

@@ -100,3 +100,27 @@ def test_deep_and_long_pages_take_linear_time():
     html.main_text("<div>" * 100_000 + "deep, at last")
     html.main_text("".join(f"<div><b>word, {i}</div>" for i in range(40_000)))
     assert time.process_time() - begin < 20
+
+
+def _article(inner: str) -> str:
+    story = "".join(f"<p>Some words of a story, told at length. It goes on, and on, with commas, {k}.</p>" for k in range(6))
+    return f"<html><body><nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav><article><h1>Title</h1>{story}{inner}</article><div><a href=c>More from us</a></div><footer>foot</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    "inner, lines",
+    [
+        ("<h2>References</h2><ul><li><a href=1>First source, 2019</a></li><li><a href=2>Second source</a></li></ul>", ["References", "First source, 2019", "Second source"]),
+        ("<table><tr><td><a href=1>cell one</a></td><td><a href=2>cell two</a></td></tr></table>", ["cell one", "cell two"]),
+        ("<p><a href=1>Only a link.</a></p>", ["Only a link."]),
+        ("<ul class=related><li><a href=1>Another story</a></li></ul>", []),
+    ],
+)
+def test_links_within_an_article_are_its_text(inner, lines):
+    text = html.main_text(_article(inner)).split("\n")
+    assert text[0] == "Title" and text[7:] == lines
+
+
+def test_an_article_of_links_alone():
+    page = "<html><body><nav><a href=a>Menu</a></nav><article><p><a href=x>linked text only</a></p><p><a href=y>and more</a></p></article><footer>foot</footer></body></html>"
+    assert html.main_text(page) == "linked text only\nand more"
