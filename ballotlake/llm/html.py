@@ -216,8 +216,9 @@ def main_text(page: str) -> str:
     for p in range(box + 1, len(mass)):
         within[p] = within[tree.parent[p]]
     article = float((np.where(fused.any(), fused, whole) * mass).sum())
-    # within a container that says that it is the article, lists and paragraphs of links are its text; elsewhere they speak against a path
-    ratio = np.where(within & (tree.weight[box] >= FOR), whole, fused)
+    # within a container that says that it is the article, lists and paragraphs of links are its text, unless their names say
+    # otherwise; elsewhere links speak against a path
+    ratio = np.where(within & (tree.weight[box] >= FOR) & (np.array(tree.weight) >= 1), whole, fused)
     chosen = (ratio > np.where(within, WITHIN, BESIDE) * article) & (ratio > FLOOR)
     keep = chosen[of]
     weight = np.array(tree.weight)[of]
