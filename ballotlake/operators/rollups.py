@@ -67,6 +67,30 @@ def region_rows(dimension: DataFrame, live: DataFrame, level: str, statuses=VERI
     return rows.select(F.lit(level).alias("level"), "code", "name", "parent_code", "state_code", *zero, "centroid_lng", "centroid_lat", "leader_party", "leader_share", "party_totals_json")
 
 
+#: Statuses that the roll-ups of states and of the country count.
+COUNTS = ("consensus", "discrepancy", "inec_confirmed", "inec_conflict")
+
+
+def state_rollup(units: DataFrame, results: DataFrame, names: DataFrame) -> DataFrame:
+    """election, state, name, units_reporting, units_total, a count of each of COUNTS and party_totals (JSON) by election and state.
+
+    Units without a result count under a null election; states without units, or without a name (state, name), have no row.
+    Party totals are those of units in consensus or confirmed, null where there are none.
+    """
+    rows = units.select("pu", "state").join(results.select("election", "pu", "status", "votes"), "pu", "left")
+    key = ["election", "state"]
+    counts = rows.groupBy(*key).agg(F.count_if(F.col("status") != "no_data").alias("units_reporting"), F.count("*").alias("units_total"), *(F.count_if(F.col("status") == s).alias(f"units_{s}") for s in COUNTS))
+    votes = rows.filter(F.col("status").isin("consensus", "inec_confirmed")).select(*key, F.explode("votes").alias("party", "n")).groupBy(*key, "party").agg(F.sum("n").alias("n"))
+    totals = votes.groupBy(*key).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("party", "n"))))).alias("party_totals"))
+    both = counts.join(totals.select(F.col("election").alias("e_"), F.col("state").alias("s_"), "party_totals"), F.col("election").eqNullSafe(F.col("e_")) & (F.col("state") == F.col("s_")), "left")
+    return both.join(names.select("state", "name"), "state").select("election", "state", "name", "units_reporting", "units_total", *(f"units_{s}" for s in COUNTS), "party_totals")
+
+
+def national_rollup(states: DataFrame) -> DataFrame:
+    """The counts of state_rollup, summed by election."""
+    return states.groupBy("election").agg(*(F.sum(c).alias(c) for c in ("units_reporting", "units_total", *(f"units_{s}" for s in COUNTS))))
+
+
 def bottom_up(live: DataFrame, statuses=("consensus", "single_source", "inec_confirmed")) -> DataFrame:
     """Votes by ward, local government, state and country in one pass; null marks the levels summed over."""
     rows = live.filter(F.col("status").isin(*statuses)).select("state", "lga", "ward", F.explode("votes").alias("party", "n"))

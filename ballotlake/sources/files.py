@@ -11,9 +11,18 @@ ROSTER = f"state_id string, state_name string, lgas array<struct<lga_id string,
 _GEO = "type string, features array<struct<properties map<string,string>, geometry struct<type string, coordinates string>>>"
 
 
+#: Files beside the states' own.
+SUMMARIES = ("summary.json", "all-polling-units.json")
+
+
 def roster_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row a polling unit of state files (one JSON document each); empty levels give no row."""
-    state = spark.read.schema(ROSTER).json(path, multiLine=True).select("state_id", "state_name", F.explode("lgas").alias("l"))
+    """One row a polling unit of state files (one JSON document each); empty levels give no row.
+
+    Of a folder, files that sum up others (SUMMARIES) and those whose names begin with probe are left out.
+    """
+    name = F.lower(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    files = spark.read.schema(ROSTER).json(path, multiLine=True).filter(~name.isin(*SUMMARIES) & ~name.startswith("probe"))
+    state = files.select("state_id", "state_name", F.explode("lgas").alias("l"))
     lga = state.select("state_id", "state_name", "l.lga_id", "l.lga_name", F.explode("l.wards").alias("w"))
     return lga.select("state_id", "state_name", "lga_id", "lga_name", "w.ward_id", "w.ward_name", F.explode("w.polling_units").alias("u")).select("*", "u.*").drop("u")
 
@@ -24,6 +33,34 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("f.properties", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
+def units_of(roster: DataFrame, state: str | None = None) -> DataFrame:
+    """A roster's units, of all states or of the one with this id or name."""
+    return roster if state is None else roster.filter((F.col("state_id") == state) | (F.col("state_name") == state))
+
+
+LOG = "seq long, event_type string, entity_type string, entity_id string, actor_id string, event_at string, event_data string, prev_hash string, log_hash string"
+
+
+def log_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an exported log, nine columns by place; the header's names do not count. An empty actor is none."""
+    return spark.read.schema(LOG).csv(path, header=True, enforceSchema=True, quote='"', escape='"', multiLine=True).withColumn("event_data", F.coalesce("event_data", F.lit("")))
+
+
+def write_states(units: DataFrame, path: str) -> DataFrame:
+    """Rosters as JSON, a folder a state under path/states, and their counts at path/summary, which are given back.
+
+    units: state, lga, ward, pu, name. A line is a ward with its units, so no state is one task's; counts: state, lgas,
+    wards, polling_units, and a row of null state for all.
+    """
+    wards = units.groupBy("state", "lga", "ward").agg(F.array_sort(F.collect_list(F.struct("pu", "name"))).alias("polling_units"))
+    wards.repartition("state", F.pmod(F.xxhash64("lga", "ward"), F.lit(16))).write.partitionBy("state").json(f"{path}/states")
+    sized = units.groupBy("state", "lga", "ward").agg(F.count("*").alias("pus"))
+    lgas = sized.groupBy("state", "lga").agg(F.count("*").alias("wards"), F.sum("pus").alias("pus"))
+    counts = lgas.rollup("state").agg(F.count("*").alias("lgas"), F.sum("wards").alias("wards"), F.sum("pus").alias("polling_units"))
+    counts.write.json(f"{path}/summary")
+    return units.sparkSession.read.schema(counts.schema).json(f"{path}/summary")
+
+
 _NODE = "type string, role string, geometry array<struct<lat double, lon double>>"
 _OSM = f"elements array<struct<type string, id long, tags map<string,string>, members array<struct<{_NODE}>>>>"
 
