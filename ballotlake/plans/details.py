@@ -167,7 +167,7 @@ _PILOT = """WITH t AS (SELECT user_id % 20 run, count(*) attempted, count(*) FIL
   blocked = 0 AND run % 4 <> 1 AND odd = 0 AND succeeded::DOUBLE / attempted >= 0.9 ship FROM t""", False)
 def _(spark, sf_dir):
     run = (F.col("user_id") % 20).alias("run")
-    outcome = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "view", "not_uploaded").when(F.col("event_type") == "click", "image_blocked").when(F.col("value") > 90, "unparseable").otherwise("error")
+    outcome = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "view", "not_uploaded").when(F.col("event_type") == "click", "image_blocked").when((F.col("event_type") == "error") & (F.col("value") > 90), "unparseable").otherwise("error")
     attempts = _table(spark, sf_dir, "events").select(run, outcome.alias("outcome"))
     sizes = attempts.groupBy("run").agg((F.count("*") * 2).alias("registry")).withColumn("broken_seq", F.when(F.col("run") % 4 == 1, F.col("run")))
     rows = pilot.verdicts(attempts, sizes)
