@@ -142,7 +142,7 @@ def _dealt(keys: DataFrame, name: str, size: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node that each node of edges (a, b) reaches, by large-star and small-star rounds.
 
-    Every round is a join and a minimum by node, so a hub's edges spread over tasks; each round is written.
+    Every round is a join and a minimum by node, and is written. A hub's edges meet in one task, unless the join is split as it runs.
     """
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "star")
     seen = None
