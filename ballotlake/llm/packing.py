@@ -2,7 +2,8 @@
 
 Every partition packs its own pieces best-fit, largest first. Bins that are nearly full, or that have less
 room than the smallest underfull bin anywhere, are final; the others are items of the next round, in which
-groups of partitions meet, until one group is left or a group would hold too many.
+groups of partitions meet, until one group is left. Where one group would hold too many bins, the bins are dealt
+to as many groups as it takes, to other ones each round, until a round saves less than a bin a group.
 """
 
 from __future__ import annotations
@@ -133,18 +134,18 @@ def pack(docs: DataFrame, path: str | None = None, end: int = 2, capacity: int =
     cut = materialize(pieces(docs, path, end, capacity), "pieces")
     short = cut.filter(F.col("length") < capacity).select(F.col("length").cast("int").alias("used"), F.array("row").alias("rows"), F.array(F.col("length").cast("int")).alias("lengths"))
     groups = max(1, short.rdd.getNumPartitions())
-    final, number = [], 0
+    final, number, before = [], 0, None
     bins = materialize(_round(short, number, capacity), "bins")
     while True:
         open_bins = bins.filter(F.col("used") < capacity - SLACK)
         n, least = open_bins.agg(F.count("*"), F.min("used")).first()
         fewer = max(-(-groups // FAN_IN), -(-n // GROUP)) if n else 0
-        if not n or fewer >= groups:
+        if not n or groups == 1 >= fewer or (fewer >= groups and before is not None and n > before - groups):
             final.append(bins)
             break
         stuck = (F.col("used") >= capacity - SLACK) | (F.col("used") > capacity - least)
         final.append(bins.filter(stuck))
-        number, groups = number + 1, fewer
+        number, groups, before = number + 1, fewer, n
         bins = materialize(_round(bins.filter(~stuck).repartition(groups, F.col("bin")), number, capacity), "bins")
     placed = final[0]
     for more in final[1:]:
