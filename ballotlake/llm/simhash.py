@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, map_batches, materialize
-from .wide import BANDS, LANES, jaccard, majority, near_pairs, shingles, signature
+from .wide import BANDS, LANES, homes, jaccard, majority, near_pairs, shingles, signature
 
 BITS = 3
 BLOCK = 2048
 WIDE_BLOCK = 1024  # two blocks have at most two million pairs in memory
+PART = 256  # sets of a part, about; two parts are compared in one task
+HELD = 32 << 20  # bytes of shingle hashes in a part, about
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -193,7 +195,7 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
 def _pair_partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (key, block, node, fingerprint words, label if given) in the order of key and block: see near_pairs.
 
-    The rows that have more pairs come as pairs with themselves.
+    The rows that have more pairs come as pairs with themselves. A pair's home is a number of its key and block.
     """
     held = None
 
@@ -201,7 +203,8 @@ def _pair_partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         run = np.cumsum(np.r_[0, (np.diff(rows[:, :2], axis=0) != 0).any(axis=1)])
         words = np.ascontiguousarray(rows[:, 3 : 3 + LANES]).view(np.uint32)
         a, b, more = near_pairs(run, words, rows[:, 3 + LANES] if rows.shape[1] > 3 + LANES else None)
-        return pa.RecordBatch.from_arrays([pa.array(rows[np.r_[a, more], 2]), pa.array(rows[np.r_[b, more], 2])], ["a", "b"])
+        left, right = np.r_[a, more], np.r_[b, more]
+        return pa.RecordBatch.from_arrays([pa.array(rows[left, 2]), pa.array(rows[right, 2]), pa.array(homes(rows[left, 0], rows[left, 1]))], ["a", "b", "home"])
 
     for batch in batches:
         new = np.stack([c.to_numpy() for c in batch.columns], axis=1)
@@ -215,29 +218,56 @@ def _pair_partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield out(held)
 
 
-def similar(pairs: DataFrame, texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts (node, text) have this Jaccard of shingle sets or more."""
+def shingle_sets(texts: DataFrame, words: int = 5) -> DataFrame:
+    """node, n, hashes of texts (node, text): the distinct shingle hashes in order, as the bytes of unsigned longs."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingles(t, words)) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "n", "hashes"])
+
+    return map_batches(texts.select("node", "text"), run, "node long, n long, hashes binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The pairs (a, b, home) of nodes whose sets (node, n, hashes) have this Jaccard or more.
+
+    Pairs of one home meet in one task, so a set travels once a home and not once a pair. A home with more sets than
+    PART, or with more bytes than HELD, is dealt as pairs of parts.
+    """
+    used = pairs.select("home", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "n"), "node")
+    parts = F.ceil(F.greatest(F.count("*") / PART, F.sum("n") * 8 / HELD)).alias("parts")
+    large = materialize(used.groupBy("home").agg(parts).filter("parts > 1"), "simhash-parts")
+    left, right = F.pmod(F.xxhash64("a"), "parts"), F.pmod(F.xxhash64("b"), "parts")
+    dealt = (
+        pairs.join(large, "home", "left")
+        .select("home", "a", "b", F.coalesce("parts", F.lit(1).cast("long")).alias("parts"))
+        .select("home", (F.least(left, right) * F.col("parts") + F.greatest(left, right)).alias("block"), "a", "b")
+    )
+    member = dealt.select("home", "block", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+    rows = member.select("home", "block", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
+    rows = rows.unionByName(dealt.withColumn("hashes", F.lit(None).cast("binary")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, own = None, None  # a node's pairs come in turn
+        at, held = None, {}  # the sets of a block come before its pairs
         for batch in batches:
             keep = []
-            for a, left, right in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if a != name:
-                    name, own = a, np.unique(shingles(left, words))
-                keep.append(jaccard(own, np.unique(shingles(right, words))) >= similarity)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for home, block, a, b, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                if (home, block) != at:
+                    at, held = (home, block), {}
+                if b is None:
+                    held[a] = np.frombuffer(hashes, np.uint64)
+                keep.append(b is not None and jaccard(held[a], held[b], similarity) >= similarity)
+            yield batch.select([2, 3]).filter(pa.array(keep, pa.bool_()))
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+    order = ["home", "block", F.col("b").asc_nulls_first()]
+    return rows.repartition("home", "block").sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
 
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, tie, node, label of every row of docs: texts that are linked, step by step, by this similarity share a label.
 
     Texts are told apart by a hash. A bucket first gives a spanning forest of its nearest pairs, which is compared
-    exactly; then only pairs of texts that these links leave apart. So copies are not expanded into pairs, though
+    exactly by its sorted shingle hashes; then only pairs of texts that these links leave apart. So copies are not expanded into pairs, though
     texts of one bucket that are no links, yet within a quarter of the bits, are. Texts without words are alike,
     and like no others.
     """
@@ -247,18 +277,19 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     key = F.explode(F.slice("sig", LANES + 1, BANDS)).alias("key")
 
     def found(keys: DataFrame, name: str) -> DataFrame:
-        pairs = _dealt(keys, "node", WIDE_BLOCK).mapInArrow(_pair_partitions, "a long, b long")
-        return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+        pairs = _dealt(keys, "node", WIDE_BLOCK).mapInArrow(_pair_partitions, "a long, b long, home long")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "home")
+        return materialize(pairs.groupBy("a", "b").agg(F.min("home").alias("home")), name)
 
     forest = found(nodes.select(key, "node", *lanes), "simhash-forest")
     used = forest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = docs.select(_tie().alias("node"), F.col("text").cast("binary").alias("text")).join(used, "node", "left_semi").dropDuplicates(["node"])
-    texts = materialize(texts, "simhash-texts")
-    first = materialize(similar(forest.filter("a <> b"), texts, words, similarity), "simhash-links")
+    sets = materialize(shingle_sets(texts, words), "simhash-sets")
+    first = materialize(similar(forest.filter("a <> b"), sets, similarity), "simhash-links")
     more = forest.filter("a = b").select(F.col("a").alias("node"))
     labelled = nodes.join(more, "node").join(components(first).select(F.col("node").alias("of"), "label"), F.col("node") == F.col("of"), "left")
     apart = found(labelled.select(key, "node", *lanes, F.coalesce("label", "node").alias("label")), "simhash-apart")
-    links = first.unionByName(similar(apart.join(forest, ["a", "b"], "left_anti"), texts, words, similarity))
+    links = first.unionByName(similar(apart.join(forest, ["a", "b"], "left_anti"), sets, similarity))
     label = components(links).withColumnRenamed("node", "of")
     return sigs.join(label, F.col("node") == F.col("of"), "left").select("doc_id", "tie", "node", F.coalesce("label", "node").alias("label"))
 

@@ -62,8 +62,16 @@ def signature(text: bytes, words: int) -> list[int]:
     return lanes + key.view(np.int64).tolist()
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays without repeats."""
+def homes(key: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """A number for each pair of signed longs."""
+    return _mix(key.view(np.uint64) ^ _mix(block.view(np.uint64))).view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
+    """Of two sorted arrays without repeats; where their lengths alone keep it under least, that bound."""
+    bound = min(len(a), len(b)) / max(len(a), len(b))
+    if bound < least:
+        return bound
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 

@@ -68,3 +68,18 @@ def test_keys_and_bits_reach_the_threshold():
         found = len(wide.near_pairs(np.zeros(2, np.int64), f)[0]) == 1
         missed += not (found and set(left[wide.LANES :]) & set(right[wide.LANES :]))
     assert missed <= 1
+
+
+def test_sets_of_a_home_in_parts(spark, monkeypatch):
+    texts = _variants(40, 0.012) | {100 + i: t for i, t in _variants(40, 0.03).items()}
+    docs = spark.createDataFrame(sorted(texts.items()), "node long, text string")
+    nodes = docs.withColumn("text", docs.text.cast("binary"))
+    pairs = spark.createDataFrame([(a, b, 7) for a, b in combinations(sorted(texts), 2)], "a long, b long, home long").repartition(3)
+    sets = simhash.shingle_sets(nodes)
+    run = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in texts.items()}
+    alike = sorted((a, b) for a, b in combinations(sorted(texts), 2) if len(run[a] & run[b]) >= 0.8 * len(run[a] | run[b]))
+    assert 0 < len(alike) < 80 * 79 // 2
+    for part, held in ((256, 32 << 20), (8, 32 << 20), (256, 4096)):
+        monkeypatch.setattr(simhash, "PART", part)
+        monkeypatch.setattr(simhash, "HELD", held)
+        assert sorted(map(tuple, simhash.similar(pairs, sets).collect())) == alike
