@@ -510,4 +510,4 @@ def _(spark, sf_dir):
     return files.hash_manifest(rows).withColumn("submitted_at", F.unix_timestamp("submitted_at"))
 
 
-from . import access, details, extraction, places, registers, streams  # noqa: E402, F401  their queries join these
+from . import access, boards, details, extraction, places, registers, streams  # noqa: E402, F401  their queries join these
