@@ -52,3 +52,22 @@ def missing(rows: DataFrame, *required: str) -> list[str]:
 def submissions_of(submissions: DataFrame, asked: DataFrame, column: str) -> DataFrame:
     """asked with the submissions whose image has the hash in this column, in any case of letters; none for unknown hashes."""
     return asked.withColumn("hash_", F.lower(column)).join(submissions.withColumn("hash_", F.col("image_sha256")), "hash_").drop("hash_")
+
+
+#: The levels of a map, from the country down.
+LEVELS = ("country", "state", "lga", "ward")
+
+
+def focus(regions: DataFrame) -> DataFrame:
+    """level, code, shows, n_shown, up_level, up_code of the country and of every region (level, code, parent_code; states have no parent).
+
+    shows is the level that a map on this place aggregates by, null in a ward, and n_shown the number of places there; up is
+    where one climbs to: a country to itself, and from a state to the country, which has no code.
+    """
+    country = regions.sparkSession.range(1).select(F.lit("country").alias("level"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("parent_code"))
+    below = F.create_map(*(F.lit(x) for pair in zip(LEVELS, LEVELS[1:]) for x in pair))
+    above = F.create_map(*(F.lit(x) for pair in zip(LEVELS[1:], LEVELS) for x in pair), F.lit("country"), F.lit("country"))
+    at = regions.select("level", "code", "parent_code").unionByName(country).withColumns({"shows": F.try_element_at(below, F.col("level")), "up_level": F.try_element_at(above, F.col("level"))})
+    held = regions.groupBy(F.col("level").alias("level_"), F.col("parent_code").alias("parent_")).agg(F.count("*").alias("n_"))
+    rows = at.join(held, (F.col("shows") == F.col("level_")) & F.col("code").eqNullSafe(F.col("parent_")), "left")
+    return rows.select("level", "code", "shows", F.coalesce("n_", F.lit(0)).alias("n_shown"), "up_level", F.col("parent_code").alias("up_code"))

@@ -51,11 +51,13 @@ def consensus(submissions: DataFrame, min_sources: int = 2, tolerance: int = 0)
 
     Of SCALARS, FLAGS and SIGNATURES those count that submissions has. A party that a form leaves out counts as 0; nulls
     of other fields do not count. "First" means by (submitted_at, id). Numbers agree within tolerance, flags exactly, and
-    signatures need not: the most frequent count is taken, the first seen of equal ones.
+    signatures need not: the most frequent count is taken, the first seen of equal ones. With a processing_status, only
+    forms that are extracted count.
     """
     scalars, flags = ([c for c in names if c in submissions.columns] for names in (SCALARS, FLAGS))
     marks = [SIGNATURES] if SIGNATURES in submissions.columns else []
-    rows = submissions.filter("approved and votes is not null").withColumn("own", F.coalesce(F.col("source_type").isin("party_agent", "observer"), F.lit(False)))
+    read = submissions.filter("processing_status = 'extracted'") if "processing_status" in submissions.columns else submissions
+    rows = read.filter("approved and votes is not null").withColumn("own", F.coalesce(F.col("source_type").isin("party_agent", "observer"), F.lit(False)))
     once = lambda c: F.first(F.when(F.col("field").isNull(), F.col(c)), ignorenulls=True).alias(c)
     units = _value_counts(rows, [*scalars, *flags, *marks]).groupBy(*KEY).agg(
         F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "value", "n", "seen"))).alias("vals"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,29 @@ def of_election(rows: DataFrame, election: str) -> DataFrame:
     return rows.filter((F.col("election") == election) | F.col("election").isNull())
 
 
+def severity_range(rows: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:
+    """Rows of at least this severity, and at most that."""
+    found = rows.filter(F.col("severity") >= least)
+    return found if most is None else found.filter(F.col("severity") <= most)
+
+
+def elections_to_read(elections: DataFrame, election: str | None = None, types: Sequence[str] = (), year: int | None = None, state: str | None = None) -> DataFrame:
+    """Of elections (election, type, date, state) those of this id, one of these types, this year in UTC, and this state.
+
+    Types and states are told in capitals; what is not asked for does not count, and a row that lacks what is asked for is out.
+    """
+    found = chosen(elections, election=election)
+    found = found.filter(F.upper("type").isin(*types)) if types else found
+    found = found if year is None else found.filter(F.year(F.to_utc_timestamp(F.col("date").cast("timestamp"), F.current_timezone())) == year)
+    return found if state is None else found.filter(F.upper("state") == state)
+
+
+def outcomes(attempts: DataFrame, order: Sequence[str], example: str) -> DataFrame:
+    """outcome, n, example of attempts (ok, reason): parsed, or why not; the example is the first of its kind in this order."""
+    kind = F.when(F.col("ok"), "parsed").otherwise(F.coalesce(F.nullif(F.col("reason"), F.lit("")), F.lit("unknown_failure")))
+    return attempts.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"), F.min_by(example, F.struct(*order)).alias("example"))
+
+
 def page(rows: DataFrame, key: str, after=None, size: int = 500) -> DataFrame:
     """The next rows by key, after the last key of the page before."""
     return (rows if after is None else rows.filter(F.col(key) > after)).orderBy(key).limit(size)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,18 +113,93 @@ def distribution(rows: DataFrame, level: str, least: int) -> DataFrame:
 
 
 def coverage(live: DataFrame, level: str) -> DataFrame:
-    """Percent of units with a result and verified, and the display class."""
-    pct = lambda c: F.round(100 * F.count_if(c) / F.count("*"), 2)
-    rows = live.groupBy(F.col(level).cast("string").alias("code")).agg(pct(F.col("status") != "no_data").alias("coverage_pct"), pct(F.col("status").isin("consensus", "inec_confirmed")).alias("verified_pct"))
-    return rows.withColumn("display", F.when(F.col("coverage_pct") >= 100, "full").when(F.col("coverage_pct") >= 50, "partial").otherwise("low"))
+    """Percent of units with a result, of these the percent that is verified (0 without any), their product as confidence, and the display class.
+
+    sce_total and sce_total_single: votes of verified units, and with those of a single source.
+    """
+    n = lambda *statuses: F.count_if(F.col("status").isin(*statuses))
+    whole = F.aggregate(F.map_values("votes"), F.lit(0).cast("long"), lambda a, v: a + v)
+    votes = lambda *statuses: F.coalesce(F.sum(F.when(F.col("status").isin(*statuses), whole)), F.lit(0))
+    good = ("consensus", "inec_confirmed")
+    rows = live.groupBy(F.col(level).cast("string").alias("code")).agg(
+        (100 * F.count_if(F.col("status") != "no_data") / F.count("*")).alias("covered"), (100 * n(*good) / F.greatest(F.lit(1), F.count_if(F.col("status") != "no_data"))).alias("verified"),
+        votes(*good).alias("sce_total"), votes(*good, "single_source").alias("sce_total_single"),
+    )
+    pct = lambda c: F.round(c, 2)
+    display = F.when(F.col("covered") >= 100, "full").when(F.col("covered") >= 50, "partial").otherwise("low")
+    sure = pct(F.col("covered") * F.col("verified") / 100)
+    return rows.select("code", pct(F.col("covered")).alias("coverage_pct"), pct(F.col("verified")).alias("verified_pct"), sure.alias("sce_confidence"), display.alias("display"), "sce_total", "sce_total_single")
+
 
+def spread(live: DataFrame, percent: float = 25.0, least: int = 24) -> DataFrame:
+    """In how many states each party has at least a quarter of the votes, whether that is in enough of them, and who wins: most votes, then name, if so.
 
-def spread(live: DataFrame, percent: float = 25.0) -> DataFrame:
-    """In how many states each party has at least a quarter of the votes."""
+    Votes of states count; nobody wins where the party with most votes is not spread enough.
+    """
     totals = party_totals(live, "state")
     whole = totals.groupBy("code").agg(F.sum("n").alias("whole"))
     hit = (F.col("whole") > 0) & (F.col("n") * 100 >= F.col("whole") * percent)
-    return totals.join(whole, "code").groupBy("party").agg(F.count_if(hit).alias("states"), F.sum("n").alias("votes"))
+    rows = totals.join(whole, "code").groupBy("party").agg(F.count_if(hit).alias("states"), F.sum("n").alias("votes"))
+    first = F.row_number().over(Window.orderBy(F.desc("votes"), "party")) == 1  # a row a party
+    return rows.withColumn("spread", F.col("states") >= least).withColumn("wins", first & F.col("spread"))
+
+
+def everywhere(units: DataFrame, results: DataFrame) -> DataFrame:
+    """Every unit with its status in every election that it has a result of; one without any has no election and no data."""
+    return units.join(results, "pu", "left").withColumn("status", F.coalesce("status", F.lit("no_data")))
+
+
+def reporting_percent(live: DataFrame, level: str) -> DataFrame:
+    """level, reporting: percent of its units with a result, one place."""
+    return live.groupBy(level).agg(F.round(F.count_if(F.col("status") != "no_data") / F.greatest(F.lit(1), F.count("*")) * 100, 1).alias("reporting"))
+
+
+def with_sum(regions: DataFrame, counts: Sequence[str], code: str = "code", total: str = "_sum") -> DataFrame:
+    """code and counts of region rows, and a row of their sums under this code; sums of no regions are 0."""
+    sums = regions.agg(F.lit(total).alias(code), *(F.coalesce(F.sum(c), F.lit(0)).cast(regions.schema[c].dataType).alias(c) for c in counts))
+    return regions.select(code, *counts).unionByName(sums)
+
+
+def upload_percent(units: DataFrame, documents: DataFrame, level: str) -> DataFrame:
+    """level, pus, documents, percent of its units with a document (a row or more of documents by pu), two places."""
+    sent = documents.select("pu").distinct().withColumn("sent", F.lit(True))
+    counts = units.join(sent, "pu", "left").groupBy(level).agg(F.count("*").alias("pus"), F.count("sent").alias("documents"))
+    return counts.withColumn("percent", F.round(F.col("documents") * 100.0 / F.col("pus"), 2))
+
+
+def export_rows(live: DataFrame, after=None, **wanted) -> DataFrame:
+    """The 19 columns of the results' export, a row a unit and party: live has name, election, computed_at besides.
+
+    wanted restricts columns to values (state=...), after to units beyond this one. Units without votes have no row; a share
+    has four places, and is null without valid votes. The image hash is empty: results have no single image.
+    """
+    rows = live if after is None else live.filter(F.col("pu") > after)
+    for column, value in wanted.items():
+        rows = rows if value is None else rows.filter(F.col(column) == value)
+    valid = F.coalesce("valid", F.lit(0))
+    return rows.filter("votes is not null").select("*", F.explode("votes").alias("party", "n")).select(
+        F.col("state").alias("state_code"), F.col("lga").alias("lga_code"), F.col("ward").alias("ward_code"), F.col("pu").alias("pu_code"), F.col("name").alias("pu_name"), F.col("election").alias("election_id"),
+        F.col("status").alias("verification_status"), "submission_count", "source_count", "party", F.col("n").alias("votes"), F.when(valid > 0, F.round(F.col("n") / valid, 4)).alias("leader_share"),
+        "registered_voters", F.col("accredited").alias("accredited_voters"), valid.alias("total_valid_votes"), F.col("rejected").alias("rejected_ballots"), F.col("cast").alias("total_votes_cast"), F.lit("").alias("image_sha256"), "computed_at",
+    )
+
+
+def symbols(regions: DataFrame) -> DataFrame:
+    """code, radius, fill and edge of the symbols of region rows (rollups.region_rows).
+
+    The radius grows with the root of a region's units, from 5 to 28 for the largest, or to 18 where all are wards. The
+    fill is by the share of units in consensus or confirmed, then by those that report; the edge by conflicts.
+    """
+    most = regions.agg(F.max(F.greatest("pu_count", F.lit(0))).alias("most_"), F.coalesce(F.bool_and(F.col("level") == "ward"), F.lit(False)).alias("wards_"))
+    rows = regions.join(F.broadcast(most), F.lit(True))  # one row
+    n = F.greatest("pu_count", F.lit(0))
+    radius = F.when(F.col("most_") > 0, 5 + F.sqrt(n) / F.sqrt("most_") * F.when(F.col("wards_"), 13).otherwise(23)).otherwise(5.0)
+    verified = (F.col("units_consensus") + F.col("units_inec_confirmed")) / F.nullif(F.col("pu_count"), F.lit(0))
+    reports = F.col("units_reporting") / F.nullif(F.col("pu_count"), F.lit(0))
+    fill = F.when(F.col("pu_count") == 0, "none").when(verified >= 0.85, "most_verified").when(verified >= 0.5, "half_verified").when(verified >= 0.2, "some_verified")
+    fill = fill.when(reports >= 0.5, "half_reporting").when(F.col("units_reporting") > 0, "some_reporting").otherwise("none")
+    edge = F.when(F.col("units_inec_conflict") > 0, "conflict").when(F.col("units_discrepancy") > 0, "discrepancy").otherwise("plain")
+    return rows.select("code", radius.alias("radius"), fill.alias("fill"), edge.alias("edge"))
 
 
 def floor_percentiles(rows: DataFrame, group: str, value: str, percents) -> DataFrame:

@@ -6,6 +6,8 @@ structs (lng, lat).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,3 +98,18 @@ def wards_of(elements: DataFrame, cell: float = 1.0) -> DataFrame:
     open_ = wards.filter("said is null and c is not null").select("at", F.col("c.x").alias("lng"), F.col("c.y").alias("lat"))
     found = locate(open_, lgas, "at", cell).select("at", "area")
     return wards.join(found, "at", "left").select("wardcode", "wardname", F.coalesce("said", "area", F.lit("")).alias("lganame"), "polygons")
+
+
+def geojson_features(rows: DataFrame, properties: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """by, feature: the GeoJSON text of each row (geometry: a struct of type and coordinates); a missing geometry or property is written as null."""
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), F.col("geometry"))
+    return rows.select(*by, F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
+
+
+def geojson_collections(features: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, collection: one GeoJSON document of the features of each group, in the order of their texts.
+
+    A document is one value: group by what has a bounded number of features, as a local government has of wards.
+    """
+    held = F.array_join(F.array_sort(F.collect_list("feature")), ",")
+    return features.groupBy(*by).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), held, F.lit("]}")).alias("collection"))

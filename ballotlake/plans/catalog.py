@@ -164,14 +164,19 @@ def _(spark, sf_dir):
     return rollups.bottom_up(_live(spark, sf_dir)).select(F.coalesce("state", F.lit(-1).cast("long")).alias("state"), F.coalesce("lga", F.lit(-1).cast("long")).alias("lga"), F.coalesce("ward", F.lit("")).alias("ward"), "party", "n")
 
 
-@query("E26_coverage", "SELECT *, CASE WHEN coverage_pct >= 100 THEN 'full' WHEN coverage_pct >= 50 THEN 'partial' ELSE 'low' END display FROM (SELECT lga::VARCHAR code, round(100.0::DOUBLE * count(*) FILTER (status <> 'no_data') / count(*), 2) coverage_pct, round(100.0::DOUBLE * count(*) FILTER (status IN ('consensus', 'inec_confirmed')) / count(*), 2) verified_pct FROM live GROUP BY 1)")
+@query("E26_coverage", """, t AS (SELECT lga::VARCHAR code, 100.0::DOUBLE * count(*) FILTER (status <> 'no_data') / count(*) covered,
+    100.0::DOUBLE * count(*) FILTER (status IN ('consensus', 'inec_confirmed')) / greatest(1, count(*) FILTER (status <> 'no_data')) verified,
+    coalesce(sum(valid) FILTER (status IN ('consensus', 'inec_confirmed')), 0)::BIGINT sce_total, coalesce(sum(valid) FILTER (status IN ('consensus', 'inec_confirmed', 'single_source')), 0)::BIGINT sce_total_single FROM live GROUP BY 1)
+  SELECT code, round(covered, 2) coverage_pct, round(verified, 2) verified_pct, round(covered * verified / 100, 2) sce_confidence, CASE WHEN covered >= 100 THEN 'full' WHEN covered >= 50 THEN 'partial' ELSE 'low' END display, sce_total, sce_total_single FROM t""")
 def _(spark, sf_dir):
     return rollups.coverage(_live(spark, sf_dir), "lga")
 
 
-@query("E27_spread_rule", ", t AS (SELECT state, party, sum(n) n, sum(sum(n)) OVER (PARTITION BY state) w FROM votes WHERE status IN ('consensus', 'inec_confirmed', 'inec_published') GROUP BY 1, 2) SELECT party, count(*) FILTER (w > 0 AND n * 100 >= w * 25)::BIGINT states, sum(n)::BIGINT votes FROM t GROUP BY 1")
+@query("E27_spread_rule", """, t AS (SELECT state, party, sum(n) n, sum(sum(n)) OVER (PARTITION BY state) w FROM votes WHERE status IN ('consensus', 'inec_confirmed', 'inec_published') GROUP BY 1, 2),
+  p AS (SELECT party, count(*) FILTER (w > 0 AND n * 100 >= w * 25)::BIGINT states, sum(n)::BIGINT votes FROM t GROUP BY 1) SELECT *, states >= 4 AS spread, states >= 4 AND party = (SELECT arg_min(party, (-votes, party)) FROM p) wins FROM p""")
 def _(spark, sf_dir):
-    return rollups.spread(_live(spark, sf_dir))
+    """Two thirds of five states are four."""
+    return rollups.spread(_live(spark, sf_dir), least=4)
 
 
 @query("D11_results_export", 'SELECT pu, ward, status, party, n votes, round(n::DOUBLE / NULLIF(valid, 0), 4) share FROM votes JOIN (SELECT pu, valid FROM live) USING (pu)')
@@ -510,4 +515,4 @@ def _(spark, sf_dir):
     return files.hash_manifest(rows).withColumn("submitted_at", F.unix_timestamp("submitted_at"))
 
 
-from . import access, boards, details, extraction, places, registers, streams  # noqa: E402, F401  their queries join these
+from . import access, boards, details, extraction, maps, places, registers, streams  # noqa: E402, F401  their queries join these

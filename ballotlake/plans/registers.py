@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import registers, rollups
+from ..operators import registers, rollups, spatial
 from ..sources import fixture
 from .catalog import _live, _results, query
 
@@ -20,7 +20,7 @@ def _seconds(column: str):
 
 @query("D1_live_all_elections", "SELECT u.pu, election, coalesce(status, 'no_data') status FROM units u LEFT JOIN results r ON r.pu = u.pu")
 def _(spark, sf_dir):
-    return fixture.units(spark, sf_dir).select("pu").join(_results(spark, sf_dir), "pu", "left").select("pu", "election", F.coalesce("status", F.lit("no_data")).alias("status"))
+    return rollups.everywhere(fixture.units(spark, sf_dir), _results(spark, sf_dir)).select("pu", "election", "status")
 
 
 @query("D5_votes_outer", "SELECT l.pu, v.party, v.n FROM live l LEFT JOIN votes v ON v.pu = l.pu")
@@ -53,7 +53,7 @@ def _(spark, sf_dir):
 @query("C4_severity_range", "SELECT election, pu, CASE WHEN status = 'inec_conflict' THEN 5 ELSE 3 END::BIGINT severity FROM results WHERE status = 'inec_conflict'")
 def _(spark, sf_dir):
     rows = _results(spark, sf_dir).filter(F.size("fields") > 0).select("election", "pu", F.when(F.col("status") == "inec_conflict", 5).otherwise(3).cast("long").alias("severity"))
-    return rows.filter(F.col("severity") >= 4)
+    return registers.severity_range(rows, 4)
 
 
 @query("C7_stale_extractions", """SELECT coalesce(CASE WHEN s IS NULL THEN 'skipped' WHEN n - s > 14400 THEN 'failed' WHEN n - s > 1800 THEN 'queued' END, 'running') outcome, count(*)::BIGINT n
@@ -66,8 +66,9 @@ def _(spark, sf_dir):
 
 @query("C13_scrape_filter", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) = 1997 AND upper(o_orderpriority) = '1-URGENT' AND o_orderstatus = 'F'", False)
 def _(spark, sf_dir):
-    day = F.col("o_orderdate")
-    return _table(spark, sf_dir, "orders").filter((day >= "1997-01-01") & (day < "1998-01-01") & (F.upper("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "F")).select("o_orderkey")
+    """Elections of one type, year and state; ids are not asked for."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("election"), F.lower("o_orderpriority").alias("type"), F.col("o_orderdate").alias("date"), F.lower("o_orderstatus").alias("state"))
+    return registers.elections_to_read(rows, types=("1-URGENT",), year=1997, state="F").select("o_orderkey")
 
 
 @query("C18_retry_guard", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'queued' ELSE 'error: ' || event_type END next FROM events", False)
@@ -78,7 +79,7 @@ def _(spark, sf_dir):
 
 @query("C20_reporting_percent", "SELECT lga, round(count(*) FILTER (status <> 'no_data')::DOUBLE / greatest(1, count(*)) * 100, 1) reporting FROM live GROUP BY 1")
 def _(spark, sf_dir):
-    return _live(spark, sf_dir).groupBy("lga").agg(F.round(F.count_if(F.col("status") != "no_data") / F.greatest(F.lit(1), F.count("*")) * 100, 1).alias("reporting"))
+    return rollups.reporting_percent(_live(spark, sf_dir), "lga")
 
 
 @query("C23_observer_decision", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'error: not pending' WHEN event_id % 2 = 0 THEN 'approved' WHEN event_id % 3 = 0 THEN 'error: reason required' ELSE 'rejected' END decision FROM events""", False)
@@ -112,13 +113,14 @@ def _(spark, sf_dir):
     return registers.page(_live(spark, sf_dir).select("pu", "status"), "pu", size=5000)
 
 
-_LOG = """WITH l AS (SELECT o_orderkey seq, o_custkey pu, CASE WHEN o_orderkey % 20 = 19 THEN 'submission.rejected' ELSE 'submission.approved' END event_type FROM orders)"""
+_LOG = """WITH l AS (SELECT o_orderkey * 2 seq, o_custkey pu, 'submission.created' event_type FROM orders
+  UNION ALL SELECT o_orderkey * 2 + 1, o_custkey, CASE WHEN o_orderkey % 20 = 19 THEN 'submission.rejected' ELSE 'submission.approved' END FROM orders)"""
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixture.submissions(spark, sf_dir).withColumn("actor", F.lit(None).cast("string"))
-    reviews = registers.audit_events(rows.limit(0), rows)
-    return reviews.withColumn("seq", F.col("entity_id").cast("long"))
+    created = F.when(F.col("event_type") == "submission.created", 0).otherwise(1)
+    return registers.audit_events(rows, rows).withColumn("seq", F.col("entity_id").cast("long") * 2 + created)
 
 
 @query("H7_unit_events", f"{_LOG} SELECT seq, event_type FROM l WHERE pu = 10 ORDER BY seq DESC LIMIT 50", False)
@@ -148,8 +150,8 @@ def _(spark, sf_dir):
 
 @query("E18_sum_of_regions", "SELECT coalesce(state::VARCHAR, '_sum') code, count(*)::BIGINT total_pus, count(*) FILTER (status <> 'no_data')::BIGINT reporting FROM live GROUP BY ROLLUP (state)")
 def _(spark, sf_dir):
-    rows = _live(spark, sf_dir).rollup("state").agg(F.count("*").alias("total_pus"), F.count_if(F.col("status") != "no_data").alias("reporting"))
-    return rows.select(F.coalesce(F.col("state").cast("string"), F.lit("_sum")).alias("code"), "total_pus", "reporting")
+    rows = _live(spark, sf_dir).groupBy(F.col("state").cast("string").alias("code")).agg(F.count("*").alias("total_pus"), F.count_if(F.col("status") != "no_data").alias("reporting"))
+    return rollups.with_sum(rows, ("total_pus", "reporting"))
 
 
 @query("E17_state_seats", """, t AS (SELECT state, party, sum(n)::BIGINT n FROM votes WHERE status IN ('consensus', 'inec_confirmed', 'inec_published') GROUP BY ALL)
@@ -163,13 +165,14 @@ def _(spark, sf_dir):
 
 @query("E21_outcomes", "SELECT event_type outcome, count(*)::BIGINT n, arg_min(event_id, (ts, event_id)) example FROM events GROUP BY 1", False)
 def _(spark, sf_dir):
-    return _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("outcome")).agg(F.count("*").alias("n"), F.min_by("event_id", F.struct("ts", "event_id")).alias("example"))
+    rows = _table(spark, sf_dir, "events").select("event_id", "ts", F.lit(False).alias("ok"), F.col("event_type").alias("reason"))
+    return registers.outcomes(rows, ("ts", "event_id"), "event_id")
 
 
 @query("E23_upload_percent", "SELECT lga, round(count(DISTINCT r.pu) * 100.0::DOUBLE / count(DISTINCT u.pu), 2) percent FROM units u LEFT JOIN (SELECT DISTINCT pu FROM raw WHERE official) r ON r.pu = u.pu GROUP BY 1")
 def _(spark, sf_dir):
-    sent = fixture.submissions(spark, sf_dir).filter("approved and source_type = 'official'").select("pu").distinct().withColumn("sent", F.lit(True))
-    return fixture.units(spark, sf_dir).join(sent, "pu", "left").groupBy("lga").agg(F.round(F.count("sent") * 100.0 / F.count("*"), 2).alias("percent"))
+    sent = fixture.submissions(spark, sf_dir).filter("approved and source_type = 'official'")
+    return rollups.upload_percent(fixture.units(spark, sf_dir), sent, "lga").select("lga", "percent")
 
 
 @query("E24_roster_counts", "SELECT state, count(DISTINCT lga)::BIGINT lgas, count(DISTINCT ward)::BIGINT wards, count(*)::BIGINT pus FROM units GROUP BY 1")
@@ -234,7 +237,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     wards = fixture.units(spark, sf_dir).groupBy("ward", "lga").agg(F.count("*").alias("n"))
     place = F.when(F.col("n") % 2 == 0, F.struct(F.lit("Point").alias("type"), F.array("n", "lga").alias("coordinates")))
-    return wards.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("ward").alias("properties"), place.alias("geometry")), {"ignoreNullFields": "false"}).alias("feature"))
+    return spatial.geojson_features(wards.withColumn("geometry", place), ["ward"]).select("feature")
 
 
 @query("O2_quarantine", "SELECT event_id, event_type FROM events WHERE try_cast(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS BIGINT) IS NULL OR value < 10", False)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.access import missing
+
 _UNIT = "struct<pu_id string, pu_code string, pu_name string, delim string>"
 _WARD = f"struct<ward_id string, ward_name string, polling_units array<{_UNIT}>>"
 ROSTER = f"state_id string, state_name string, lgas array<struct<lga_id string, lga_name string, wards array<{_WARD}>>>"
@@ -28,8 +32,10 @@ def roster_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:
-    """properties (a map of texts), geometry type and coordinates (as JSON) of every feature; other documents give no row."""
-    rows = spark.read.schema(_GEO).json(path, multiLine=True).filter("type = 'FeatureCollection'").select(F.explode("features").alias("f"))
+    """properties (a map of texts), geometry type and coordinates (as JSON) of every feature; a document that is no FeatureCollection fails the job."""
+    wrong = F.raise_error(F.concat(F.lit("expected a GeoJSON FeatureCollection: "), F.col("_metadata.file_path")))
+    held = F.when(F.col("type") == "FeatureCollection", F.col("features")).otherwise(wrong)
+    rows = spark.read.schema(_GEO).json(path, multiLine=True).select(F.explode(held).alias("f"))
     return rows.select("f.properties", F.col("f.geometry.type").alias("geometry_type"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
@@ -80,6 +86,16 @@ def first_property(properties: Column, *names: str) -> Column:
     return F.coalesce(*(F.nullif(F.trim(F.try_element_at(properties, F.lit(n))), F.lit("")) for n in names))
 
 
+def first_number(properties: Column) -> Column:
+    """The first value of digits only, in the order of the properties: the last resort for an id."""
+    return F.get(F.filter(F.map_values(properties), lambda v: v.rlike(r"^[0-9]+$")), F.lit(0))
+
+
+def first_name(properties: Column) -> Column:
+    """The first value of two letters or more that is no number, in the order of the properties: the last resort for a name."""
+    return F.get(F.filter(F.map_values(properties), lambda v: (F.char_length(v) > 1) & ~v.rlike(r"^[0-9]+$")), F.lit(0))
+
+
 def numbered(text: Column, kind: str = "string") -> Column:
     """A JSON object with numbers as keys as an array in their order; keys that are no numbers come last."""
     entries = F.map_entries(F.from_json(text, f"map<string,{kind}>"))
@@ -93,6 +109,29 @@ def csv_table(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*(F.trim(F.col(f"`{x}`")).alias(x.strip().lower()) for x in raw.columns))
 
 
+ROSTER_COLUMNS = ("name", "phone", "pu_code")
+
+
+def roster_csv(spark: SparkSession, path: str, required: Sequence[str] = ROSTER_COLUMNS) -> DataFrame:
+    """csv_table of a roster; a header that lacks required columns is an error that names them all, as is a file without one."""
+    rows = csv_table(spark, path)
+    lacking = sorted(missing(rows, *required))
+    if lacking:
+        raise ValueError(f"missing required column(s): {lacking}" if rows.columns else "CSV is empty")
+    return rows
+
+
+def overrides_csv(spark: SparkSession, path: str, source: str = "source_ward_id", target: str = "inec_ward_code") -> DataFrame:
+    """source_id, ward_code of a CSV of overrides: both trimmed, rows that lack one left out, and of rows of one source the last counts.
+
+    Last is by file name, then by place in the file.
+    """
+    raw = spark.read.csv(path, header=True, quote='"', escape='"')
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    rows = raw.select(*(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(a) for c, a in ((source, "source_id"), (target, "ward_code"))), place.alias("at"))
+    return rows.dropna(subset=["source_id", "ward_code"]).groupBy("source_id").agg(F.max_by("ward_code", "at").alias("ward_code"))
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """A folder of CSV parts with headers; commas, quotes and line breaks are quoted, null is empty."""
     rows.write.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
