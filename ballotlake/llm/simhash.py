@@ -289,7 +289,8 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     more = forest.filter("a = b").select(F.col("a").alias("node"))
     labelled = nodes.join(more, "node").join(components(first).select(F.col("node").alias("of"), "label"), F.col("node") == F.col("of"), "left")
     apart = found(labelled.select(key, "node", *lanes, F.coalesce("label", "node").alias("label")), "simhash-apart")
-    links = first.unionByName(similar(apart.join(forest, ["a", "b"], "left_anti"), sets, similarity))
+    new = materialize(apart.join(forest, ["a", "b"], "left_anti"), "simhash-new")  # read three times by what follows
+    links = first.unionByName(similar(new, sets, similarity))
     label = components(links).withColumnRenamed("node", "of")
     return sigs.join(label, F.col("node") == F.col("of"), "left").select("doc_id", "tie", "node", F.coalesce("label", "node").alias("label"))
 
