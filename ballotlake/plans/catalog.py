@@ -223,7 +223,9 @@ def _(spark, sf_dir):
 
 @query("G7_rate_limit", "SELECT event_id, count(*) OVER w::BIGINT recent, (count(*) OVER w > 3) limited FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)", False)
 def _(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy(F.unix_timestamp(F.col("ts").cast("timestamp"))).rangeBetween(-86400, 0)
+    # a double that becomes a whole number is rounded in SQL, the half to the even one
+    seconds = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("long")
+    w = Window.partitionBy("user_id").orderBy(seconds).rangeBetween(-86400, 0)
     n = F.count("*").over(w)
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", n.alias("recent"), (n > 3).alias("limited"))
 
