@@ -20,11 +20,16 @@ def tile_xy(lng: Column, lat: Column, zoom: int) -> tuple[Column, Column]:
     return (lng + 180) / 360 * n, (1 - F.log(F.tan(phi) + 1 / F.cos(phi)) / F.pi()) / 2 * n
 
 
+def _once(value: Column, body) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _clipped_side(ring: Column, axis: str, sign: int, limit: int) -> Column:
     """An open ring (array of structs x, y) cut at one side of a box: the points within, and those where edges cross it.
 
     Each point is looked at with the one before it: an edge that enters gives the crossing and the point, one that
-    leaves the crossing.
+    leaves the crossing. A ring that lies within stays as it is.
     """
     other = "y" if axis == "x" else "x"
     inside = lambda p: sign * p[axis] <= sign * limit
@@ -34,19 +39,25 @@ def _clipped_side(ring: Column, axis: str, sign: int, limit: int) -> Column:
         cut = {axis: F.lit(float(limit)), other: p[other] + share * (q[other] - p[other])}
         return F.struct(cut["x"].alias("x"), cut["y"].alias("y"))
 
-    def step(q: Column, i: Column) -> Column:
-        p = F.element_at(ring, F.when(i == 0, -1).otherwise(i))
-        cross = F.when(inside(p) != inside(q), F.array(crossing(p, q))).otherwise(F.array())
-        return F.concat(cross, F.when(inside(q), F.array(F.struct(q["x"].alias("x"), q["y"].alias("y")))).otherwise(F.array()))
+    def step(p: Column, q: Column) -> Column:
+        kept, crosses = F.struct(q["x"].alias("x"), q["y"].alias("y")), inside(p) != inside(q)
+        came = F.when(crosses, F.array(crossing(p, q), kept)).otherwise(F.array(kept))
+        return F.when(inside(q), came).when(crosses, F.array(crossing(p, q))).otherwise(F.array())
+
+    return F.when(F.forall(ring, inside), ring).otherwise(F.flatten(F.zip_with(_before(ring), ring, step)))
+
 
-    return F.flatten(F.transform(ring, step))
+def _before(ring: Column) -> Column:
+    """The point before each of an open ring's points."""
+    return F.concat(F.slice(ring, -1, 1), F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))))
 
 
 def _quantised(ring: Column) -> Column:
     """Whole coordinates, repeats in a row left out, closed; null with fewer than three different points in turn."""
     whole = F.transform(ring, lambda p: F.struct(F.round(p["x"]).cast("long").alias("x"), F.round(p["y"]).cast("long").alias("y")))
-    turn = F.filter(whole, lambda p, i: p != F.element_at(whole, F.when(i == 0, -1).otherwise(i)))
-    return F.when(F.size(turn) >= 3, F.concat(turn, F.slice(turn, 1, 1)))
+    pairs = lambda w: F.zip_with(_before(w), w, lambda p, q: F.struct((p != q).alias("differ"), q.alias("at")))
+    turn = F.transform(F.filter(_once(whole, pairs), lambda e: e["differ"]), lambda e: e["at"])
+    return _once(turn, lambda t: F.when(F.size(t) >= 3, F.concat(t, F.slice(t, 1, 1))))
 
 
 def ring_features(areas: DataFrame, zoom: int, extent: int = EXTENT, buffer: int = BUFFER) -> DataFrame:
@@ -54,21 +65,29 @@ def ring_features(areas: DataFrame, zoom: int, extent: int = EXTENT, buffer: int
 
     A polygon is in the tiles that its bounding box meets, and is cut to each with this much around it. Rings that shrink to
     less than three points go; without its outer ring a polygon is not in the tile. A polygon as large as the map
-    has a row for each tile of the zoom.
+    has a row for each tile of the zoom. Polygons are dealt over tasks first, as a file of many may be one task's.
     """
     placed = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(*(c.alias(a) for c, a in zip(tile_xy(p["lng"], p["lat"], zoom), "xy")))))
-    rows = areas.withColumn("plane_", placed)
-    outer = F.get("plane_", F.lit(0))
     edge = 2**zoom - 1
-    spans = {a: F.sequence(*(F.greatest(F.lit(0), F.least(F.lit(edge), F.floor(f(F.transform(outer, lambda p: p[a]))))).cast("int") for f in (F.array_min, F.array_max))) for a in "xy"}
-    each = rows.withColumn("tile_x", F.explode(spans["x"])).withColumn("tile_y", F.explode(spans["y"]))
-    local = F.transform("plane_", lambda r: F.transform(F.slice(r, F.lit(1), F.size(r) - 1), lambda p: F.struct(((p["x"] - F.col("tile_x")) * extent).alias("x"), ((p["y"] - F.col("tile_y")) * extent).alias("y"))))
-    each = each.withColumn("plane_", local)
-    for axis, sign, limit in (("x", 1, extent + buffer), ("x", -1, -buffer), ("y", 1, extent + buffer), ("y", -1, -buffer)):
-        # a lambda names each ring's points many times: one column a side keeps the expression small
-        each = each.withColumn("plane_", F.transform("plane_", lambda r: _clipped_side(r, axis, sign, limit)))  # noqa: B023
-    each = each.withColumn("plane_", F.transform("plane_", _quantised)).filter(F.get("plane_", F.lit(0)).isNotNull())
-    return each.withColumn("rings", F.filter("plane_", lambda r: r.isNotNull())).drop("plane_")
+
+    def with_spans(plane: Column) -> Column:
+        outer = F.get(plane, F.lit(0))
+        span = lambda a: F.sequence(*(F.greatest(F.lit(0), F.least(F.lit(edge), F.floor(f(F.transform(outer, lambda p: p[a]))))).cast("int") for f in (F.array_min, F.array_max)))
+        return F.struct(plane.alias("plane"), span("x").alias("x"), span("y").alias("y"))
+
+    # a generator computes its value once, where a plain column is copied into each of its uses
+    rows = areas.repartition(F.xxhash64("rings")).withColumn("placed_", F.explode(F.array(_once(placed, with_spans))))
+    each = rows.withColumn("tile_x", F.explode("placed_.x")).withColumn("tile_y", F.explode("placed_.y"))
+    local = F.transform("placed_.plane", lambda r: F.transform(F.slice(r, F.lit(1), F.size(r) - 1), lambda p: F.struct(((p["x"] - F.col("tile_x")) * extent).alias("x"), ((p["y"] - F.col("tile_y")) * extent).alias("y"))))
+
+    def cut(ring: Column) -> Column:
+        for axis, sign, limit in (("x", 1, extent + buffer), ("x", -1, -buffer), ("y", 1, extent + buffer), ("y", -1, -buffer)):
+            ring = _once(ring, lambda r: _clipped_side(r, axis, sign, limit))  # noqa: B023
+        return _quantised(ring)
+
+    kept = F.filter(F.array(F.transform(local, cut)), lambda rings: F.get(rings, F.lit(0)).isNotNull())
+    each = each.withColumn("cut_", F.explode(kept)).withColumn("rings", F.filter("cut_", lambda r: r.isNotNull()))
+    return each.drop("placed_", "cut_")
 
 
 def point_features(rows: DataFrame, zoom: int, extent: int = EXTENT) -> DataFrame:
