@@ -11,6 +11,8 @@ SIGNATURES = "agent_signatures"
 VERIFIED = ("consensus", "inec_confirmed", "inec_published")
 KEY = ["election", "pu"]
 _VOTES = "candidate_votes."
+#: Forms of a unit that meet in one row.
+GATHERED = 1000
 
 
 def source_key() -> Column:
@@ -38,6 +40,50 @@ def _value_counts(rows: DataFrame, fields: list[str]) -> DataFrame:
     )
 
 
+def _merged(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """What _gathered gives, for units of any number of forms: what meets in one row are the different values of each field."""
+    once = lambda c: F.first(F.when(F.col("field").isNull(), F.col(c)), ignorenulls=True).alias(c)
+    units = _value_counts(rows, fields).groupBy(*KEY).agg(
+        F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "value", "n", "seen"))).alias("vals"),
+        *map(once, ("forms", "officials", "observers", "parties", "first", "official")),
+    )
+    units = units.withColumn("fields_", F.expr("array_sort(array_distinct(transform(vals, v -> v.field)))"))
+    each = F.expr(f"""transform(fields_, f -> struct(f as field, filter(vals, v -> v.field = f and v.n > 0 and v.value is not null) as own,
+        f like '{_VOTES}%' as voted))""")
+    filled = F.expr("""transform(each, e -> struct(e.field as field, e.voted as voted, size(e.own) > 0 as held, array_sort(concat(transform(e.own, v -> struct(v.value as value, v.n as n)),
+        if(e.voted and aggregate(e.own, 0L, (a, v) -> a + v.n) < forms - officials, array(struct(0L as value, forms - officials - aggregate(e.own, 0L, (a, v) -> a + v.n) as n)), array()))) as own))""")
+    mode = F.expr(f"get(array_sort(filter(vals, v -> v.field = '{SIGNATURES}' and v.n > 0), (a, b) -> case when a.n <> b.n then if(a.n > b.n, -1, 1) when a.seen < b.seen then -1 when a.seen > b.seen then 1 else 0 end), 0).value")
+    units = units.withColumn("each", each).withColumn("filled", filled).withColumn("mode", mode)
+    return units.select(*KEY, "forms", "officials", (F.size("parties") + F.col("observers")).alias("independent"), "first", "official", "filled", "mode")
+
+
+def _gathered(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """By unit: forms, officials, independent sources, first own and first official form, by field the own values and how often each (a party left out: 0), the most frequent signatures.
+
+    A unit's forms meet in one row, by time: each is shuffled once and whole.
+    """
+    party = F.when(F.col("source_type") == "party_agent", F.coalesce("party", F.lit("unknown"))).alias("party")
+    form = F.struct(F.struct("submitted_at", "id").alias("order"), "own", (F.col("source_type") == "observer").alias("observer"), party, *fields, F.map_entries("votes").alias("entries"))
+    units = rows.select(*KEY, form.alias("form")).repartition(*KEY).groupBy(*KEY).agg(F.array_sort(F.collect_list("form")).alias("all_"))
+    units = units.withColumns({"own_": F.filter("all_", lambda x: x["own"]), "other_": F.filter("all_", lambda x: ~x["own"])})
+    units = units.withColumns({
+        "said": F.expr("flatten(transform(own_, x -> x.entries))"),
+        "names": F.expr("array_sort(array_distinct(transform(flatten(transform(all_, x -> x.entries)), e -> e.key)))"),
+    })
+    units = units.withColumn("voted", F.expr("transform(names, p -> struct(p as name, filter(transform(filter(said, e -> e.key = p), e -> cast(e.value as bigint)), v -> v is not null) as seen))"))
+    scalar = [f"struct('{f}' as field, false as voted, exists(own_, x -> x.{f} is not null) as held, transform(array_sort(filter(transform(own_, x -> cast(x.{f} as bigint)), v -> v is not null)), v -> struct(v as value, 1L as n)) as own)" for f in fields]
+    filled = f"""concat(array({", ".join(scalar)}), transform(voted, v -> struct(concat('{_VOTES}', v.name) as field, true as voted, size(v.seen) > 0 as held,
+        transform(array_sort(concat(v.seen, array_repeat(0L, size(own_) - size(v.seen)))), n -> struct(n as value, 1L as n)) as own)))"""
+    mode = f"""aggregate(array_distinct(transform(own_, x -> cast(x.{SIGNATURES} as bigint))), struct(0 as n, cast(null as bigint) as value),
+        (a, d) -> if(size(filter(own_, x -> x.{SIGNATURES} <=> d)) > a.n, struct(size(filter(own_, x -> x.{SIGNATURES} <=> d)) as n, d as value), a)).value""" if SIGNATURES in fields else "cast(null as bigint)"
+    first = lambda forms: F.when(F.size(forms) > 0, F.struct(*(F.get(forms, F.lit(0))[f].alias(f) for f in fields), F.map_from_entries(F.get(forms, F.lit(0))["entries"]).alias("votes")))
+    return units.select(
+        *KEY, F.size("all_").cast("long").alias("forms"), F.size("other_").cast("long").alias("officials"),
+        F.expr("size(array_distinct(filter(transform(own_, x -> x.party), p -> p is not null))) + size(filter(own_, x -> x.observer))").cast("long").alias("independent"),
+        first("own_").alias("first"), first("other_").alias("official"), F.expr(filled).alias("filled"), F.expr(mode).alias("mode"),
+    )
+
+
 def _by_field(value: str) -> Column:
     return F.map_from_entries(F.transform("stats", lambda e: F.struct(e["field"], e[value])))
 
@@ -46,33 +92,28 @@ def _party(field: Column) -> Column:
     return F.substr(field, F.lit(len(_VOTES) + 1))
 
 
-def consensus(submissions: DataFrame, min_sources: int = 2, tolerance: int = 0) -> DataFrame:
+def consensus(submissions: DataFrame, min_sources: int = 2, tolerance: int = 0, gathered: int = GATHERED) -> DataFrame:
     """One row an election and unit: status, submission_count, source_count, the agreed fields, votes map, differing fields.
 
     Of SCALARS, FLAGS and SIGNATURES those count that submissions has. A party that a form leaves out counts as 0; nulls
     of other fields do not count. "First" means by (submitted_at, id). Numbers agree within tolerance, flags exactly, and
     signatures need not: the most frequent count is taken, the first seen of equal ones. With a processing_status, only
-    forms that are extracted count.
+    forms that are extracted count. Units of more forms than gathered are counted by field and value before these meet, which
+    shuffles a row for each field of a form; the result is the same.
     """
     scalars, flags = ([c for c in names if c in submissions.columns] for names in (SCALARS, FLAGS))
     marks = [SIGNATURES] if SIGNATURES in submissions.columns else []
     read = submissions.filter("processing_status = 'extracted'") if "processing_status" in submissions.columns else submissions
     rows = read.filter("approved and votes is not null").withColumn("own", F.coalesce(F.col("source_type").isin("party_agent", "observer"), F.lit(False)))
-    once = lambda c: F.first(F.when(F.col("field").isNull(), F.col(c)), ignorenulls=True).alias(c)
-    units = _value_counts(rows, [*scalars, *flags, *marks]).groupBy(*KEY).agg(
-        F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "value", "n", "seen"))).alias("vals"),
-        *map(once, ("forms", "officials", "observers", "parties", "first", "official")),
-    )
-    units = units.withColumn("independent", F.size("parties") + F.col("observers")).withColumn("fields_", F.expr("array_sort(array_distinct(transform(vals, v -> v.field)))"))
-    each = F.expr(f"""transform(fields_, f -> struct(f as field, filter(vals, v -> v.field = f and v.n > 0 and v.value is not null) as own,
-        f like '{_VOTES}%' as voted))""")
-    filled = F.expr("""transform(each, e -> struct(e.field as field, e.voted as voted, size(e.own) > 0 as held, array_sort(concat(transform(e.own, v -> struct(v.value as value, v.n as n)),
-        if(e.voted and aggregate(e.own, 0L, (a, v) -> a + v.n) < forms - officials, array(struct(0L as value, forms - officials - aggregate(e.own, 0L, (a, v) -> a + v.n) as n)), array()))) as own))""")
+    fields = [*scalars, *flags, *marks]
+    sizes = rows.groupBy(*KEY).agg(F.count("*").alias("n")).filter(F.col("n") > gathered)
+    large = F.broadcast(sizes.select(*(F.col(k).alias(f"{k}_") for k in KEY)))
+    same = F.col(KEY[0]).eqNullSafe(F.col(f"{KEY[0]}_")) & F.col(KEY[1]).eqNullSafe(F.col(f"{KEY[1]}_"))
+    units = _gathered(rows.join(large, same, "left_anti"), fields).unionByName(_merged(rows.join(large, same, "left_semi"), fields))
     spread = F.expr("""transform(filled, e -> struct(e.field as field, e.voted as voted, e.held as held, try_element_at(e.own, -1).value - get(e.own, 0).value as gap,
         aggregate(e.own, struct(aggregate(e.own, 0L, (a, v) -> a + v.n) div 2 as left, cast(null as bigint) as value),
             (a, v) -> struct(a.left - v.n as left, if(a.value is null and a.left < v.n, v.value, a.value) as value)).value as median))""")
-    units = units.withColumn("each", each).withColumn("filled", filled).withColumn("stats", spread)
-    units = units.withColumn("gap", _by_field("gap")).withColumn("median", _by_field("median"))
+    units = units.withColumn("stats", spread).withColumn("gap", _by_field("gap")).withColumn("median", _by_field("median"))
     at = lambda m, f: F.try_element_at(F.col(m), F.lit(f))
     voted = F.filter("stats", lambda e: e["voted"])
     official_votes = F.col("official.votes")
@@ -95,11 +136,11 @@ def consensus(submissions: DataFrame, min_sources: int = 2, tolerance: int = 0)
     s = F.col("status")
     pick = lambda agreed, f: F.when(s == "inec_published", F.col(f"official.{f}")).when(s == "single_source", F.col(f"first.{f}")).when(s != "discrepancy", agreed)
     seen_votes = F.map_from_entries(F.transform(F.filter(voted, lambda e: e["held"]), lambda e: F.struct(_party(e["field"]).alias("name"), e["median"].alias("n"))))
-    mode = F.expr(f"get(array_sort(filter(vals, v -> v.field = '{SIGNATURES}' and v.n > 0), (a, b) -> case when a.n <> b.n then if(a.n > b.n, -1, 1) when a.seen < b.seen then -1 when a.seen > b.seen then 1 else 0 end), 0).value")
     found = units.withColumn("differ", differ).withColumn("conflict", conflict).withColumn("status", status).select(
         *KEY, "status", F.col("forms").alias("submission_count"), (F.col("independent") + official.cast("int")).cast("long").alias("source_count"),
-        *(pick(at("median", f), f).alias(f) for f in scalars), *(pick(F.col(f"first.{f}"), f).alias(f) for f in flags), *(pick(mode, f).alias(f) for f in marks), pick(seen_votes, "votes").alias("votes"),
+        *(pick(at("median", f), f).alias(f) for f in scalars), *(pick(F.col(f"first.{f}"), f).alias(f) for f in flags), *(pick(F.col("mode"), f).alias(f) for f in marks), pick(seen_votes, "votes").alias("votes"),
         F.when(s == "discrepancy", F.col("differ")).when(s == "inec_conflict", F.col("conflict")).otherwise(F.array().cast("array<string>")).alias("fields"),
     )
-    # one row a unit already, in place: a filter on what was found stops here, and does not repeat the above in its condition
-    return found.groupBy(*KEY).agg(*(F.first(c).alias(c) for c in found.columns if c not in KEY))
+    # a generator of one row a unit: a filter on what was found stops here, and does not repeat the above in its condition
+    rest = [c for c in found.columns if c not in KEY]
+    return found.select(*KEY, F.inline(F.array(F.struct(*rest))))
