@@ -27,10 +27,20 @@ def visible_agents(agents: DataFrame, viewer: str) -> DataFrame:
     return agents.join(F.broadcast(all_), F.lit(True), "left").filter(F.col("all_") | (F.col("id") == viewer)).drop("all_")
 
 
+#: Parts that a party's agents are dealt over.
+BLOCKS = 64
+
+
 def party_agents(agents: DataFrame) -> DataFrame:
-    """admin, id: for each party administrator the agents of the same party, by the party; none for one without a party."""
+    """admin, id: for each party administrator the agents of the same party, by the party; none for one without a party.
+
+    Administrators times agents are the result's rows. A party's agents are dealt over blocks, and its administrators go to each, so that no
+    task makes the rows of a whole party.
+    """
     admins = agents.filter((F.col("role") == "party_admin") & F.col("party").isNotNull()).select(F.col("id").alias("admin"), "party")
-    return admins.join(agents.select("id", "party"), "party").select("admin", "id")
+    admins = admins.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    dealt = agents.select("id", "party", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int").alias("block")).repartition("party", "block")
+    return admins.join(dealt, ["party", "block"]).select("admin", "id")
 
 
 def unfinished(submissions: DataFrame) -> DataFrame:
