@@ -81,10 +81,15 @@ def state_rollup(units: DataFrame, results: DataFrame, names: DataFrame) -> Data
     """
     rows = units.select("pu", "state").join(results.select("election", "pu", "status", "votes"), "pu", "left")
     key = ["election", "state"]
-    counts = rows.groupBy(*key).agg(F.count_if(F.col("status") != "no_data").alias("units_reporting"), F.count("*").alias("units_total"), *(F.count_if(F.col("status") == s).alias(f"units_{s}") for s in COUNTS))
-    votes = rows.filter(F.col("status").isin("consensus", "inec_confirmed")).select(*key, F.explode("votes").alias("party", "n")).groupBy(*key, "party").agg(F.sum("n").alias("n"))
-    totals = votes.groupBy(*key).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("party", "n"))))).alias("party_totals"))
-    both = counts.join(totals.select(F.col("election").alias("e_"), F.col("state").alias("s_"), "party_totals"), F.col("election").eqNullSafe(F.col("e_")) & (F.col("state") == F.col("s_")), "left")
+    # a unit is a row without a party, and one for each party of its votes: one pass gives counts and totals
+    unit = F.array(F.struct(F.lit(None).cast("string").alias("party"), F.lit(None).cast("long").alias("n")))
+    votes = F.transform(F.map_entries("votes"), lambda e: F.struct(e["key"].alias("party"), e["value"].cast("long").alias("n")))
+    each = rows.select(*key, "status", F.inline(F.concat(unit, F.coalesce(F.when(F.col("status").isin("consensus", "inec_confirmed"), votes), F.array()))))
+    names_ = ["units_reporting", "units_total", *(f"units_{s}" for s in COUNTS)]
+    sums = each.groupBy(*key, "party").agg(F.count_if(F.col("status") != "no_data").alias("units_reporting"), F.count("*").alias("units_total"), *(F.count_if(F.col("status") == s).alias(f"units_{s}") for s in COUNTS), F.sum("n").alias("n"))
+    named = F.array_sort(F.collect_list(F.when(F.col("party").isNotNull(), F.struct("party", "n"))))
+    both = sums.groupBy(*key).agg(*(F.max(F.when(F.col("party").isNull(), F.col(c))).alias(c) for c in names_), named.alias("named"))
+    both = both.withColumn("party_totals", F.when(F.size("named") > 0, F.to_json(F.map_from_entries("named"))))
     return both.join(names.select("state", "name"), "state").select("election", "state", "name", "units_reporting", "units_total", *(f"units_{s}" for s in COUNTS), "party_totals")
 
 
