@@ -50,9 +50,15 @@ def discrepancy_register(found: DataFrame, units: DataFrame, submissions: DataFr
     The page is chosen before anything is gathered, so what is gathered are the forms of its units.
     """
     page = found.orderBy(F.desc("severity"), F.desc("detected_at"), "election", "pu").limit(most)
-    form = F.struct("submission_id", "source", "party", "votes", "submitted_at")
-    forms = in_conflict(page, submissions).groupBy("election", "pu").agg(F.array_sort(F.collect_list(form), lambda a, b: F.when(a["submission_id"] < b["submission_id"], -1).when(a["submission_id"] > b["submission_id"], 1).otherwise(0)).alias("submissions"))
-    return page.drop("conflicting").join(units.select(*PLACE), "pu").join(forms, ["election", "pu"], "left")
+    rest = [c for c in page.columns if c not in ("election", "pu", "conflicting")]
+    forms = submissions.select(F.struct(F.col("id").alias("submission_id"), F.col("source_type").alias("source"), "party", "votes", "submitted_at").alias("form"))
+    # what is found is computed once: the page carries its own columns to the forms and back
+    ids = page.withColumn("submission_id", F.explode_outer("conflicting")).drop("conflicting")
+    named = ids.join(forms, F.col("submission_id") == F.col("form.submission_id"), "left")
+    by_id = lambda a, b: F.when(a["submission_id"] < b["submission_id"], -1).when(a["submission_id"] > b["submission_id"], 1).otherwise(0)
+    gathered = named.groupBy("election", "pu").agg(*(F.first(c).alias(c) for c in rest), F.array_sort(F.collect_list("form"), by_id).alias("submissions"))
+    out = gathered.withColumn("submissions", F.when(F.size("submissions") > 0, F.col("submissions"))).join(units.select(*PLACE), "pu")
+    return out.select("election", "pu", *rest, *PLACE[1:], "submissions")
 
 
 def of_units(wanted: DataFrame, live: DataFrame, submissions: DataFrame, found: DataFrame, log: DataFrame, events: int = 50) -> DataFrame:
