@@ -82,7 +82,8 @@ def _(spark, sf_dir):
     history, table = Current(spark, scratch(spark, "late-forms"), [*KEY, "id"]), Current(spark, scratch(spark, "late"), KEY)
     for number, part in enumerate((2, 0, 1)):
         batch = forms.filter((F.col("id") % SLICES == part) & F.col("approved")).drop("submitted_at")
-        table.upsert(late.compare(touched_history(batch, history, number, "late"), declared), sticky=late.STICKY, tag=("late", number))
+        found = written(late.compare(touched_history(batch, history, number, "late"), declared), "found")
+        table.upsert(found, sticky=late.STICKY, tag=("late", number))
     return table.read().select(*KEY, "status", "comparison", "flagged", "deepest")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.consensus import KEY, consensus
-from ..sources.current import Current
+from ..sources.current import Current, written
 from .recompute import touched_history
 
 STICKY = ("flagged", "deepest")
@@ -71,7 +71,7 @@ def start(stream: DataFrame, declared: DataFrame, history: str, table: str, log:
         if out.applied("late") >= number:
             return
         before = out.read()
-        found = compare(touched_history(batch, Current(spark, history, [*KEY, "id"]), number, "late"), declared)
+        found = written(compare(touched_history(batch, Current(spark, history, [*KEY, "id"]), number, "late"), declared), "found")
         updates(before, found).write.mode("overwrite").parquet(f"{log}/batch={number}")
         out.upsert(found, sticky=STICKY, tag=("late", number))
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.consensus import KEY, consensus
-from ..sources.current import Current
+from ..sources.current import Current, written
 
 
 def touched_history(batch: DataFrame, history: Current, number: int, stream: str = "consensus") -> DataFrame:
-    """All forms of the units that batch touches, once its own are in history (keyed by election, pu and id)."""
+    """All forms of the units that batch touches, once its own are in history (keyed by election, pu and id); written, as they are read more than once."""
     history.upsert(batch, tag=(stream, number))
     units = batch.select(*KEY).distinct()
-    return history.read().join(units, KEY, "left_semi")
+    return written(history.read().join(units, KEY, "left_semi"), "touched")
 
 
 def start(stream: DataFrame, history: str, results: str, checkpoint: str, **trigger) -> StreamingQuery:
