@@ -52,46 +52,47 @@ def _merged(rows: DataFrame, fields: list[str]) -> DataFrame:
         f like '{_VOTES}%' as voted))""")
     filled = F.expr("""transform(each, e -> struct(e.field as field, e.voted as voted, size(e.own) > 0 as held, array_sort(concat(transform(e.own, v -> struct(v.value as value, v.n as n)),
         if(e.voted and aggregate(e.own, 0L, (a, v) -> a + v.n) < forms - officials, array(struct(0L as value, forms - officials - aggregate(e.own, 0L, (a, v) -> a + v.n) as n)), array()))) as own))""")
+    spread = F.expr("""transform(filled, e -> struct(e.field as field, e.voted as voted, e.held as held, try_element_at(e.own, -1).value - get(e.own, 0).value as gap,
+        aggregate(e.own, struct(aggregate(e.own, 0L, (a, v) -> a + v.n) div 2 as left, cast(null as bigint) as value),
+            (a, v) -> struct(a.left - v.n as left, if(a.value is null and a.left < v.n, v.value, a.value) as value)).value as median))""")
     mode = F.expr(f"get(array_sort(filter(vals, v -> v.field = '{SIGNATURES}' and v.n > 0), (a, b) -> case when a.n <> b.n then if(a.n > b.n, -1, 1) when a.seen < b.seen then -1 when a.seen > b.seen then 1 else 0 end), 0).value")
-    units = units.withColumn("each", each).withColumn("filled", filled).withColumn("mode", mode)
-    return units.select(*KEY, "forms", "officials", (F.size("parties") + F.col("observers")).alias("independent"), "first", "official", "filled", "mode")
+    units = units.withColumn("each", each).withColumn("filled", filled).withColumn("stats", spread).withColumn("mode", mode)
+    by_field = lambda value: F.map_from_entries(F.transform("stats", lambda e: F.struct(e["field"], e[value])))
+    units = units.withColumns({"gap_": by_field("gap"), "median_": by_field("median")})
+    of = lambda m: F.struct(*(F.try_element_at(F.col(m), F.lit(f)).alias(f) for f in fields))
+    voted = F.transform(F.filter("stats", lambda e: e["voted"]), lambda e: F.struct(F.substr(e["field"], F.lit(len(_VOTES) + 1)).alias("name"), e["held"].alias("held"), e["gap"].alias("gap"), e["median"].alias("median")))
+    return units.select(*KEY, "forms", "officials", (F.size("parties") + F.col("observers")).alias("independent"), "first", "official", "mode", of("gap_").alias("gap"), of("median_").alias("median"), voted.alias("voted"))
 
 
 def _gathered(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """By unit: forms, officials, independent sources, first own and first official form, by field the own values and how often each (a party left out: 0), the most frequent signatures.
+    """By unit: forms, officials, independent sources, first own and first official form, the most frequent signatures, and of the own values
+    of each field, and of each party (left out: 0), how far they lie apart and their upper median.
 
-    A unit's forms meet in one row, by time: each is shuffled once and whole.
+    A unit's forms meet in one row, by time: each is shuffled once and whole. Fields are arrays of plain numbers here, as functions with a
+    comparator or a structure for each value took most of the time.
     """
     party = F.when(F.col("source_type") == "party_agent", F.coalesce("party", F.lit("unknown"))).alias("party")
-    form = F.struct(F.struct("submitted_at", "id").alias("order"), "own", (F.col("source_type") == "observer").alias("observer"), party, *fields, F.map_entries("votes").alias("entries"))
-    units = rows.select(*KEY, form.alias("form")).repartition(*KEY).groupBy(*KEY).agg(F.array_sort(F.collect_list("form")).alias("all_"))
-    units = units.withColumns({"own_": F.filter("all_", lambda x: x["own"]), "other_": F.filter("all_", lambda x: ~x["own"])})
-    units = units.withColumns({
-        "said": F.expr("flatten(transform(own_, x -> x.entries))"),
-        "names": F.expr("array_sort(array_distinct(transform(flatten(transform(all_, x -> x.entries)), e -> e.key)))"),
-    })
-    units = units.withColumn("voted", F.expr("transform(names, p -> struct(p as name, filter(transform(filter(said, e -> e.key = p), e -> cast(e.value as bigint)), v -> v is not null) as seen))"))
-    scalar = [f"struct('{f}' as field, false as voted, exists(own_, x -> x.{f} is not null) as held, transform(array_sort(filter(transform(own_, x -> cast(x.{f} as bigint)), v -> v is not null)), v -> struct(v as value, 1L as n)) as own)" for f in fields]
-    filled = f"""concat(array({", ".join(scalar)}), transform(voted, v -> struct(concat('{_VOTES}', v.name) as field, true as voted, size(v.seen) > 0 as held,
-        transform(array_sort(concat(v.seen, array_repeat(0L, size(own_) - size(v.seen)))), n -> struct(n as value, 1L as n)) as own)))"""
-    mode = f"""aggregate(array_distinct(transform(own_, x -> cast(x.{SIGNATURES} as bigint))), struct(0 as n, cast(null as bigint) as value),
-        (a, d) -> if(size(filter(own_, x -> x.{SIGNATURES} <=> d)) > a.n, struct(size(filter(own_, x -> x.{SIGNATURES} <=> d)) as n, d as value), a)).value""" if SIGNATURES in fields else "cast(null as bigint)"
+    form = F.struct(F.struct("submitted_at", "id").alias("order"), party, *fields, F.map_entries("votes").alias("entries"))
+    rows = rows.select(*KEY, "own", (F.col("source_type") == "observer").alias("observer"), form.alias("form")).repartition(*KEY)
+    units = rows.groupBy(*KEY).agg(
+        F.sort_array(F.collect_list(F.when(F.col("own"), F.col("form")))).alias("own_"), F.sort_array(F.collect_list(F.when(~F.col("own"), F.col("form")))).alias("other_"), F.count_if("observer").alias("observers"),
+    )
+    values = {f"{f}_": F.expr(f"sort_array(array_compact(cast(own_.{f} as array<bigint>)))") for f in fields}
+    marks = {"marks": F.expr(f"cast(own_.{SIGNATURES} as array<bigint>)")} if SIGNATURES in fields else {}
+    units = units.withColumns(values | marks | {"said": F.expr("flatten(own_.entries)")})
+    voted = F.expr("""transform(transform(
+        transform(sort_array(array_distinct(concat(said.key, flatten(other_.entries).key))), p -> struct(p as name, cast(filter(said, e -> e.key = p and e.value is not null).value as array<bigint>) as seen)),
+        v -> struct(v.name as name, size(v.seen) > 0 as held, sort_array(concat(v.seen, array_repeat(0L, size(own_) - size(v.seen)))) as own)),
+        v -> struct(v.name as name, v.held as held, try_element_at(v.own, -1) - get(v.own, 0) as gap, get(v.own, size(v.own) div 2) as median))""")
+    mode = "array_max(transform(array_distinct(marks), (d, i) -> struct(size(filter(marks, m -> m <=> d)) as n, -i as at, d as value))).value" if marks else "cast(null as bigint)"
     first = lambda forms: F.when(F.size(forms) > 0, F.struct(*(F.get(forms, F.lit(0))[f].alias(f) for f in fields), F.map_from_entries(F.get(forms, F.lit(0))["entries"]).alias("votes")))
+    of = lambda value: F.struct(*(F.expr(value.format(f"{f}_")).alias(f) for f in fields))
     return units.select(
-        *KEY, F.size("all_").cast("long").alias("forms"), F.size("other_").cast("long").alias("officials"),
-        F.expr("size(array_distinct(filter(transform(own_, x -> x.party), p -> p is not null))) + size(filter(own_, x -> x.observer))").cast("long").alias("independent"),
-        first("own_").alias("first"), first("other_").alias("official"), F.expr(filled).alias("filled"), F.expr(mode).alias("mode"),
+        *KEY, F.expr("cast(size(own_) + size(other_) as bigint)").alias("forms"), F.size("other_").cast("long").alias("officials"), (F.size(F.array_compact(F.array_distinct("own_.party"))) + F.col("observers")).alias("independent"),
+        first("own_").alias("first"), first("other_").alias("official"), F.expr(mode).alias("mode"), of("try_element_at({0}, -1) - get({0}, 0)").alias("gap"), of("get({0}, size({0}) div 2)").alias("median"), voted.alias("voted"),
     )
 
 
-def _by_field(value: str) -> Column:
-    return F.map_from_entries(F.transform("stats", lambda e: F.struct(e["field"], e[value])))
-
-
-def _party(field: Column) -> Column:
-    return F.substr(field, F.lit(len(_VOTES) + 1))
-
-
 def consensus(submissions: DataFrame, min_sources: int = 2, tolerance: int = 0, gathered: int = GATHERED) -> DataFrame:
     """One row an election and unit: status, submission_count, source_count, the agreed fields, votes map, differing fields.
 
@@ -110,22 +111,18 @@ def consensus(submissions: DataFrame, min_sources: int = 2, tolerance: int = 0,
     large = F.broadcast(sizes.select(*(F.col(k).alias(f"{k}_") for k in KEY)))
     same = F.col(KEY[0]).eqNullSafe(F.col(f"{KEY[0]}_")) & F.col(KEY[1]).eqNullSafe(F.col(f"{KEY[1]}_"))
     units = _gathered(rows.join(large, same, "left_anti"), fields).unionByName(_merged(rows.join(large, same, "left_semi"), fields))
-    spread = F.expr("""transform(filled, e -> struct(e.field as field, e.voted as voted, e.held as held, try_element_at(e.own, -1).value - get(e.own, 0).value as gap,
-        aggregate(e.own, struct(aggregate(e.own, 0L, (a, v) -> a + v.n) div 2 as left, cast(null as bigint) as value),
-            (a, v) -> struct(a.left - v.n as left, if(a.value is null and a.left < v.n, v.value, a.value) as value)).value as median))""")
-    units = units.withColumn("stats", spread).withColumn("gap", _by_field("gap")).withColumn("median", _by_field("median"))
-    at = lambda m, f: F.try_element_at(F.col(m), F.lit(f))
-    voted = F.filter("stats", lambda e: e["voted"])
+    at = lambda m, f: F.col(m)[f]
     official_votes = F.col("official.votes")
+    named = lambda parties: F.transform(parties, lambda v: F.concat(F.lit(_VOTES), v["name"]))
     differ = F.concat(
         F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(at("gap", f) > tolerance, f) for f in scalars))),
-        F.transform(F.filter(voted, lambda e: e["gap"] > tolerance), lambda e: e["field"]),
+        named(F.filter("voted", lambda v: v["gap"] > tolerance)),
         F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(at("gap", f) > 0, f) for f in flags))),
     )
-    off = lambda e: F.abs(e["median"] - F.coalesce(F.try_element_at(official_votes, _party(e["field"])), F.lit(0))) > tolerance
+    off = lambda v: F.abs(v["median"] - F.coalesce(F.try_element_at(official_votes, v["name"]), F.lit(0))) > tolerance
     conflict = F.concat(
         F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(F.abs(at("median", f) - F.col(f"official.{f}")) > tolerance, f) for f in scalars))),
-        F.transform(F.filter(voted, off), lambda e: e["field"]),
+        named(F.filter("voted", off)),
         F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(F.col(f"first.{f}") != F.col(f"official.{f}"), f) for f in flags))),
     )
     official = F.col("officials") > 0
@@ -135,7 +132,7 @@ def consensus(submissions: DataFrame, min_sources: int = 2, tolerance: int = 0,
     )
     s = F.col("status")
     pick = lambda agreed, f: F.when(s == "inec_published", F.col(f"official.{f}")).when(s == "single_source", F.col(f"first.{f}")).when(s != "discrepancy", agreed)
-    seen_votes = F.map_from_entries(F.transform(F.filter(voted, lambda e: e["held"]), lambda e: F.struct(_party(e["field"]).alias("name"), e["median"].alias("n"))))
+    seen_votes = F.map_from_entries(F.transform(F.filter("voted", lambda v: v["held"]), lambda v: F.struct(v["name"].alias("name"), v["median"].alias("n"))))
     found = units.withColumn("differ", differ).withColumn("conflict", conflict).withColumn("status", status).select(
         *KEY, "status", F.col("forms").alias("submission_count"), (F.col("independent") + official.cast("int")).cast("long").alias("source_count"),
         *(pick(at("median", f), f).alias(f) for f in scalars), *(pick(F.col(f"first.{f}"), f).alias(f) for f in flags), *(pick(F.col("mode"), f).alias(f) for f in marks), pick(seen_votes, "votes").alias("votes"),
