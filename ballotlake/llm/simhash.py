@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, map_batches, materialize
-from .wide import BANDS, LANES, homes, jaccard, majority, near_pairs, shingles, signature
+from .wide import BANDS, LANES, homes, jaccard, majority, near_pairs, own_pairs, shingles, signature
 
 BITS = 3
 BLOCK = 2048
@@ -127,7 +127,12 @@ def links(fps: DataFrame) -> DataFrame:
 
 def _dealt(keys: DataFrame, name: str, size: int) -> DataFrame:
     """key, block and the other columns of keys, in the order of key and block; name tells the rows of a key apart."""
-    hot = materialize(keys.groupBy("key").count().filter(F.col("count") > size).select("key", F.ceil(F.col("count") / size).alias("blocks")), "simhash-hot")
+    return _placed(keys, name, F.ceil(F.count("*") / size)).drop("own", "other").repartition("key", "block").sortWithinPartitions("key", "block")
+
+
+def _placed(keys: DataFrame, name: str, blocks: Column) -> DataFrame:
+    """key, block, own, other and the other columns of keys: a row's own block of its key and each other one, as many as blocks says of a key's rows."""
+    hot = materialize(keys.groupBy("key").agg(blocks.alias("blocks")).filter("blocks > 1"), "simhash-hot")
     own = F.pmod(F.xxhash64(name), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     rest = [c for c in keys.columns if c != "key"]
@@ -135,9 +140,7 @@ def _dealt(keys: DataFrame, name: str, size: int) -> DataFrame:
         keys.join(hot, "key", "left")
         .select("key", *rest, F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks"))
         .select("key", *rest, "blocks", own.alias("own"), other.alias("other"))
-        .select("key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"), *rest)
-        .repartition("key", "block")
-        .sortWithinPartitions("key", "block")
+        .select("key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"), "own", "other", *rest)
     )
 
 
@@ -193,7 +196,7 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def _pair_partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, block, node, fingerprint words, label if given) in the order of key and block: see near_pairs.
+    """Of rows (key, block, node, fingerprint words) in the order of key and block: see near_pairs.
 
     The rows that have more pairs come as pairs with themselves. A pair's home is a number of its key and block.
     """
@@ -202,7 +205,7 @@ def _pair_partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     def out(rows: np.ndarray) -> pa.RecordBatch:
         run = np.cumsum(np.r_[0, (np.diff(rows[:, :2], axis=0) != 0).any(axis=1)])
         words = np.ascontiguousarray(rows[:, 3 : 3 + LANES]).view(np.uint32)
-        a, b, more = near_pairs(run, words, rows[:, 3 + LANES] if rows.shape[1] > 3 + LANES else None)
+        a, b, more = near_pairs(run, words)
         left, right = np.r_[a, more], np.r_[b, more]
         return pa.RecordBatch.from_arrays([pa.array(rows[left, 2]), pa.array(rows[right, 2]), pa.array(homes(rows[left, 0], rows[left, 1]))], ["a", "b", "home"])
 
@@ -263,34 +266,86 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataF
     return rows.repartition("home", "block").sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows anew, so that no two batches share a run of equal first and second columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in filter(len, batches):
+        at = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+        starts = np.flatnonzero(np.r_[last is None or (at[0] != last).any(), (np.diff(at, axis=0) != 0).any(axis=1)])
+        last = at[-1]
+        if len(starts):
+            if held or starts[-1]:
+                yield pa.concat_batches([*held, batch.slice(0, int(starts[-1]))])
+            held, batch = [], batch.slice(int(starts[-1]))
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def similar_apart(nodes: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Links (a, b) that join the labels of nodes (node, sig, label) as all pairs of this similarity under a shared key do.
+
+    Pairs are compared in the task that finds them, by sets (node, n, hashes) that travel to the members of a key, so only links
+    leave it: fewer than it has labels. A pair is compared under one of its keys, and not at all once its labels are joined. Only keys of two labels are
+    dealt; one with more than WIDE_BLOCK nodes, or more bytes of sets than HELD, as pairs of blocks.
+    """
+    keys = nodes.join(sets.select("node", "n"), "node").select(F.posexplode(F.slice("sig", LANES + 1, BANDS)).alias("band", "key"), "node", "label", "n")
+    mixed = materialize(keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key"), "simhash-mixed")
+    blocks = F.ceil(F.greatest(F.count("*") / WIDE_BLOCK, F.sum("n") * 8 / HELD))
+    placed = _placed(keys.join(mixed, "key", "left_semi"), "node", blocks).drop("n", "label")
+    rows = placed.join(nodes.join(sets.select("node", "hashes"), "node"), "node").select("key", "block", "own", "other", F.col("band").cast("long"), "node", "label", "sig", "hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}  # of labels that this task's links join
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        for batch in _runs(batches):
+            key, block, own, other, band, node, label = (c.to_numpy() for c in batch.columns[:7])
+            sig = batch.column(7).flatten().to_numpy().reshape(-1, LANES + BANDS)
+            at = np.cumsum(np.r_[0, (np.diff(key) != 0) | (np.diff(block) != 0)])
+            wanted = own_pairs(band, sig[:, LANES:], node, own, other)
+            left, right, _ = near_pairs(at, np.ascontiguousarray(sig[:, :LANES]).view(np.uint32), label, wanted)
+            found, hashes = [], batch.column(8)
+            for i, j, x, y in zip(left.tolist(), right.tolist(), label[left].tolist(), label[right].tolist()):
+                x, y = top(x), top(y)
+                if x != y and jaccard(*(np.frombuffer(hashes[k].as_buffer(), np.uint64) for k in (i, j)), similarity) >= similarity:
+                    root[max(x, y)] = min(x, y)
+                    found.append((i, j))
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a long, b long")
+
+
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, tie, node, label of every row of docs: texts that are linked, step by step, by this similarity share a label.
 
     Texts are told apart by a hash. A bucket first gives a spanning forest of its nearest pairs, which is compared
-    exactly by its sorted shingle hashes; then only pairs of texts that these links leave apart. So copies are not expanded into pairs, though
-    texts of one bucket that are no links, yet within a quarter of the bits, are. Texts without words are alike,
-    and like no others.
+    exactly by its sorted shingle hashes; then only pairs of texts that these links leave apart, in the task that finds them (similar_apart). So
+    no pair that is no link becomes a row, but those of the forest. Texts without words are alike, and like no others.
     """
     sigs = materialize(signatures(docs, words), "simhash-wide")
     nodes = sigs.filter("node <> 0").groupBy("node").agg(F.any_value("sig").alias("sig"))
     lanes = [F.element_at("sig", i + 1).alias(f"f{i}") for i in range(LANES)]
     key = F.explode(F.slice("sig", LANES + 1, BANDS)).alias("key")
 
-    def found(keys: DataFrame, name: str) -> DataFrame:
-        pairs = _dealt(keys, "node", WIDE_BLOCK).mapInArrow(_pair_partitions, "a long, b long, home long")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "home")
-        return materialize(pairs.groupBy("a", "b").agg(F.min("home").alias("home")), name)
-
-    forest = found(nodes.select(key, "node", *lanes), "simhash-forest")
+    pairs = _dealt(nodes.select(key, "node", *lanes), "node", WIDE_BLOCK).mapInArrow(_pair_partitions, "a long, b long, home long")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "home")
+    forest = materialize(pairs.groupBy("a", "b").agg(F.min("home").alias("home")), "simhash-forest")
     used = forest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = docs.select(_tie().alias("node"), F.col("text").cast("binary").alias("text")).join(used, "node", "left_semi").dropDuplicates(["node"])
     sets = materialize(shingle_sets(texts, words), "simhash-sets")
     first = materialize(similar(forest.filter("a <> b"), sets, similarity), "simhash-links")
     more = forest.filter("a = b").select(F.col("a").alias("node"))
-    labelled = nodes.join(more, "node").join(components(first).select(F.col("node").alias("of"), "label"), F.col("node") == F.col("of"), "left")
-    apart = found(labelled.select(key, "node", *lanes, F.coalesce("label", "node").alias("label")), "simhash-apart")
-    new = materialize(apart.join(forest, ["a", "b"], "left_anti"), "simhash-new")  # read three times by what follows
-    links = first.unionByName(similar(new, sets, similarity))
+    named = components(first).select(F.col("node").alias("of"), "label")
+    labelled = nodes.join(more, "node").join(named, F.col("node") == F.col("of"), "left").select("node", "sig", F.coalesce("label", "node").alias("label"))
+    links = first.unionByName(similar_apart(materialize(labelled, "simhash-apart"), sets, similarity))
     label = components(links).withColumnRenamed("node", "of")
     return sigs.join(label, F.col("node") == F.col("of"), "left").select("doc_id", "tie", "node", F.coalesce("label", "node").alias("label"))
 

@@ -9,6 +9,7 @@ bits a segment; only then are all bits compared, and what differs in at most WID
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -67,6 +68,22 @@ def homes(key: np.ndarray, block: np.ndarray) -> np.ndarray:
     return _mix(key.view(np.uint64) ^ _mix(block.view(np.uint64))).view(np.int64)
 
 
+def own_pairs(band: np.ndarray, keys: np.ndarray, node: np.ndarray, own: np.ndarray, other: np.ndarray) -> Callable:
+    """For near_pairs: whether a pair is this run's. Of all runs that two nodes share, one is theirs.
+
+    A node has rows under each of its keys (their place is band), and is dealt from its block (own) to pairs with each other block.
+    A number made of both nodes chooses one of the keys that they share, so a large group's pairs are spread over its keys.
+    """
+
+    def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        there = (own[a] != own[b]) | (own[a] == other[a])
+        shared = np.cumsum(keys[a] == keys[b], axis=1)
+        turn = _mix(node[a].view(np.uint64) + node[b].view(np.uint64)) % np.maximum(shared[:, -1], 1).astype(np.uint64)
+        return there & (shared[np.arange(len(a)), band[a]] - 1 == turn.astype(np.int64))
+
+    return wanted
+
+
 def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     """Of two sorted arrays without repeats; where their lengths alone keep it under least, that bound."""
     bound = min(len(a), len(b)) / max(len(a), len(b))
@@ -86,11 +103,12 @@ def _chained(bits: np.ndarray) -> np.ndarray:
     return alive.any(axis=1)
 
 
-def near_pairs(run: np.ndarray, f: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_pairs(run: np.ndarray, f: np.ndarray, label: np.ndarray | None = None, wanted: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of pairs within WIDE bits in each run of equal numbers, and of the rows that have more of them.
 
     run is sorted, f holds a fingerprint a row as eight uint32. Without labels the pairs are a spanning forest of
-    fewest differing bits, and the rows are those of all other pairs; with labels all pairs of two labels come.
+    fewest differing bits, and the rows are those of all other pairs; with labels all pairs of two labels come, if
+    wanted says so of their places.
     """
     at, d = np.arange(len(run)), 0
     found = []
@@ -101,6 +119,7 @@ def near_pairs(run: np.ndarray, f: np.ndarray, label: np.ndarray | None = None)
         if not len(at):
             break
         pair = at if label is None else at[label[at] != label[at + d]]
+        pair = pair if wanted is None else pair[wanted(pair, pair + d)]
         bits = np.bitwise_count(f[pair] ^ f[pair + d])
         fits = _chained(bits)
         pair, bits = pair[fits], bits[fits].sum(axis=1)

@@ -83,3 +83,35 @@ def test_sets_of_a_home_in_parts(spark, monkeypatch):
         monkeypatch.setattr(simhash, "PART", part)
         monkeypatch.setattr(simhash, "HELD", held)
         assert sorted(map(tuple, simhash.similar(pairs, sets).collect())) == alike
+
+
+def test_pairs_apart_leave_no_rows_but_links(spark, monkeypatch):
+    texts = _variants(50, 0.012) | {100 + i: t for i, t in _variants(50, 0.03).items()}
+    label = plain_labels(texts)
+    docs = spark.createDataFrame([(i, t.encode()) for i, t in sorted(texts.items())], "node long, text binary").repartition(3)
+    nodes = spark.createDataFrame([(i, wide.signature(t.encode(), 5), i) for i, t in texts.items()], "node long, sig array<long>, label long")
+    sets = simhash.shingle_sets(docs)
+    for block, held in ((1024, 32 << 20), (8, 32 << 20), (1024, 4096)):
+        monkeypatch.setattr(simhash, "WIDE_BLOCK", block)
+        monkeypatch.setattr(simhash, "HELD", held)
+        links = [(r.a, r.b) for r in simhash.similar_apart(nodes, sets).collect()]
+        assert all(label[a] == label[b] for a, b in links)
+        assert len(links) < 16 * len(texts)  # some 2,000 pairs of these are within the bits
+        root = {i: i for i in texts}
+        for a, b in links:
+            x, y = sorted((root[a], root[b]))
+            root = {i: x if v == y else v for i, v in root.items()}
+        assert root == label
+
+
+def test_a_pair_is_compared_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    n, blocks = 40, 3
+    keys = rng.integers(0, 3, (n, wide.BANDS)) + 10 * np.arange(wide.BANDS)
+    node, home = rng.integers(-(1 << 62), 1 << 62, n), rng.integers(0, blocks, n)
+    rows = sorted((keys[i, k], min(home[i], o) * blocks + max(home[i], o), k, home[i], o, i) for i in range(n) for k in range(wide.BANDS) for o in range(blocks))
+    key, block, band, own, other, i = np.array(rows).T
+    run = np.cumsum(np.r_[0, (np.diff(key) != 0) | (np.diff(block) != 0)])
+    a, b, _ = wide.near_pairs(run, np.zeros((len(rows), 8), np.uint32), i, wide.own_pairs(band, keys[i], node[i], own, other))
+    found = sorted(tuple(sorted(p)) for p in zip(i[a].tolist(), i[b].tolist()))
+    assert found == [(x, y) for x, y in combinations(range(n), 2) if (keys[x] == keys[y]).any()]
